@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from strandfold.functions import kernels
 
 AXES = ("x", "y", "z")
+NEWTON_STEPS = 2
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
 
 # Names of the sums a least-squares superposition needs.
@@ -68,9 +69,17 @@ def moment_sums(a: list[Column], b: list[Column]) -> list[Column]:
     return [F.sum(term).alias(name) for name, term in moment_terms(a, b).items()]
 
 
-def covariance(name_of=F.col) -> list[Column]:
-    n = name_of("cnt")
-    return [name_of(f"c{r}{c}") - name_of(f"sa{r}") * name_of(f"sb{c}") / n for r in AXES for c in AXES]
+def covariance() -> list[Column]:
+    """Centred covariance cells, row major."""
+    return [
+        F.col(f"c{r}{c}") - F.col(f"sa{r}") * F.col(f"sb{c}") / F.col("cnt") for r in AXES for c in AXES
+    ]
+
+
+def certain(value: Column) -> Column:
+    """Mark a value that is never null as such; arithmetic on it then compiles without null checks,
+    which keeps the fused method small enough for the JIT compiler."""
+    return F.coalesce(value, F.lit(0.0))
 
 
 def with_min_ssd(df: DataFrame, out: str = "ssd") -> DataFrame:
@@ -82,11 +91,15 @@ def with_min_ssd(df: DataFrame, out: str = "ssd") -> DataFrame:
     """
     keep = df.columns
     t = "_fit_"
-    cov = {f"{t}{r}{c}": v for (r, c), v in zip(((r, c) for r in AXES for c in AXES), covariance())}
-    spread = (
-        F.col("saa") + F.col("sbb")
-        - total([F.col(name) * F.col(name) for name in MEANS]) / F.col("cnt")
-    )
+    df = df.withColumns({f"{t}{name}": certain(F.col(name)) for name in MOMENTS})
+    df = df.withColumn(f"{t}inv", certain(1 / F.col(f"{t}cnt")))
+    inv = F.col(f"{t}inv")
+    cov = {
+        f"{t}{r}{c}": F.col(f"{t}c{r}{c}") - F.col(f"{t}sa{r}") * F.col(f"{t}sb{c}") * inv
+        for r in AXES for c in AXES
+    }
+    squares = total([F.col(t + name) * F.col(t + name) for name in MEANS])
+    spread = F.col(f"{t}saa") + F.col(f"{t}sbb") - squares * inv
     df = df.withColumns({**cov, f"{t}spread": spread})
     m = {r + c: F.col(f"{t}{r}{c}") for r in AXES for c in AXES}
     det = (
@@ -108,27 +121,30 @@ def with_min_ssd(df: DataFrame, out: str = "ssd") -> DataFrame:
     )
     df = df.withColumns({f"{t}tr": trace, f"{t}sq": square})
     tr, sq, dt = F.col(f"{t}tr"), F.col(f"{t}sq"), F.col(f"{t}det")
-    mean = tr / 3
-    df = df.withColumn(f"{t}dev", F.sqrt(F.greatest((sq - tr * tr / 3) / 6, F.lit(0.0))))
+    third = 1.0 / 3.0
+    mean = tr * third
+    df = df.withColumn(f"{t}dev", F.sqrt(F.greatest((sq - tr * mean) * (third / 2), F.lit(0.0))))
     dev = F.col(f"{t}dev")
-    shifted = dt * dt - mean * (tr * tr - sq) / 2 + mean * mean * tr - mean * mean * mean
-    ratio = F.when(dev > 0, shifted / (2 * dev * dev * dev)).otherwise(F.lit(1.0))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))) / 3
+    shifted = dt * dt - mean * (tr * tr - sq) * 0.5 + mean * mean * tr - mean * mean * mean
+    ratio = F.when(dev > 0, certain(shifted / (2 * dev * dev * dev))).otherwise(F.lit(1.0))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))) * third
     df = df.withColumn(f"{t}angle", angle)
     # With s1 the largest singular value, (s2 +- s3)^2 = tr - s1^2 + 2 det / s1 with the right sign.
     zero = F.lit(0.0)
     df = df.withColumn(f"{t}s1", F.sqrt(F.greatest(mean + 2 * dev * F.cos(F.col(f"{t}angle")), zero)))
     s1 = F.col(f"{t}s1")
-    rest = F.when(s1 > 0, tr - s1 * s1 + 2 * dt / s1).otherwise(zero)
+    rest = F.when(s1 > 0, tr - s1 * s1 + 2 * certain(dt / s1)).otherwise(zero)
     df = df.withColumn(f"{t}r0", s1 + F.sqrt(F.greatest(rest, zero)))
-    for step in range(4):
+    for step in range(NEWTON_STEPS):
         x = F.col(f"{t}r{step}")
         value = ((x * x - 2 * tr) * x - 8 * dt) * x + 2 * sq - tr * tr
         slope = 4 * (x * x - tr) * x - 8 * dt
-        moved = F.when(F.abs(slope) > 1e-6 * x * x * x, x - value / slope).otherwise(x)
+        moved = F.when(F.abs(slope) > 1e-6 * x * x * x, x - certain(value / slope)).otherwise(x)
         df = df.withColumn(f"{t}r{step + 1}", moved)
-    ssd = F.greatest(F.col(f"{t}spread") - 2 * F.col(f"{t}r4"), F.lit(0.0))
-    return df.withColumn(out, ssd).select(*keep, out)
+    ssd = F.greatest(F.col(f"{t}spread") - 2 * F.col(f"{t}r{NEWTON_STEPS}"), F.lit(0.0))
+    # The generator keeps later filters on the result above it: pushed down through the steps, a
+    # condition would be spelled out in terms of the raw sums and grow exponentially.
+    return df.select(*keep, F.explode(F.array(ssd)).alias(out))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

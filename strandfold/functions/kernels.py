@@ -46,8 +46,28 @@ def best_rotations(cov: np.ndarray) -> np.ndarray:
 
 
 def best_overlap(cov: np.ndarray) -> np.ndarray:
-    """Largest eigenvalue of the key matrix of each covariance."""
-    return np.linalg.eigvalsh(symmetric_key_matrices(cov))[..., 3]
+    """Largest eigenvalue of the key matrix of each covariance, without eigenvectors.
+
+    Trigonometric estimate of the largest singular value, then Newton steps on the quartic.
+    """
+    gram = np.matmul(np.swapaxes(cov, -1, -2), cov)
+    trace = np.trace(gram, axis1=-2, axis2=-1)
+    square = (gram * gram).sum(axis=(-2, -1))
+    det = np.linalg.det(cov)
+    mean = trace / 3
+    dev = np.sqrt(np.maximum((square - trace * trace / 3) / 6, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shifted = det * det - mean * (trace * trace - square) / 2 + mean * mean * trace - mean**3
+        ratio = np.where(dev > 0, shifted / (2 * dev**3), 1.0)
+        angle = np.arccos(np.clip(ratio, -1.0, 1.0)) / 3
+        first = np.sqrt(np.maximum(mean + 2 * dev * np.cos(angle), 0.0))
+        rest = np.where(first > 0, trace - first * first + 2 * det / first, 0.0)
+        root = first + np.sqrt(np.maximum(rest, 0.0))
+        for _ in range(4):
+            value = ((root * root - 2 * trace) * root - 8 * det) * root + 2 * square - trace * trace
+            slope = 4 * (root * root - trace) * root - 8 * det
+            root = np.where(np.abs(slope) > 1e-6 * root**3, root - value / slope, root)
+    return root
 
 
 def transforms_of(cov: np.ndarray, mean_a: np.ndarray, mean_b: np.ndarray) -> np.ndarray:

@@ -9,11 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Session-level SQL settings the operators are written for.  Small Arrow batches matter because one
-# row of an orientation block already carries hundreds of matrices.
+# row of an orientation block already carries hundreds of matrices.  The method limit is the size above
+# which the JVM no longer compiles a method: larger fused stages fall back to per-operator code.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
@@ -34,6 +36,7 @@ def local_session(app: str = "strandfold", cpus: str | int = 8, memory: str = "1
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
     spark = builder.getOrCreate()
