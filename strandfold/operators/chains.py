@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandfold.functions import geometry as G
 from strandfold.functions.frames import axes_of
-from strandfold.functions.skew import spread_join
+from strandfold.functions.skew import HotKeys, hot_keys, spread_join
 from strandfold.session import task_count
 
 RES_ID = ["structure_id", "chain_id", "seq_num", "insert_code"]
@@ -129,13 +129,19 @@ def sequences(residues_: DataFrame, codes: Column) -> DataFrame:
     )
 
 
+def hot_structures(pairs: DataFrame) -> HotKeys:
+    """Structures that take part in very many pairs, on either side."""
+    return hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+
+
 def pair_sizes(pairs: DataFrame, chains: DataFrame) -> DataFrame:
     """Lengths of both chains of every pair and the largest possible number of matches."""
     size = chains.select("structure_id", "n")
+    hot = hot_structures(pairs)
     out = pairs
     for side in "ab":
         renamed = size.select(F.col("structure_id").alias(side), F.col("n").alias(f"n{side}"))
-        out = spread_join(out, renamed, side, ["pair_id"])
+        out = spread_join(out, renamed, side, ["pair_id"], hot)
     return out.withColumn("n_most", F.least("na", "nb")).select("pair_id", "a", "b", "na", "nb", "n_most")
 
 
@@ -146,12 +152,13 @@ def attach_chains(pairs: DataFrame, chains: DataFrame) -> DataFrame:
     The closing repartition has a fixed number of tasks because each row expands to many fragments:
     AQE would merge the partitions by their small bytes.
     """
+    hot = hot_structures(pairs)
     out = pairs.select("pair_id", "a", "b")
     for side in "ab":
         packed_ = chains.select(
             F.col("structure_id").alias(side), F.col("n").alias(f"n{side}"),
             *[F.col(f"{v}s").alias(f"{side}{v}") for v in "xyz"],
         )
-        out = spread_join(out, packed_, side, ["pair_id"])
+        out = spread_join(out, packed_, side, ["pair_id"], hot)
     out = out.select("pair_id", "a", "b", "na", "nb", *[s + v for s in "ab" for v in "xyz"])
     return out.repartition(task_count(pairs.sparkSession), "pair_id")

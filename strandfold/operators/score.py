@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.functions import geometry as G
-from strandfold.operators.superpose import distances, move_points, superpose
+from strandfold.functions.geometry import fitted_transform, identity, moment_sums
+from strandfold.operators.superpose import distances, move_points, side
 
 # Fixed values of the similarity score: weight, squared distance scale, price of a gap.
 SCORE_WEIGHT = 20.0
@@ -41,35 +41,21 @@ def chance_probability(z: Column) -> Column:
     return F.when(z < LEADING_TERM_FROM, 1 - F.exp(-F.exp(-z))).otherwise(F.exp(-z))
 
 
-def gap_counts(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches and gaps per alignment: (keys, n, gaps).
-
-    Between two consecutive ordered matches there is no gap exactly if they are neighbours on both
-    chains.  Each match therefore also votes for its successor cell; a cell with both votes continues
-    its predecessor.  This needs no ordering, only two partial aggregations.
-    """
-    here = matches.select(*keys, "i", "j", F.lit(1).alias("own"), F.lit(0).alias("next"))
-    after = matches.select(
-        *keys, (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), F.lit(0).alias("own"), F.lit(1).alias("next")
-    )
-    cells = here.unionByName(after).groupBy(*keys, "i", "j").agg(F.max("own").alias("own"), F.max("next").alias("next"))
-    return cells.groupBy(*keys).agg(
-        F.sum("own").alias("n"),
-        (F.sum("own") - 1 - F.sum(F.col("own") * F.col("next"))).alias("gaps"),
-    )
+def _score_sums() -> list[Column]:
+    """Score parts from residue rows (d2, gap): closeness of the matches less the price of the gaps."""
+    closeness = F.sum(SCORE_WEIGHT / (1 + F.col("d2") / SCORE_SCALE))
+    return [
+        F.count(F.lit(1)).alias("n"), F.sum("gap").alias("gaps"),
+        (closeness - GAP_PRICE * F.sum("gap")).alias("s_str"),
+    ]
 
 
 def alignment_score(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Score row per alignment in its current orientation, from residue-level matched points.
+    """Score row per alignment in its current orientation, from matched points.
 
     Columns: n, gaps, s_str, mu_str, delta_str, z_str, p_str.
     """
-    residue = distances(points, keys)
-    weighted = residue.groupBy(*keys).agg(
-        F.sum(SCORE_WEIGHT / (1 + F.col("d2") / SCORE_SCALE)).alias("_sum")
-    )
-    scored = gap_counts(residue, keys).join(weighted, keys)
-    return with_probability(scored.withColumn("s_str", F.col("_sum") - GAP_PRICE * F.col("gaps"))).drop("_sum")
+    return with_probability(distances(points, keys).groupBy(*keys).agg(*_score_sums()))
 
 
 def with_probability(scored: DataFrame) -> DataFrame:
@@ -85,17 +71,20 @@ def alignment_stats(points: DataFrame, keys: list[str], optimize: bool = True) -
 
     With ``optimize`` b is first superimposed on a by the matches, else taken as it stands.
     """
-    if optimize:
-        fits = superpose(points, keys, transform=True).select(*keys, "m")
-    else:
-        fits = points.select(*keys).distinct().withColumn("m", G.identity())
-    placed = move_points(points.join(fits, keys))
-    residue = distances(placed, keys)
-    per = residue.groupBy(*keys).agg(
+    own = [c for c in points.columns if c not in keys]
+    gathered = points.groupBy(*keys).agg(
+        *(moment_sums(side("a"), side("b")) if optimize else []),
+        F.collect_list(F.struct(*own)).alias("_rows"),
+    )
+    # Rows are gathered per alignment, as many as its residues; all that follows keeps this grouping
+    # and needs no further shuffle.
+    fit = fitted_transform() if optimize else identity()
+    placed = move_points(gathered.select(*keys, fit.alias("m"), F.explode("_rows").alias("r")).select(*keys, "m", "r.*"))
+    stats = distances(placed, [*keys, "m"]).groupBy(*keys, "m").agg(
         F.sum("d2").alias("ssd"), F.sqrt(F.sum("d2") / F.sum("atoms")).alias("rmsd"),
-        F.sqrt(F.max("d2")).alias("max_dist"),
+        F.sqrt(F.max("d2")).alias("max_dist"), *_score_sums(),
     )
-    return per.join(alignment_score(placed, keys), keys).join(fits, keys)
+    return with_probability(stats)
 
 
 def solution_profile(stats: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,7 +32,10 @@ def prefix_valid(candidates: DataFrame, violated: Column) -> DataFrame:
 
 
 def within_ratio(candidates: DataFrame, ratio: float) -> DataFrame:
-    """Candidates whose rmsd is at most ``ratio`` times the best of their pair and match count."""
+    """Candidates whose rmsd is at most ``ratio`` times the best of their pair and match count.
+
+    Candidates are read more than once, so costly ones should be materialised first.
+    """
     best = candidates.groupBy(*SLOT).agg(F.min("ssd").alias("_least"))
     joined = _with_slot_row(candidates, best)
     return joined.filter(F.col("ssd") <= F.col("_least") * ratio * ratio).drop("_least")
@@ -75,10 +78,13 @@ def alternatives(
     aggregation, then everything similar to it (itself included) is dropped.  Which similar test is
     used is up to the caller; ``similar_orientation`` needs ``moments`` (pair_id, w) of chain b.
     """
-    remaining = within_ratio(candidates, rmsd_ratio) if rmsd_ratio is not None else candidates
+    remaining = cut_lineage(candidates)
+    if rmsd_ratio is not None:
+        remaining = within_ratio(remaining, rmsd_ratio)
     if moments is not None:
         remaining = spread_join(remaining, moments.select("pair_id", "w"), "pair_id", ["o_id", "n"])
-    remaining = cut_lineage(remaining)
+    if rmsd_ratio is not None or moments is not None:
+        remaining = cut_lineage(remaining)
     kept_columns = [c for c in candidates.columns if c not in SLOT]
     chosen = None
     for rank in range(1, count + 1):

@@ -17,22 +17,27 @@ def matched_points(matches: DataFrame, paired: DataFrame, atoms_per_residue: int
 
     ``matches`` is (pair_id, k, i, j) plus any further columns; ``paired`` comes from
     ``attach_chains``.  The match rows of a pair are as few as its residues, so the long side is
-    grouped once by pair and the packed chains are read by index.
+    grouped once by pair and the packed chains are read by index.  ``gap`` is 1 where a match does not
+    directly continue the one before on both chains.
     """
     extra = [c for c in matches.columns if c not in ("pair_id", "k", "i", "j")]
     keys = ["pair_id", *extra]
-    grouped = matches.groupBy(*keys).agg(F.collect_list(F.struct("k", "i", "j")).alias("ms"))
+    grouped = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "i", "j"))).alias("ms"))
     joined = grouped.join(paired, "pair_id")
-    q = F.explode(F.sequence(F.lit(0), F.lit(atoms_per_residue - 1)))
-    rows = joined.select(*keys, F.explode("ms").alias("m"), *[s + v for s in "ab" for v in "xyz"])
+    before = lambda at: F.try_element_at("ms", at)  # 1-based, so this is the match before number at
+    broken = lambda m, at: (m["i"] > before(at)["i"] + 1) | (m["j"] > before(at)["j"] + 1)
+    listed = F.transform("ms", lambda m, at: F.struct(
+        m["k"].alias("k"), m["i"].alias("i"), m["j"].alias("j"),
+        F.when((at > 0) & broken(m, F.greatest(at, F.lit(1))), 1).otherwise(0).alias("gap"),
+    ))
+    rows = joined.select(*keys, F.explode(listed).alias("m"), *[s + v for s in "ab" for v in "xyz"])
     if atoms_per_residue > 1:
-        rows = rows.withColumn("q", q)
-        at = {"a": F.col("m.i") * atoms_per_residue + F.col("q"), "b": F.col("m.j") * atoms_per_residue + F.col("q")}
+        rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(atoms_per_residue - 1))))
     else:
         rows = rows.withColumn("q", F.lit(0))
-        at = {"a": F.col("m.i"), "b": F.col("m.j")}
+    at = {s: F.col(f"m.{v}") * atoms_per_residue + F.col("q") for s, v in (("a", "i"), ("b", "j"))}
     return rows.select(
-        *keys, "m.k", "m.i", "m.j", "q",
+        *keys, "m.k", "m.i", "m.j", "m.gap", "q",
         *[F.col(s + v)[at[s]].alias(s + v) for s in "ab" for v in "xyz"],
     )
 
@@ -67,7 +72,7 @@ def apply_transform(points: DataFrame, m: str = "m") -> DataFrame:
 def distances(points: DataFrame, keys: list[str]) -> DataFrame:
     """Residue-level squared distances: the sum over the atoms of a residue pair."""
     d2 = G.squared_distance(side("a"), side("b"))
-    return points.groupBy(*keys, "k", "i", "j").agg(
+    return points.groupBy(*keys, "k", "i", "j", "gap").agg(
         F.sum(d2).alias("d2"), F.count(F.lit(1)).alias("atoms")
     )
 
