@@ -47,7 +47,7 @@ def require_atoms(residues_: DataFrame, atoms: DataFrame, names: list[str]) -> D
     """Keep the residues that have every named atom; positions are renumbered."""
     complete = (
         _wanted(atoms, names).groupBy(*RES_ID)
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("q"))).alias("seen"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, q)")).alias("seen"))
         .filter(F.col("seen") == (1 << len(names)) - 1)
     )
     return renumbered(residues_.join(complete, RES_ID, "left_semi"))

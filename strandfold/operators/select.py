@@ -72,53 +72,58 @@ def selection_intervals(residues: DataFrame, spec: str, strict: bool = True) ->
     fits; the last is searched from there on, and without an insert code it is the last residue of its
     number.  With ``strict`` a visited chain that lacks an end is an error, else it is skipped.
     """
-    runs = _chain_runs(residues)
     whole = W.partitionBy("structure_id")
-    parts = []
+    df = _chain_runs(residues)
+    found = []
     for at, term in enumerate(parse_selection(spec)):
-        begin = F.min("run") if term.first_chain is None else F.min(F.when(F.col("chain_id") == term.first_chain, F.col("run")))
-        df = runs.withColumn("_begin", begin.over(whole))
-        if strict:
-            df = df.withColumn("_begin", F.coalesce("_begin", F.raise_error(
-                F.lit(f"chain {term.first_chain} not found")).cast("bigint")))
-        df = df.filter(F.col("run") >= F.col("_begin"))
-        # an open end means the chain of the last residue of the structure
-        last_chain = F.max_by("chain_id", "run").over(whole) if term.last_chain is None else F.lit(term.last_chain)
-        df = df.withColumn("_last_chain", last_chain)
-        df = df.withColumn("_stop", F.min(F.when(F.col("chain_id") == F.col("_last_chain"), F.col("run"))).over(whole))
-        df = df.filter(F.col("_stop").isNull() | (F.col("run") <= F.col("_stop")))
-        head = F.col("rs")
-        if term.first is not None:
-            head = F.filter("rs", lambda r: _same(r, term.first))
-        df = df.withColumn("first_pos", F.try_element_at(head, F.lit(1))["pos"])
-        tail = F.filter("rs", lambda r: r["pos"] >= F.col("first_pos"))
-        if term.last is None:
-            last = F.try_element_at(tail, F.lit(-1))["pos"]
+        df, interval = _term_interval(df, term, at, whole, strict)
+        found.append(interval)
+    # one pass over the chain runs serves all terms
+    rows = df.select("structure_id", F.explode(F.array(*found)).alias("t")).select("structure_id", "t.*")
+    return rows.filter("visited and first_pos is not null and last_pos is not null").drop("visited")
+
+
+def _term_interval(df: DataFrame, term: Term, at: int, whole, strict: bool):
+    """Add the working columns of one term and describe its interval in every chain run."""
+    name = lambda c: f"_{c}{at}"
+    col = lambda c: F.col(name(c))
+    run, chain = F.col("run"), F.col("chain_id")
+    begin = F.min(run if term.first_chain is None else F.when(chain == term.first_chain, run)).over(whole)
+    if strict and term.first_chain is not None:
+        absent = F.raise_error(F.lit(f"chain {term.first_chain} not found")).cast("bigint")
+        begin = F.coalesce(begin, absent)
+    # an open end means the chain of the last residue of the structure
+    last_chain = F.max_by(chain, run).over(whole) if term.last_chain is None else F.lit(term.last_chain)
+    df = df.withColumns({name("begin"): begin, name("chain"): last_chain})
+    ends = (run >= col("begin")) & (chain == col("chain"))
+    df = df.withColumn(name("stop"), F.min(F.when(ends, run)).over(whole))
+    visited = (run >= col("begin")) & (col("stop").isNull() | (run <= col("stop")))
+    head = F.col("rs") if term.first is None else F.filter("rs", lambda r: _same(r, term.first))
+    df = df.withColumn(name("first"), F.try_element_at(head, F.lit(1))["pos"])
+    tail = F.filter("rs", lambda r: r["pos"] >= col("first"))
+    if term.last is None:
+        last = F.try_element_at(tail, F.lit(-1))["pos"]
+    else:
+        number, code = term.last
+        same_number = F.filter(tail, lambda r: r["seq_num"] == number)
+        df = df.withColumn(name("at"), F.try_element_at(same_number, F.lit(1))["pos"])
+        df = df.withColumn(name("after"), F.filter("rs", lambda r: r["pos"] >= col("at")))
+        others = F.filter(name("after"), lambda r: r["seq_num"] != number)
+        df = df.withColumn(name("end"), F.try_element_at(others, F.lit(1))["pos"])
+        block = F.filter(name("after"), lambda r: col("end").isNull() | (r["pos"] < col("end")))
+        if code is None:
+            last = F.try_element_at(block, F.lit(-1))["pos"]
         else:
-            number, code = term.last
-            df = df.withColumn("_at", F.try_element_at(F.filter(tail, lambda r: r["seq_num"] == number), F.lit(1))["pos"])
-            after = F.filter("rs", lambda r: r["pos"] >= F.col("_at"))
-            df = df.withColumn("_after", after)
-            stop = F.try_element_at(F.filter("_after", lambda r: r["seq_num"] != number), F.lit(1))["pos"]
-            df = df.withColumn("_end", stop)
-            block = F.filter("_after", lambda r: F.col("_end").isNull() | (r["pos"] < F.col("_end")))
-            if code is None:
-                last = F.try_element_at(block, F.lit(-1))["pos"]
-            else:
-                last = F.try_element_at(F.filter(block, lambda r: r["insert_code"] == code), F.lit(1))["pos"]
-        df = df.withColumn("last_pos", last)
-        if strict:
-            missing = F.raise_error(F.concat(F.lit("selected residue not found in chain "), F.col("chain_id"))).cast("int")
-            df = df.withColumns({
-                "first_pos": F.coalesce("first_pos", missing), "last_pos": F.coalesce("last_pos", missing),
-            })
-        else:
-            df = df.filter(F.col("first_pos").isNotNull() & F.col("last_pos").isNotNull())
-        parts.append(df.select("structure_id", F.lit(at).alias("term"), "first_pos", "last_pos"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            last = F.try_element_at(F.filter(block, lambda r: r["insert_code"] == code), F.lit(1))["pos"]
+    first = col("first")
+    if strict:
+        message = F.concat(F.lit("selected residue not found in chain "), chain)
+        missing = F.when(visited, F.raise_error(message).cast("int"))
+        first, last = F.coalesce(first, missing), F.coalesce(last, missing)
+    return df, F.struct(
+        F.lit(at).alias("term"), first.alias("first_pos"), last.alias("last_pos"),
+        F.coalesce(visited, F.lit(False)).alias("visited"),
+    )
 
 
 def clip(residues: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -182,13 +187,13 @@ def sse_intervals(sse: DataFrame, residues: DataFrame, length: int, strict: bool
     Both ends selected: kept; none: dropped; one: an error, or dropped when not ``strict``.
     """
     placed = interval_positions(sse.filter(F.col("kind").isin("HELIX", "SHEET")), residues)
-    half = F.col("first_pos").isNull() != F.col("last_pos").isNull()
+    inside = F.col("first_pos").isNotNull() & F.col("last_pos").isNotNull()
     if strict:
+        half = F.col("first_pos").isNull() != F.col("last_pos").isNull()
         message = F.concat(F.lit("interval only partly selected in "), F.col("structure_id").cast("string"))
-        placed = placed.withColumn(
-            "first_pos", F.when(half, F.raise_error(message).cast("int")).otherwise(F.col("first_pos"))
-        )
-    kept = placed.filter(F.col("first_pos").isNotNull() & F.col("last_pos").isNotNull())
+        # one condition, so that no part of it can drop the row before the error is seen
+        inside = F.when(half, F.raise_error(message).cast("boolean")).otherwise(inside)
+    kept = placed.filter(inside)
     sizes = residues.groupBy("structure_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return extend_intervals(kept.join(sizes, "structure_id"), length).select(
         "structure_id", "kind", "first_pos", "last_pos", "extended"

@@ -189,9 +189,9 @@ def structure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = [F.col(f"first_{c}") for c in ("chain_id", "seq_num", "insert_code")]
     last = [F.col(f"last_{c}") for c in ("chain_id", "seq_num", "insert_code")]
     layout = {
-        "HELIX": "HELIX    1   1 XXX %s %4d%s XXX  %s %4d%s",
-        "SHEET": "SHEET    1   A 1 XXX %s%4d%s XXX  %s%4d%s",
-        "TURN": "TURN     1   1 XXX %s%4d%s XXX  %s%4d%s",
+        "HELIX": "HELIX    1   1 XXX %s %4d%s XXX %s %4d%s",
+        "SHEET": "SHEET    1   A 1 XXX %s%4d%s XXX %s%4d%s",
+        "TURN": "TURN     1   1 XXX %s%4d%s XXX %s%4d%s",
     }
     text = F.lit(None).cast("string")
     for kind, form in layout.items():

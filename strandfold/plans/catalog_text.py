@@ -148,8 +148,9 @@ def invalid_intervals(spark, sf):
 
 
 @register("sse_intervals", Q.query(
-    "SELECT sid AS structure_id, kind, f AS first_pos, l AS last_pos, e AS extended FROM src, "
-    "(VALUES ('HELIX', 1, 8, TRUE), ('SHEET', 12, 19, TRUE)) t(kind, f, l, e)"))
+    "SELECT sid AS structure_id, kind, f - pad AS first_pos, l + pad AS last_pos, pad > 0 AS extended FROM ("
+    "SELECT sid, k.kind, k.f, k.l, CAST(ceil((7 - (k.l - k.f + 1)) / 2.0) AS BIGINT) AS pad "
+    "FROM src, (VALUES ('HELIX', 2, 7), ('SHEET', 13, 17)) k(kind, f, l))"))
 def sse_intervals(spark, sf):
     """Helix and strand intervals found in the residues and widened to at least 7 residues."""
     return SEL.sse_intervals(bridge.interval_ids(spark, sf), bridge.residues(spark, sf), 7)
@@ -319,7 +320,7 @@ def align_report_mismatches(spark, sf):
 
 
 @register("parse_transforms", Q.query(
-    f"SELECT pid * 4 + o AS doc_id, {num('c', 'm11')}, {num('-s', 'm12')}, {num('o', 'm14')}, {num('s', 'm21')}, 1.0::DOUBLE AS m33 FROM axo"))
+    f"SELECT pid * 4 + o AS doc_id, {num('c::DOUBLE', 'm11')}, {num('-s::DOUBLE', 'm12')}, {num('o::DOUBLE', 'm14')}, {num('s::DOUBLE', 'm21')}, 1.0::DOUBLE AS m33 FROM axo"))
 def parse_transforms(spark, sf):
     """Transform files written from the given orientations and read back."""
     text = bridge.axis_orientations(spark, sf).select(

@@ -53,7 +53,7 @@ def query(final: str, *ctes: str, recursive: bool = False) -> str:
 
 def num(expr: str, name: str, digits: int = 4) -> str:
     """Rounded output column without negative zero."""
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 def moments(source: str, keys: str, name: str = "mom") -> str:

@@ -76,7 +76,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def task_count(spark: SparkSession) -> int:
     """Partitions for CPU-heavy steps, whose cost has nothing to do with their bytes.
 
-    An explicit number keeps AQE from merging many small-but-expensive partitions into one task.
+    Three per core of the cluster unless ``spark.strandfold.tasks`` says otherwise.  An explicit
+    number keeps AQE from merging many small-but-expensive partitions into one task.
     """
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 3 * spark.sparkContext.defaultParallelism)
+    wanted = spark.conf.get("spark.strandfold.tasks", None)
+    return int(wanted) if wanted else 3 * spark.sparkContext.defaultParallelism

@@ -124,7 +124,8 @@ def align_report_mismatches(pairs: DataFrame, residues: DataFrame, owners: DataF
 
 def parse_transforms(docs: DataFrame) -> DataFrame:
     """Documents of twelve numbers as transforms: (doc_id, m)."""
-    numbers = F.transform(F.split(F.trim("text"), r"\s+"), lambda v: v.cast("double"))
+    words = F.filter(F.split("text", r"\s+"), lambda v: v != "")
+    numbers = F.transform(words, lambda v: v.cast("double"))
     twelve = F.when(F.size(numbers) == 12, numbers).otherwise(
         F.raise_error(F.lit("a transform file holds 12 numbers")).cast("array<double>")
     )
