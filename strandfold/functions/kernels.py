@@ -116,62 +116,72 @@ def layered_solve(cost: np.ndarray, n_max: int, keep_moves: bool):
     moves = np.zeros((n_max, m, n, k), dtype=np.uint8) if keep_moves else None
     layer = None
     for depth in range(n_max):
-        fresh = cost[depth:, depth:].copy()
-        if layer is not None:
-            fresh += layer[:-1, :-1]
-        layer = running_minimum(fresh)
+        pairs = cost[depth:, depth:]
+        layer = running_minimum(pairs.copy() if layer is None else pairs + layer[:-1, :-1])
         totals[depth] = layer[-1, -1]
         if keep_moves:
             view = moves[depth, depth:, depth:]
-            view[1:][layer[1:] == layer[:-1]] = 2
-            view[:, 1:][layer[:, 1:] == layer[:, :-1]] = 1
+            np.multiply(layer[1:] == layer[:-1], np.uint8(2), out=view[1:])
+            np.copyto(view[:, 1:], 1, where=layer[:, 1:] == layer[:, :-1])
         if not np.isfinite(totals[depth]).any():
             break
     return totals, moves
 
 
-def trace_layers(moves: np.ndarray, depths: np.ndarray, columns: np.ndarray):
+def trace_layers(moves: np.ndarray, depths: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Follow the move codes back for several (layer count, orientation) solutions at once.
 
-    ``depths`` are match counts, ``columns`` the orientation of each solution.  Returns two int arrays
-    (solutions, max depth) with the residue numbers in increasing order, -1 beyond the match count.
+    ``depths`` are match counts, ``columns`` the orientation of each solution.  Returns the matched
+    cells i * n + j of every solution in increasing order, (solutions, max depth), -1 past its count.
     """
-    count = len(depths)
-    width = int(depths.max()) if count else 0
-    pos_a = np.full((count, width), -1, dtype=np.int32)
-    pos_b = np.full((count, width), -1, dtype=np.int32)
+    _, m, n, k = moves.shape
+    codes = moves.reshape(-1)
+    cells = np.full((len(depths), int(depths.max()) if len(depths) else 0), -1, dtype=np.int64)
     left = depths.astype(np.int64) - 1
-    i = np.full(count, moves.shape[1] - 1, dtype=np.int64)
-    j = np.full(count, moves.shape[2] - 1, dtype=np.int64)
-    live = np.arange(count)
+    at = ((left * m + m - 1) * n + n - 1) * k + columns
+    back = np.array([m * n * k + n * k + k, k, n * k])  # steps of the codes in the flat table
+    live = np.arange(len(depths))
     while live.size:
-        code = moves[left[live], i[live], j[live], columns[live]]
-        paired = live[code == 0]
-        pos_a[paired, left[paired]] = i[paired]
-        pos_b[paired, left[paired]] = j[paired]
-        left[paired] -= 1
-        i[live] -= code != 1
-        j[live] -= code != 2
-        live = live[left[live] >= 0]
-    return pos_a, pos_b
-
-
-def matched_moments(a: np.ndarray, b: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray):
-    """Covariance, means and spread of the matched atoms of each solution (rows of pos_a/pos_b)."""
-    used = (pos_a >= 0).astype(float)
-    pa = a[np.maximum(pos_a, 0)] * used[:, :, None, None]
-    pb = b[np.maximum(pos_b, 0)] * used[:, :, None, None]
-    atoms = used.sum(axis=1) * a.shape[1]
-    pa = pa.reshape(len(pos_a), -1, 3)
-    pb = pb.reshape(len(pos_b), -1, 3)
-    mean_a = pa.sum(axis=1) / atoms[:, None]
-    mean_b = pb.sum(axis=1) / atoms[:, None]
-    weight = np.repeat(used, a.shape[1], axis=1)[:, :, None]
-    pa = (pa - mean_a[:, None]) * weight
-    pb = (pb - mean_b[:, None]) * weight
-    cov = np.matmul(pa.transpose(0, 2, 1), pb)
-    spread = (pa * pa).sum(axis=(1, 2)) + (pb * pb).sum(axis=(1, 2))
-    return cov, mean_a, mean_b, spread
+        code = codes[at]
+        paired = code == 0
+        rows = live[paired]
+        cells[rows, left[rows]] = at[paired]
+        left[rows] -= 1
+        at -= back[code]
+        more = left[live] >= 0
+        if not more.all():
+            live, at = live[more], at[more]
+    return np.where(cells < 0, -1, cells // k % (m * n))
+
+
+def cell_positions(cells: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residue numbers on both chains of matched cells, -1 where there is none."""
+    none = cells < 0
+    return np.where(none, -1, cells // n), np.where(none, -1, cells % n)
+
+
+def matched_moments(a: np.ndarray, b: np.ndarray, cells: np.ndarray):
+    """Covariance, means and spread of the matched atoms of each solution (a row of ``cells``).
+
+    The sums of every residue pair are tabulated once and added up along the matches.
+    """
+    mean_a, mean_b = a.mean(axis=(0, 1)), b.mean(axis=(0, 1))
+    ca, cb = a - mean_a, b - mean_b
+    m, n, atoms = len(a), len(b), a.shape[1]
+    table = np.empty((m, n, 16))
+    table[..., 0:3] = ca.sum(axis=1)[:, None]
+    table[..., 3:6] = cb.sum(axis=1)[None]
+    table[..., 6:15] = np.einsum("iqr,jqc->ijrc", ca, cb).reshape(m, n, 9)
+    table[..., 15] = (ca * ca).sum(axis=(1, 2))[:, None] + (cb * cb).sum(axis=(1, 2))[None]
+    used = cells >= 0
+    counts = used.sum(axis=1)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    sums = np.add.reduceat(table.reshape(m * n, 16)[cells[used]], starts, axis=0)
+    size = (counts * atoms)[:, None].astype(float)
+    mid_a, mid_b = sums[:, 0:3] / size, sums[:, 3:6] / size
+    cov = sums[:, 6:15].reshape(-1, 3, 3) - sums[:, 0:3, None] * mid_b[:, None, :]
+    spread = sums[:, 15] - ((mid_a * mid_a + mid_b * mid_b) * size).sum(axis=1)
+    return cov, mid_a + mean_a, mid_b + mean_b, spread
 
 
 def longest_ordered_matching(allowed: np.ndarray) -> np.ndarray:

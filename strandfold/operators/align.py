@@ -160,7 +160,7 @@ def _block_solutions(row: dict, search: Search):
         traced = None
         if search.refine:
             traced = kernels.trace_layers(moves, depth, column)
-            cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, *traced)
+            cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, traced)
             ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
         rmsd = np.sqrt(ssd / (depth * atoms))
         if search.max_rmsd is not None:
@@ -177,11 +177,12 @@ def _block_solutions(row: dict, search: Search):
         if not len(pick):
             continue
         if traced is None:
-            pos_a, pos_b = kernels.trace_layers(moves, depth[pick], column[pick])
+            cells = kernels.trace_layers(moves, depth[pick], column[pick])
             fitted = t[column[pick]]
         else:
-            pos_a, pos_b = (p[pick] for p in traced)
+            cells = traced[pick]
             fitted = kernels.transforms_of(cov[pick], mean_a[pick], mean_b[pick])
+        pos_a, pos_b = kernels.cell_positions(cells, len(b))
         yield o_ids[column[pick]], depth[pick], ssd[pick], rmsd[pick], fitted, pos_a, pos_b
 
 
@@ -347,7 +348,8 @@ def gap_align(
                         continue
                     pos_a, pos_b, n, ssd, m = pos_a[keep], pos_b[keep], n[keep], ssd[keep], t[keep]
                     if refine:
-                        cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, pos_a, pos_b)
+                        cells = np.where(pos_a < 0, -1, pos_a.astype(np.int64) * len(b) + pos_b)
+                        cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, cells)
                         ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
                         m = kernels.transforms_of(cov, mean_a, mean_b)
                     used = pos_a >= 0

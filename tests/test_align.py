@@ -173,7 +173,7 @@ def test_own_cost_function(world):
 def test_ties_leave_residues_out_first():
     cost = np.zeros((3, 3, 1))
     _, moves = kernels.layered_solve(cost, 2, True)
-    a, b = kernels.trace_layers(moves, np.array([2]), np.array([0]))
+    a, b = kernels.cell_positions(kernels.trace_layers(moves, np.array([2]), np.array([0])), 3)
     assert (a.tolist(), b.tolist()) == ([[0, 1]], [[0, 1]])
 
 
