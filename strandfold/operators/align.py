@@ -72,17 +72,19 @@ def orientation_blocks(
     """Blocks of orientations with the packed chains of their pair.
 
     The chains are copied once per block and joined on (pair_id, block), so no join key is hot.
-    ``spans`` gives the last block number per pair; without it, it is read off the orientations.
+    ``spans`` (pair_id, last_block) says that the blocks of a pair are 0..last_block, which saves
+    reading the orientations twice; without it the blocks in use are read off them.
     """
     numbered = orientations.withColumn("block", F.floor(F.col("o_id") / block))
     grouped = numbered.groupBy("pair_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("o_id", "m"))).alias("os")
     )
     if spans is None:
-        spans = orientations.groupBy("pair_id").agg(F.floor(F.max("o_id") / block).alias("last_block"))
-    homes = paired.join(spans, "pair_id").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_block").cast("long")))
-    ).drop("last_block")
+        homes = numbered.select("pair_id", "block").distinct().join(paired, "pair_id")
+    else:
+        homes = paired.join(spans, "pair_id").withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_block").cast("long")))
+        )
     return grouped.join(homes, ["pair_id", "block"]).select(
         "pair_id", "block", "na", "nb", F.col("os.o_id").alias("o_ids"),
         F.flatten("os.m").alias("ms"), *[s + v for s in "ab" for v in "xyz"],
@@ -229,7 +231,10 @@ def layered_align(blocks: DataFrame, search: Search = Search()) -> DataFrame:
 
 
 def reachable_matches(blocks: DataFrame, max_dist: float, atoms_per_residue: int = 1) -> DataFrame:
-    """Most ordered matches each orientation can make within ``max_dist``: (pair_id, o_id, reach)."""
+    """Most ordered matches each orientation can make within ``max_dist``.
+
+    (pair_id, o_id, reach, n_most), n_most being the length of the shorter chain.
+    """
 
     def run(batches):
         for batch in batches:
@@ -247,17 +252,17 @@ def reachable_matches(blocks: DataFrame, max_dist: float, atoms_per_residue: int
                             pa.array(np.full(len(reach), row["pair_id"]), pa.int64()),
                             pa.array(row["o_ids"][start : start + step], pa.int64()),
                             pa.array(reach, pa.int32()),
+                            pa.array(np.full(len(reach), min(len(a), len(b))), pa.int32()),
                         ],
-                        ["pair_id", "o_id", "reach"],
+                        ["pair_id", "o_id", "reach", "n_most"],
                     )
 
-    return _spread(blocks).mapInArrow(run, "pair_id bigint, o_id bigint, reach int")
+    return _spread(blocks).mapInArrow(run, "pair_id bigint, o_id bigint, reach int, n_most int")
 
 
 def orientation_filter(blocks: DataFrame, max_dist: float, n_need: int | float) -> DataFrame:
     """Orientations that can make at least ``n_need`` ordered matches within ``max_dist``."""
-    sizes = blocks.select("pair_id", F.least("na", "nb").alias("n_most")).distinct()
-    reached = reachable_matches(blocks, max_dist).join(sizes, "pair_id")
+    reached = reachable_matches(blocks, max_dist)
     return reached.filter(F.col("reach") >= match_count(n_need, F.col("n_most"))).drop("n_most")
 
 

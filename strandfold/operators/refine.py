@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandfold.operators.align import Search, best_single_answer, gap_align, layered_align, orientation_blocks
+from strandfold.operators.orient import BLOCK
 from strandfold.operators.superpose import match_moments, matched_points
 from strandfold.functions import geometry as G
 from strandfold.operators.solutions import best_per_n
@@ -44,7 +45,9 @@ def refine(
         seeds = current.filter("changed").drop("m")
         fits = _own_fits(seeds, paired, ["n"], search.atoms_per_residue)
         oriented = fits.select("pair_id", F.col("n").cast("long").alias("o_id"), "m")
-        found = best_per_n(layered_align(orientation_blocks(oriented, paired), best))
+        # orientation ids are match counts here, so the chain lengths bound the blocks
+        spans = paired.select("pair_id", F.floor(F.least("na", "nb") / BLOCK).alias("last_block"))
+        found = best_per_n(layered_align(orientation_blocks(oriented, paired, spans), best))
         new = found.select("pair_id", "n", *[F.col(c).alias(f"_{c}") for c in ("o_id", "ssd", "rmsd", "m", "matches")])
         joined = current.join(new, ["pair_id", "n"], "full_outer")
         gain = F.col("ssd").isNull() | (F.col("_ssd") < F.col("ssd") * (1 - LEAST_GAIN))
@@ -81,8 +84,9 @@ def refine_ranks(
         oriented = fits.select(
             "pair_id", (F.col("n").cast("long") + F.col("rank").cast("long") * width).alias("o_id"), "m"
         )
-        # pack densely so that block numbers stay small
-        own = layered_align(orientation_blocks(oriented, paired, _dense(oriented), block=width), every)
+        # one block per rank
+        spans = others.groupBy("pair_id").agg(F.max("rank").alias("last_block"))
+        own = layered_align(orientation_blocks(oriented, paired, spans, block=width), every)
         own = own.filter(F.col("n") == F.col("o_id") % width).select(
             "pair_id", "n", F.floor(F.col("o_id") / width).cast("int").alias("rank"),
             *[F.col(c).alias(f"_{c}") for c in ("ssd", "rmsd", "m", "matches")],
@@ -97,10 +101,6 @@ def refine_ranks(
     return top.select(*solutions.columns).unionByName(others.select(*solutions.columns))
 
 
-def _dense(oriented: DataFrame, width: int = 1 << 20) -> DataFrame:
-    return oriented.groupBy("pair_id").agg(F.floor(F.max("o_id") / width).alias("last_block"))
-
-
 def refine_single(
     answers: DataFrame, paired: DataFrame, max_rounds: int = 20, atoms_per_residue: int = 1, **criterion
 ) -> DataFrame:
@@ -110,8 +110,9 @@ def refine_single(
     for _ in range(max_rounds):
         seeds = current.filter("changed").drop("m")
         fits = _own_fits(seeds, paired, ["o_id"], atoms_per_residue).withColumn("o_id", F.lit(0).cast("long"))
+        spans = paired.select("pair_id", F.lit(0).alias("last_block"))
         found = best_single_answer(gap_align(
-            orientation_blocks(fits, paired), refine=True, atoms_per_residue=atoms_per_residue, **criterion
+            orientation_blocks(fits, paired, spans), refine=True, atoms_per_residue=atoms_per_residue, **criterion
         ))
         fields = [c for c in columns if c not in ("pair_id", "o_id")]
         new = found.select("pair_id", *[F.col(c).alias(f"_{c}") for c in fields])

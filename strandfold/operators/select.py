@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandfold.functions.skew import spread_join
-from strandfold.operators.chains import RES_ID, renumbered
-from strandfold.sources.structures import ATOM_FIELDS, parse_sse, record_kind
+from strandfold.operators.chains import RES_ID, hot_structures, renumbered
+from strandfold.sources.structures import INTERVAL_FIELDS, atom_residue, interval_end, record_kind
 
 # One term of a selection: [first[code]][-last[code]][.chain[-chain]], "*" for an open end.
 _RESIDUE = r"(?:(\*)|(-?\d+)([^\s.,\-\d*])?)"
@@ -211,10 +211,11 @@ def sse_interval_pairs(sse: DataFrame, pairs: DataFrame, limit: int | None = 200
     packed = sse.groupBy("structure_id").agg(
         F.array_sort(F.collect_list(F.struct("kind", "first_pos", "last_pos"))).alias("ss")
     )
+    hot = hot_structures(pairs)
     out = pairs.select("pair_id", "a", "b")
     for side in "ab":
         mine = packed.select(F.col("structure_id").alias(side), F.col("ss").alias(f"s{side}"))
-        out = spread_join(out, mine, side, ["pair_id"])
+        out = spread_join(out, mine, side, ["pair_id"], hot)
     if limit is not None:
         of = lambda side, kind: F.size(F.filter(f"s{side}", lambda s: s["kind"] == kind)).cast("long")
         boxes = of("a", "HELIX") * of("b", "HELIX") + of("a", "SHEET") * of("b", "SHEET")
@@ -237,25 +238,21 @@ def select_structure(lines: DataFrame, selected: DataFrame) -> DataFrame:
 
     Atom lines stay if their residue is selected, interval lines if both ends are, others always.
     """
-    ids = selected.select(*RES_ID).distinct()
+    ids = selected.select(*RES_ID).distinct().withColumn("_found", F.lit(1))
     kind = record_kind(F.col("line"))
-    atom_kinds = ["ATOM", "HETATM", "ANISOU"]
-    interval_kinds = ["HELIX", "SHEET", "TURN"]
-    part = lambda name: F.substring("line", *ATOM_FIELDS[name])
-    atoms = lines.filter(kind.isin(atom_kinds)).withColumns({
-        "chain_id": F.rpad(part("chain_id"), 1, " "), "seq_num": F.trim(part("seq_num")).try_cast("int"),
-        "insert_code": F.rpad(part("insert_code"), 1, " "),
-    })
-    kept_atoms = atoms.join(ids, RES_ID, "left_semi").select("structure_id", "line_no", "line")
-    spans = parse_sse(lines, strict=False)
-    for end in ("first", "last"):
-        renamed = ids.select("structure_id", *[F.col(c).alias(f"{end}_{c}") for c in RES_ID[1:]])
-        spans = spans.join(renamed, ["structure_id", *[f"{end}_{c}" for c in RES_ID[1:]]], "left_semi")
-    kept_spans = lines.filter(kind.isin(interval_kinds)).join(
-        spans.select("structure_id", "line_no"), ["structure_id", "line_no"], "left_semi"
-    ).select("structure_id", "line_no", "line")
-    others = lines.filter(~kind.isin(atom_kinds + interval_kinds)).select("structure_id", "line_no", "line")
-    return kept_atoms.unionByName(kept_spans).unionByName(others)
+    key = lambda parts: F.struct(*[value.alias(name) for name, value in parts.items()])
+    # the residues a line depends on: one for atoms, two for intervals, none for all others
+    needs = (
+        F.when(kind.isin("ATOM", "HETATM", "ANISOU"), F.array(key(atom_residue(F.col("line")))))
+        .when(kind.isin(*INTERVAL_FIELDS), F.array(*[key(interval_end(F.col("line"), kind, end)) for end in (0, 1)]))
+    )
+    asked = lines.select("structure_id", "line_no", "line", F.explode_outer(needs).alias("r"))
+    asked = asked.select("structure_id", "line_no", "line", "r.*", F.col("r").isNotNull().cast("int").alias("_asked"))
+    return (
+        asked.join(ids, RES_ID, "left").groupBy("structure_id", "line_no")
+        .agg(F.first("line").alias("line"), F.sum("_asked").alias("_asked"), F.count("_found").alias("_found"))
+        .filter("_asked = _found").select("structure_id", "line_no", "line")
+    )
 
 
 def reindex_matches(matches: DataFrame, owners: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

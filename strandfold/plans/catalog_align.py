@@ -94,7 +94,7 @@ rch AS (SELECT l.g // 4 AS pid, l.g % 4 AS o, max(l.v) AS reach FROM lcs l JOIN
     "SELECT pid AS pair_id, o AS o_id, reach FROM rch", _AXIS_CELLS, _REACH, recursive=True))
 def reachable_matches(spark, sf):
     """Most ordered matches within distance 4, for four given orientations of every pair."""
-    return A.reachable_matches(axis_blocks(spark, sf), 4.0)
+    return A.reachable_matches(axis_blocks(spark, sf), 4.0).drop("n_most")
 
 
 @register("orientation_filter", Q.query(

@@ -62,23 +62,39 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     )
 
 
+def interval_end(line: Column, kind: Column, end: int) -> dict[str, Column]:
+    """Residue id of the first (0) or last (1) end of an interval record, NULL for other records."""
+    cut = F.substring(line, 1, INTERVAL_WIDTH)
+    out = {}
+    for part, (name, width) in enumerate((("chain_id", 1), ("seq_num", 4), ("insert_code", 1))):
+        value = F.lit(None).cast("string")
+        for record, fields in INTERVAL_FIELDS.items():
+            value = F.when(kind == record, _field(cut, fields[end][part], width)).otherwise(value)
+        out[name] = F.trim(value).try_cast("int") if name == "seq_num" else F.rpad(value, 1, " ")
+    return out
+
+
+def atom_residue(line: Column) -> dict[str, Column]:
+    """Residue id of an atom record."""
+    part = {name: _field(line, *ATOM_FIELDS[name]) for name in ("chain_id", "seq_num", "insert_code")}
+    return {
+        "chain_id": F.rpad(part["chain_id"], 1, " "), "seq_num": F.trim(part["seq_num"]).try_cast("int"),
+        "insert_code": F.rpad(part["insert_code"], 1, " "),
+    }
+
+
 def parse_sse(lines: DataFrame, strict: bool = True) -> DataFrame:
     """End points of HELIX, SHEET and TURN records.
 
     (structure_id, line_no, kind, first_* and last_* chain_id, seq_num, insert_code, valid).  With
     ``strict`` a record without two numbers is an error, else it is kept with valid = false.
     """
-    kind = record_kind(F.col("line"))
-    cut = F.substring("line", 1, INTERVAL_WIDTH)
-    rows = lines.withColumn("kind", kind).filter(kind.isin(*INTERVAL_FIELDS))
-    columns = []
-    for end, side in enumerate(("first", "last")):
-        for part, (name, width) in enumerate((("chain_id", 1), ("seq_num", 4), ("insert_code", 1))):
-            value = F.lit(None).cast("string")
-            for record, fields in INTERVAL_FIELDS.items():
-                value = F.when(F.col("kind") == record, _field(cut, fields[end][part], width)).otherwise(value)
-            value = F.trim(value).try_cast("int") if name == "seq_num" else F.rpad(value, 1, " ")
-            columns.append(value.alias(f"{side}_{name}"))
+    rows = lines.withColumn("kind", record_kind(F.col("line"))).filter(F.col("kind").isin(*INTERVAL_FIELDS))
+    columns = [
+        value.alias(f"{side}_{name}")
+        for end, side in enumerate(("first", "last"))
+        for name, value in interval_end(F.col("line"), F.col("kind"), end).items()
+    ]
     parsed = rows.select("structure_id", "line_no", "kind", *columns, "line")
     valid = F.col("first_seq_num").isNotNull() & F.col("last_seq_num").isNotNull()
     if strict:
