@@ -67,23 +67,23 @@ class Search:
 
 
 def orientation_blocks(
-    orientations: DataFrame, paired: DataFrame, spans: DataFrame | None = None, block: int = BLOCK
+    orientations: DataFrame, paired: DataFrame, last_block: Column | None = None, block: int = BLOCK
 ) -> DataFrame:
     """Blocks of orientations with the packed chains of their pair.
 
     The chains are copied once per block and joined on (pair_id, block), so no join key is hot.
-    ``spans`` (pair_id, last_block) says that the blocks of a pair are 0..last_block, which saves
-    reading the orientations twice; without it the blocks in use are read off them.
+    ``last_block`` states, in terms of ``paired``, that the blocks of a pair are 0..last_block, which
+    saves reading the orientations twice; without it the blocks in use are read off them.
     """
     numbered = orientations.withColumn("block", F.floor(F.col("o_id") / block))
     grouped = numbered.groupBy("pair_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("o_id", "m"))).alias("os")
     )
-    if spans is None:
+    if last_block is None:
         homes = numbered.select("pair_id", "block").distinct().join(paired, "pair_id")
     else:
-        homes = paired.join(spans, "pair_id").withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_block").cast("long")))
+        homes = paired.withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), last_block.cast("long")))
         )
     return grouped.join(homes, ["pair_id", "block"]).select(
         "pair_id", "block", "na", "nb", F.col("os.o_id").alias("o_ids"),

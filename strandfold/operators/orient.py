@@ -101,10 +101,9 @@ def fragment_orientations(
     )
 
 
-def fragment_spans(paired: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Number of the last orientation block of every pair, known from the chain lengths alone."""
-    last = F.floor((F.col("na").cast("long") * F.col("nb") - 1) / block)
-    return paired.select("pair_id", last.alias("last_block"))
+def last_fragment_block(block: int = BLOCK) -> Column:
+    """Number of the last orientation block of a pair, known from the chain lengths alone."""
+    return F.floor((F.col("na").cast("long") * F.col("nb") - 1) / block)
 
 
 def orientations_from_transforms(transforms: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def refine(
         fits = _own_fits(seeds, paired, ["n"], search.atoms_per_residue)
         oriented = fits.select("pair_id", F.col("n").cast("long").alias("o_id"), "m")
         # orientation ids are match counts here, so the chain lengths bound the blocks
-        spans = paired.select("pair_id", F.floor(F.least("na", "nb") / BLOCK).alias("last_block"))
-        found = best_per_n(layered_align(orientation_blocks(oriented, paired, spans), best))
+        last = F.floor(F.least("na", "nb") / BLOCK)
+        found = best_per_n(layered_align(orientation_blocks(oriented, paired, last), best))
         new = found.select("pair_id", "n", *[F.col(c).alias(f"_{c}") for c in ("o_id", "ssd", "rmsd", "m", "matches")])
         joined = current.join(new, ["pair_id", "n"], "full_outer")
         gain = F.col("ssd").isNull() | (F.col("_ssd") < F.col("ssd") * (1 - LEAST_GAIN))
@@ -76,6 +76,7 @@ def refine_ranks(
     ).withColumn("rank", F.lit(1))
     others = cut_lineage(solutions.filter("rank > 1").withColumn("changed", F.lit(True)))
     every = replace(search, keep="all", prefilter=None)
+    ranks = others.agg(F.max("rank")).first()[0] or 1
     rounds = 0
     while not others.filter("changed").isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
@@ -85,8 +86,7 @@ def refine_ranks(
             "pair_id", (F.col("n").cast("long") + F.col("rank").cast("long") * width).alias("o_id"), "m"
         )
         # one block per rank
-        spans = others.groupBy("pair_id").agg(F.max("rank").alias("last_block"))
-        own = layered_align(orientation_blocks(oriented, paired, spans, block=width), every)
+        own = layered_align(orientation_blocks(oriented, paired, F.lit(ranks), block=width), every)
         own = own.filter(F.col("n") == F.col("o_id") % width).select(
             "pair_id", "n", F.floor(F.col("o_id") / width).cast("int").alias("rank"),
             *[F.col(c).alias(f"_{c}") for c in ("ssd", "rmsd", "m", "matches")],
@@ -110,9 +110,8 @@ def refine_single(
     for _ in range(max_rounds):
         seeds = current.filter("changed").drop("m")
         fits = _own_fits(seeds, paired, ["o_id"], atoms_per_residue).withColumn("o_id", F.lit(0).cast("long"))
-        spans = paired.select("pair_id", F.lit(0).alias("last_block"))
         found = best_single_answer(gap_align(
-            orientation_blocks(fits, paired, spans), refine=True, atoms_per_residue=atoms_per_residue, **criterion
+            orientation_blocks(fits, paired, F.lit(0)), refine=True, atoms_per_residue=atoms_per_residue, **criterion
         ))
         fields = [c for c in columns if c not in ("pair_id", "o_id")]
         new = found.select("pair_id", *[F.col(c).alias(f"_{c}") for c in fields])

@@ -31,7 +31,7 @@ def candidates(
         packed = inside.groupBy("pair_id", stretch.alias("_s")).agg(F.collect_list(F.struct("i0", "j0")).alias("_at"))
         starts = paired.join(packed, "pair_id").select(*paired.columns, F.inline("_at"))
     oriented = O.fragment_orientations(starts, length, max_frag_rmsd, search.atoms_per_residue)
-    return A.layered_align(A.orientation_blocks(oriented, paired, O.fragment_spans(paired)), search)
+    return A.layered_align(A.orientation_blocks(oriented, paired, O.last_fragment_block()), search)
 
 
 def best_solutions(paired: DataFrame, search: A.Search, **orientation_options) -> DataFrame:

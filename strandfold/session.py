@@ -24,6 +24,10 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    # On one machine the default of 200 shuffle partitions only costs time (state stores most of all).
+    local = spark.sparkContext.master.startswith("local")
+    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 

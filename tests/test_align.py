@@ -117,7 +117,7 @@ def test_prefilter_only_drops_orientations(world):
     kept = search.candidates(paired, A.Search(keep="all", refine=False, prefilter=(3.0, 4)))
     assert kept.select("pair_id", "o_id", "n").subtract(every.select("pair_id", "o_id", "n")).isEmpty()
     starts = O.fragment_starts(paired, 4)
-    blocks = A.orientation_blocks(O.fragment_orientations(starts, 4), paired, O.fragment_spans(paired))
+    blocks = A.orientation_blocks(O.fragment_orientations(starts, 4), paired, O.last_fragment_block())
     good = {(r.pair_id, r.o_id) for r in A.orientation_filter(blocks, 3.0, 4).collect()}
     assert good == {(r.pair_id, r.o_id) for r in kept.select("pair_id", "o_id").distinct().collect()}
 
@@ -139,7 +139,7 @@ def test_blocks_and_chunks_do_not_change_the_result(spark, world, monkeypatch):
     _, _, paired, _ = world
     oriented = O.fragment_orientations(O.fragment_starts(paired, 4), 4)
     total = lambda block: SOL.best_per_n(A.layered_align(
-        A.orientation_blocks(oriented, paired, O.fragment_spans(paired, block), block), A.Search())).agg(F.sum("ssd")).first()[0]
+        A.orientation_blocks(oriented, paired, O.last_fragment_block(block), block), A.Search())).agg(F.sum("ssd")).first()[0]
     assert total(2) == pytest.approx(total(256))
 
 
