@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandfold.functions import geometry as G
+from strandfold.session import task_count
 
 BLOCK = 256
 
@@ -83,7 +84,11 @@ def fragment_fits(
     starts: DataFrame, length: int, max_frag_rmsd: float | None = None, atoms_per_residue: int = 1
 ) -> DataFrame:
     """RMSD of the best superposition of every fragment pair: (pair_id, o_id, i0, j0, frag_rmsd, ...)."""
-    fitted = G.with_min_ssd(fragment_moments(starts, length, atoms_per_residue), "frag_ssd")
+    sums = fragment_moments(starts, length, atoms_per_residue)
+    # A coalesce to the number of partitions there are already moves nothing; it ends the fused stage,
+    # and both halves stay below the size the JVM compiles (see ``attach_chains`` for the partitions).
+    sums = sums.coalesce(task_count(starts.sparkSession))
+    fitted = G.with_min_ssd(sums, "frag_ssd")
     fitted = fitted.withColumn("frag_rmsd", G.rmsd(F.col("frag_ssd"), F.col("cnt")))
     if max_frag_rmsd is not None:
         fitted = fitted.filter(F.col("frag_rmsd") <= max_frag_rmsd)
