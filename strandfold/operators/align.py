@@ -20,7 +20,7 @@ from strandfold.functions import kernels
 from strandfold.operators.orient import BLOCK
 from strandfold.session import task_count
 
-MEMORY_BUDGET = 96 << 20  # bytes of working tables per kernel call
+MEMORY_BUDGET = 256 << 20  # bytes of working tables per kernel call
 
 _SOLUTION = (
     "pair_id bigint, o_id bigint, n int, ssd double, rmsd double, m array<double>, "
@@ -53,6 +53,7 @@ class Search:
     ``prefilter = (distance, count)`` drops orientations that cannot reach ``count`` ordered matches
     within ``distance``.  ``refine`` scores a solution after superimposing its own matches.
     ``cost`` replaces the squared distance: a function of (a (m,Q,3), moved b (n,Q,3,K)) -> (m,n,K).
+    ``memory`` bounds the working tables of one task; long chains are solved in smaller batches.
     """
 
     n_min: int | float = 1
@@ -64,6 +65,7 @@ class Search:
     keep: str = "best"  # "best" of every block and n, or "all"
     cost: Callable | None = None
     atoms_per_residue: int = 1
+    memory: int = MEMORY_BUDGET
 
 
 def orientation_blocks(
@@ -123,9 +125,9 @@ def _lists(values: np.ndarray, keep: np.ndarray | None, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
-def _chunk(m: int, n: int, depth: int, atoms: int) -> int:
+def _chunk(m: int, n: int, depth: int, atoms: int, memory: int = MEMORY_BUDGET) -> int:
     per_orientation = m * n * (32 + depth) + depth * min(m, n) * atoms * 200
-    return max(1, MEMORY_BUDGET // per_orientation)
+    return max(1, memory // per_orientation)
 
 
 def _block_solutions(row: dict, search: Search):
@@ -136,7 +138,7 @@ def _block_solutions(row: dict, search: Search):
     low, high = max(row["n_lo"], 2), min(row["n_hi"], len(a), len(b))
     if low > high:
         return
-    step = _chunk(len(a), len(b), high, atoms)
+    step = _chunk(len(a), len(b), high, atoms, search.memory)
     for start in range(0, len(ids), step):
         o_ids, t = ids[start : start + step], mats[start : start + step]
         placed = kernels.moved(b, t)

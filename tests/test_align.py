@@ -135,12 +135,12 @@ def test_refinement_never_worsens_and_ends(world):
     assert all(again[k] == pytest.approx(after[k]) for k in after)
 
 
-def test_blocks_and_chunks_do_not_change_the_result(spark, world, monkeypatch):
+def test_blocks_and_chunks_do_not_change_the_result(world):
     _, _, paired, _ = world
     oriented = O.fragment_orientations(O.fragment_starts(paired, 4), 4)
-    total = lambda block: SOL.best_per_n(A.layered_align(
-        A.orientation_blocks(oriented, paired, O.last_fragment_block(block), block), A.Search())).agg(F.sum("ssd")).first()[0]
-    assert total(2) == pytest.approx(total(256))
+    total = lambda block, memory: SOL.best_per_n(A.layered_align(
+        A.orientation_blocks(oriented, paired, O.last_fragment_block(block), block), A.Search(memory=memory))).agg(F.sum("ssd")).first()[0]
+    assert total(2, 1 << 28) == pytest.approx(total(256, 1))
 
 
 def test_several_atoms_per_residue(spark):
