@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,26 @@ SETTINGS = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, wherever it was imported from.
+
+    The archive is only staged on the driver; Spark hands it to every executor.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_strandfold_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandfold-")) / "strandfold.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._strandfold_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to an existing session."""
+    """Apply the run-time settings to an existing session and make the package known to its workers."""
+    ship_package(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     # On one machine the default of 200 shuffle partitions only costs time (state stores most of all).
