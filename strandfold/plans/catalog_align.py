@@ -11,7 +11,6 @@ from strandfold.operators import histogram as H
 from strandfold.operators import orient as O
 from strandfold.operators import refine as R
 from strandfold.operators import solutions as SOL
-from strandfold.functions import geometry as G
 from strandfold.plans import bridge, search
 from strandfold.plans import oracle as Q
 from strandfold.plans.catalog_geometry import paired

@@ -256,9 +256,6 @@ def msf_mismatches(spark, sf):
     return M.msf_mismatches(M.read_aligned(docs(spark, sf), labels()), wanted)
 
 
-def _numbered(spark, sf):
-    return bridge.residues(spark, sf)
-
 
 @register("fssp_to_matches", Q.query(
     "SELECT pid AS doc_id, row_number() OVER (PARTITION BY pid ORDER BY i) - 1 AS k, i, i + 1 AS j FROM ("
