@@ -441,8 +441,8 @@ def repeats(docs: DataFrame, together: int = MOST_TOGETHER, with_kept: bool = Fa
     known = materialise(first_pass(keyed, marked_anchors(keyed, together), with_kept), "repeats")
     opened = known.filter("data is not null")
     more = compared(opened).unionByName(counted(opened))
-    more = more.select(*TEXT_KEY, F.explode("ranges").alias("range"))
-    more = more.groupBy(*TEXT_KEY).agg(F.collect_list("range").alias("more")).withColumnsRenamed({"_doc": "_d", "_text_key": "_k"})
+    more = more.groupBy(*TEXT_KEY).agg(F.flatten(F.collect_list("ranges")).alias("more"))
+    more = more.withColumnsRenamed({"_doc": "_d", "_text_key": "_k"})
     schema = _arrow(f"_doc long, {DONE}")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
