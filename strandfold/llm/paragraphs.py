@@ -24,6 +24,7 @@ SIMILAR = 0.8
 ROWS = 3
 BANDS = 9
 LEAST_WORDS = 20
+PARITY_WORDS = 4
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -65,6 +66,12 @@ def paragraph_id(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
+def parity(values: np.ndarray) -> list[int]:
+    """Parities of the set's hashes over 64 * PARITY_WORDS bits: two sets differ in at least as many elements as bits."""
+    flags = np.bincount((values % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def band_keys(runs: list[np.ndarray]) -> np.ndarray:
     """One key per paragraph and band, (paragraphs, BANDS), of the MinHash values of the band's rows."""
     every = np.concatenate(runs)
@@ -103,23 +110,26 @@ def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """(pid, shingles) for the paragraphs at the places ``wanted`` (pid, _doc, _key, line)."""
+    """(pid, shingles, parity) for the paragraphs at the places ``wanted`` (pid, _doc, _key, line)."""
     places = wanted.groupBy("_doc", "_key").agg(F.collect_set("line").alias("lines"))
     places = places.withColumnsRenamed({"_doc": "_d", "_key": "_k"})
     own = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    ddl = "pid long, shingles array<long>"
+    ddl = "pid long, shingles array<long>, parity array<long>"
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, marks = [], [], []
             for text, lines in zip(*[c.to_pylist() for c in batch.columns]):
                 chosen = set(lines)
                 for line, words in paragraphs(text, least_words):
                     if line in chosen:
                         ids.append(paragraph_id(words))
-                        sets.append(np.unique(shingles(words)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.types[0]), pa.array(sets, schema.types[1])], schema=schema)
+                        values = np.unique(shingles(words))
+                        sets.append(values.view(np.int64).tolist())
+                        marks.append(parity(values))
+            columns = [pa.array(c, t) for c, t in zip((ids, sets, marks), schema.types)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.join(places, own).select("text", "lines").mapInArrow(run, ddl).dropDuplicates(["pid"])
 
@@ -133,34 +143,81 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return both.filter(shared >= similar * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def size_class(size):
+    """Sizes in steps of about 5 %."""
+    return F.floor(F.log(size.cast("double")) * 20).cast("int")
+
+
+def across(placed: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of different components among ``placed`` (pid, component) that may be similar; none is missed.
+
+    Shingles are put in order of how many paragraphs have them.  If x is not larger than y and they are similar enough, the
+    first shingle that they share stands so early in both that what follows can still give the overlap they need.  So x
+    files its first shingles under its size class, and y each of its first under those size classes that are still
+    possible there; the exact bounds are checked as they meet, and so is a lower bound of the elements in only one set, from
+    parity bits.  In each file the component with most rows is only met by rows of others.
+    """
+    both = similar / (1 + similar)
+    each = placed.join(sets, "pid").select("pid", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    ordered = each.join(common, "token").groupBy("pid", "component", "size").agg(
+        F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("tokens"))
+    size, at = F.col("size"), F.col("at")
+    most = F.floor((size - at) / both + 1e-9) - size
+    first = F.floor(size - 2 * both * size + 1e-9).cast("int") + 1
+    small = ordered.select("pid", "component", "size", F.posexplode(F.slice("tokens", F.lit(1), first)).alias("at", "t"))
+    small = small.select("pid", "component", "size", most.alias("limit"), "t", size_class(size).alias("class"))
+    reach = F.floor(size - similar * size + 1e-9).cast("int") + 1
+    large = ordered.select("pid", "component", "size", F.posexplode(F.slice("tokens", F.lit(1), reach)).alias("at", "t"))
+    least = F.ceil(similar * size - 1e-9)
+    large = large.withColumn("limit", F.least(size, most)).filter(F.col("limit") >= least)
+    large = large.select("pid", "component", "size", "limit", "t", F.explode(
+        F.sequence(size_class(least), size_class(F.col("limit")))).alias("class"))
+    filed = small.withColumn("role", F.lit(0)).unionByName(large.withColumn("role", F.lit(1)))
+    filed = filed.select("pid", "component", F.xxhash64("t.token", "class").alias("file"), "role", "size", "limit")
+    marks = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)]
+    filed = materialise(filed.join(sets.select("pid", *marks), "pid"), "paragraph-files")
+    parts = filed.groupBy("file", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("file").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    main = main.filter("parts > 1").select("file", F.col("m.component").alias("main"))
+    others = filed.join(main, "file").filter("component <> main").select(
+        "file", F.col("role").alias("ra"), F.col("pid").alias("a"), F.col("component").alias("ca"),
+        F.col("size").alias("sa"), F.col("limit").alias("la"), *[F.col(f"p{k}").alias(f"x{k}") for k in range(PARITY_WORDS)])
+    any_ = filed.withColumnsRenamed({"role": "rb", "pid": "b", "component": "cb", "size": "sb", "limit": "lb"})
+    apart = " + ".join(f"bit_count(x{k} ^ p{k})" for k in range(PARITY_WORDS))
+    met = others.join(any_, "file").filter(
+        "ra <> rb and ca <> cb and sa <= lb and sb <= la and if(ra < rb, sa <= sb, sb <= sa) "
+        f"and {apart} <= {(1 - similar) / (1 + similar)!r} * (sa + sb) + 1e-9")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Verified links (a, b) between distinct paragraphs, enough to give all components of colliding pairs.
 
-    First every member of a bucket meets the bucket's smallest member, which is one pair per member however large the
-    bucket.  Pairs inside one component need no further look, so only buckets that still hold members of several
-    components go on, and there only pairs across components are compared.  No bucket is cut.
+    First every member of a bucket meets the bucket's hub, the member whose other buckets are fullest; that is one pair per
+    member however large the bucket.  Pairs inside one component need no further look, so only buckets that still hold
+    several components go on, and of their members only pairs across components that can still be similar are compared.
     """
     least = F.min(F.struct("_doc", "_key", "line"))
     distinct = found.groupBy("pid").agg(least.alias("at"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
     filed = distinct.select("pid", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("pivot")).filter("n > 1")
-    members = materialise(filed.join(shared.select("bucket", "pivot"), "bucket"), "paragraph-buckets")
+    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialise(filed.join(shared, "bucket"), "paragraph-buckets")
+    fullness = members.groupBy("pid").agg(F.sum("n").alias("full"))
+    hubs = members.join(fullness, "pid").groupBy("bucket").agg(F.max(F.struct("full", "pid")).alias("hub"))
 
-    needed = members.select("pid").distinct()
-    places = found.groupBy("pid").agg(least.alias("at")).join(needed, "pid", "left_semi").select("pid", "at.*")
+    places = found.groupBy("pid").agg(least.alias("at")).join(fullness, "pid", "left_semi").select("pid", "at.*")
     sets = materialise(shingle_sets(docs, places, least_words), "paragraph-shingles")
 
-    first = members.filter("pid <> pivot").select(F.col("pivot").alias("a"), F.col("pid").alias("b")).distinct()
+    first = members.join(hubs.select("bucket", "hub.pid").withColumnRenamed("pid", "hub"), "bucket").filter("pid <> hub")
+    first = first.select(F.least("hub", "pid").alias("a"), F.greatest("hub", "pid").alias("b")).distinct()
     near = materialise(verified(first, sets), "paragraph-links")
     part = components(near).withColumnRenamed("node", "pid")
     placed = members.select("bucket", "pid").join(part, "pid", "left")
     placed = placed.withColumn("component", F.coalesce("component", "pid"))
     several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rest = materialise(placed.join(several.select("bucket"), "bucket", "left_semi"), "paragraph-rest")
-    one = rest.select("bucket", F.col("pid").alias("a"), F.col("component").alias("ca"))
-    two = rest.select("bucket", F.col("pid").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return near.unionByName(verified(across, sets))
+    rest = placed.join(several, "bucket", "left_semi").select("pid", "component").distinct()
+    return near.unionByName(verified(across(materialise(rest, "paragraph-rest"), sets), sets))
 
 
 def near_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
