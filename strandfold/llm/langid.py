@@ -8,6 +8,7 @@ expectation-maximisation on labelled texts.  A word's likelihood is the sum over
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -25,6 +26,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 START = "▁"
 CACHE = 400_000
+BLOCK = 20_000
 FLOOR = 1e-8
 SMOOTH = 0.05
 
@@ -178,29 +180,42 @@ class Scorer:
         self.logs = np.zeros((CACHE, len(model.languages)))
 
     def learn(self, new: list[str]) -> None:
+        """Likelihoods of many words at once, by length, in blocks of bounded size."""
+        for group in by_length(new):
+            for k in range(0, len(group), BLOCK):
+                part = group[k : k + BLOCK]
+                at = len(self.rows)
+                self.logs[at : at + len(part)] = np.log(self.lattice.forward(part, self.table)[-1])
+                self.rows.update(zip(part, range(at, at + len(part))))
+
+    def ready(self, counts: list[Counter]) -> None:
+        """Have the likelihoods of all words of a batch of texts at hand; starts over when the cache is full."""
+        new = [w for w in set().union(*counts) if w not in self.rows]
         if len(self.rows) + len(new) > len(self.logs):
             self.rows.clear()
+            new = list(set().union(*counts))
             self.logs = np.zeros((max(CACHE, len(new)), self.logs.shape[1]))
-        for group in by_length(new):
-            sums = self.lattice.forward(group, self.table)[-1]
-            at = len(self.rows)
-            self.logs[at : at + len(group)] = np.log(sums)
-            self.rows.update(zip(group, range(at, at + len(group))))
+        self.learn(new)
 
     def score(self, counts: Counter) -> np.ndarray:
-        new = [w for w in counts if w not in self.rows]
-        if new:
-            if len(self.rows) + len(new) > len(self.logs):
-                new = list(counts)
-            self.learn(new)
         rows = self.rows
-        at = np.fromiter((rows[w] for w in counts), dtype=np.int64, count=len(counts))
+        at = np.fromiter(map(rows.__getitem__, counts), dtype=np.int64, count=len(counts))
         return np.fromiter(counts.values(), dtype=float, count=len(counts)) @ self.logs[at]
 
 
-def judge(scorer: Scorer | None, languages: list[str], text: str | None) -> tuple[str, float]:
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, model: Model) -> Scorer:
+    """The scorer of a broadcast model, kept by the worker process over its tasks; only the last one is kept."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(model)
+    return _SCORERS[name]
+
+
+def judge(scorer: Scorer, languages: list[str], counts: Counter) -> tuple[str, float]:
     """(language, its probability among the learned ones, all equally likely beforehand)."""
-    counts = Counter(words(text))
     if not counts or not languages:
         return UNKNOWN, 0.0
     logs = scorer.score(counts)
@@ -214,13 +229,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     Null texts, texts without a letter, and any text if nothing was learned get ``und`` and score 0.  Ties go to the
     language whose name sorts first.  Clashing columns of ``docs`` are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make(batches):
         model = shared.value
-        scorer = Scorer(model) if model.languages else None
+        scorer = scorer_of(name, model)
         for texts in batches:
-            rows = [judge(scorer, model.languages, t) for t in texts]
+            counts = [Counter(words(t)) for t in texts]
+            scorer.ready(counts)
+            rows = [judge(scorer, model.languages, c) for c in counts]
             yield [r[0] for r in rows], [r[1] for r in rows]
 
     return append_arrow(docs, {"lang_pred": "string", "score": "double"}, make, keep)

@@ -158,9 +158,12 @@ def secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float
     spans = [(k, F.col(f"_{name}")) for k, name in enumerate(KINDS[:3])]
     if model is not None:
         spans.append((3, F.filter("_token", lambda s: ratio(s["value"], model) > threshold)))
-    numbered = [F.transform(c, lambda s, k=k: F.struct(
-        s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), s["value"].alias("value")))
-        for k, c in spans]
+
+    def with_order(column: Column, k: int) -> Column:
+        return F.transform(column, lambda s: F.struct(
+            s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), s["value"].alias("value")))
+
+    numbered = [with_order(c, k) for k, c in spans]
     names = F.array(*map(F.lit, KINDS))
     ordered = F.transform(F.array_sort(F.concat(*numbered)), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["order"] + 1).alias("kind"),
