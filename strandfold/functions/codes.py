@@ -33,16 +33,16 @@ def name_of(letter: Column, codes: dict[str, str] | None = None) -> Column:
 def read_codes(spark: SparkSession, path: str) -> tuple[dict[str, str], str]:
     """A dictionary file (name and letter per line, ``unknown`` for the default) as (codes, default).
 
-    The file is a setting of a few lines, so reading it on the driver is bounded.
+    The file is a setting, read whole.
     """
-    rows = (r.value.split() for r in spark.read.text(path).limit(10_000).collect())
+    rows = (r.value.split() for r in spark.read.text(path).collect())
     codes = {r[0]: r[1] for r in rows if len(r) == 2}
     return codes, codes.pop("unknown", UNKNOWN)
 
 
 def read_atom_names(spark: SparkSession, path: str) -> list[str]:
     """A file with one atom name per line, leading blanks significant."""
-    return [r.value.rstrip() for r in spark.read.text(path).limit(10_000).collect() if r.value.strip()]
+    return [r.value.rstrip() for r in spark.read.text(path).collect() if r.value.strip()]
 
 
 def unknown_residues(residues: DataFrame, codes: dict[str, str] | None = None) -> DataFrame:

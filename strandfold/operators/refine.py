@@ -102,12 +102,14 @@ def refine_ranks(
 
 
 def refine_single(
-    answers: DataFrame, paired: DataFrame, max_rounds: int = 20, atoms_per_residue: int = 1, **criterion
+    answers: DataFrame, paired: DataFrame, max_rounds: int | None = None, atoms_per_residue: int = 1, **criterion
 ) -> DataFrame:
     """Refine one answer per pair: superimpose, align again at the same criterion, keep if better."""
     columns = answers.columns
     current = cut_lineage(answers.withColumn("changed", F.lit(True)))
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         seeds = current.filter("changed").drop("m")
         fits = _own_fits(seeds, paired, ["o_id"], atoms_per_residue).withColumn("o_id", F.lit(0).cast("long"))
         found = best_single_answer(gap_align(

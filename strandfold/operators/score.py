@@ -67,7 +67,7 @@ def with_probability(scored: DataFrame) -> DataFrame:
 
 
 def alignment_stats(points: DataFrame, keys: list[str], optimize: bool = True) -> DataFrame:
-    """One row per alignment: n, rmsd, max_dist, score columns and the transform used.
+    """One row per alignment: n, rmsd, max_dist and score columns.
 
     With ``optimize`` b is first superimposed on a by the matches, else taken as it stands.
     """
@@ -76,11 +76,11 @@ def alignment_stats(points: DataFrame, keys: list[str], optimize: bool = True) -
         *(moment_sums(side("a"), side("b")) if optimize else []),
         F.collect_list(F.struct(*own)).alias("_rows"),
     )
-    # Rows are gathered per alignment, as many as its residues; all that follows keeps this grouping
-    # and needs no further shuffle.
+    # The transform comes from array code and may be evaluated per row, with the last bit depending on the batch, so
+    # nothing is ever grouped by it: only by the keys of the alignment.
     fit = fitted_transform() if optimize else identity()
     placed = move_points(gathered.select(*keys, fit.alias("m"), F.explode("_rows").alias("r")).select(*keys, "m", "r.*"))
-    stats = distances(placed, [*keys, "m"]).groupBy(*keys, "m").agg(
+    stats = distances(placed, keys).groupBy(*keys).agg(
         F.sum("d2").alias("ssd"), F.sqrt(F.sum("d2") / F.sum("atoms")).alias("rmsd"),
         F.sqrt(F.max("d2")).alias("max_dist"), *_score_sums(),
     )

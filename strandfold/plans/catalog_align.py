@@ -144,7 +144,7 @@ def refine_single(spark, sf):
     chains = cut_lineage(paired(spark, sf))
     given = O.orientations_from_transforms(bridge.axis_orientations(spark, sf))
     first = A.best_single_answer(A.gap_align(A.orientation_blocks(given, chains), max_dist=5.0, refine=True))
-    return R.refine_single(first, chains, max_rounds=3, max_dist=5.0).select("pair_id", "n", "ssd", "rmsd")
+    return R.refine_single(first, chains, max_dist=5.0).select("pair_id", "n", "ssd", "rmsd")
 
 
 @register("search_best")
@@ -177,7 +177,7 @@ def refine_best(spark, sf):
     given = O.orientations_from_transforms(bridge.axis_orientations(spark, sf))
     wanted = A.Search(n_min=0.5)
     first = SOL.best_per_n(A.layered_align(A.orientation_blocks(given, chains), wanted))
-    return R.refine(first, chains, wanted, max_rounds=4).select("pair_id", "n", "ssd", "rmsd")
+    return R.refine(first, chains, wanted).select("pair_id", "n", "ssd", "rmsd")
 
 
 @register("refine_all_ranks")
@@ -188,7 +188,7 @@ def refine_all_ranks(spark, sf):
     wanted = A.Search(n_min=0.8, keep="all")
     candidates = A.layered_align(A.orientation_blocks(given, chains), wanted)
     ranked = SOL.alternatives(candidates, 2, SOL.similar_pairs(5))
-    refined = R.refine_ranks(ranked, chains, wanted, max_rounds=2)
+    refined = R.refine_ranks(ranked, chains, wanted)
     pruned = SOL.prune_alternatives(refined, SOL.similar_pairs(5))
     return pruned.select("pair_id", "n", "rank", "ssd", "rmsd")
 

@@ -180,7 +180,7 @@ agg AS (SELECT pid, sqrt(avg(d2)) AS rmsd, sqrt(max(d2)) AS max_dist FROM dd GRO
     Q.matched("lft", "mp"), Q.moments("mp", "pid"), Q.fit("pid"), Q.rotation("pid"), _MOVED, Q.scores("dd", "pid")))
 def alignment_stats(spark, sf):
     """One statistics row per pair after the best superposition of the given matches."""
-    return SC.alignment_stats(given_points(spark, sf), ["pair_id"]).drop("ssd", "m")
+    return SC.alignment_stats(given_points(spark, sf), ["pair_id"]).drop("ssd")
 
 
 @register("alignment_stats_as_placed", Q.query(
@@ -188,7 +188,7 @@ def alignment_stats(spark, sf):
     Q.matched("rgt", "mp"), f"dd AS (SELECT *, {_D2} AS d2 FROM mp)",
     "agg AS (SELECT pid, sqrt(avg(d2)) AS rmsd, sqrt(max(d2)) AS max_dist FROM dd GROUP BY pid)", Q.scores("dd", "pid")))
 def alignment_stats_as_placed(spark, sf):
-    return SC.alignment_stats(given_points(spark, sf, "right"), ["pair_id"], optimize=False).drop("ssd", "m")
+    return SC.alignment_stats(given_points(spark, sf, "right"), ["pair_id"], optimize=False).drop("ssd")
 
 
 @register("solution_profile", Q.query(

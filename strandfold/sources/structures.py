@@ -130,7 +130,7 @@ def with_coordinates(line: Column, x: Column, y: Column, z: Column) -> Column:
     """A record line with its three coordinate fields replaced."""
     return F.concat(
         F.rpad(F.substring(line, 1, 30), 30, " "), F.format_string("%8.3f%8.3f%8.3f", x, y, z),
-        F.substring(line, 55, 1000),
+        F.substring(line, F.lit(55), F.length(line)),
     )
 
 
