@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.functions.geometry import fitted_transform, identity, moment_sums
-from strandfold.operators.superpose import distances, move_points, side
+from strandfold.functions.geometry import fitted_transform, identity, moment_sums, squared_distance, transformed
+from strandfold.operators.superpose import distances, side
 
 # Fixed values of the similarity score: weight, squared distance scale, price of a gap.
 SCORE_WEIGHT = 20.0
@@ -50,12 +50,13 @@ def _score_sums() -> list[Column]:
     ]
 
 
-def alignment_score(points: DataFrame, keys: list[str]) -> DataFrame:
+def alignment_score(points: DataFrame, keys: list[str], main_atom: int = 0) -> DataFrame:
     """Score row per alignment in its current orientation, from matched points.
 
-    Columns: n, gaps, s_str, mu_str, delta_str, z_str, p_str.
+    A residue counts with its atom number ``main_atom``.  Columns: n, gaps, s_str, mu_str, delta_str, z_str, p_str.
     """
-    return with_probability(distances(points, keys).groupBy(*keys).agg(*_score_sums()))
+    main = points.filter(F.col("q") == main_atom)
+    return with_probability(distances(main, keys).groupBy(*keys).agg(*_score_sums()))
 
 
 def with_probability(scored: DataFrame) -> DataFrame:
@@ -66,25 +67,36 @@ def with_probability(scored: DataFrame) -> DataFrame:
     return out.withColumn("p_str", chance_probability(F.col("z_str")))
 
 
-def alignment_stats(points: DataFrame, keys: list[str], optimize: bool = True) -> DataFrame:
-    """One row per alignment: n, rmsd, max_dist and score columns.
+def alignment_stats(points: DataFrame, keys: list[str], optimize: bool = True, main_atom: int = 0) -> DataFrame:
+    """One row per alignment: ssd, rmsd, max_dist, n, gaps and score columns.
 
-    With ``optimize`` b is first superimposed on a by the matches, else taken as it stands.
+    With ``optimize`` b is first superimposed on a by the matches, else taken as it stands.  The rmsd is over all atoms;
+    distance and score of a residue pair are those of its atom number ``main_atom``.
     """
-    own = [c for c in points.columns if c not in keys]
+    coordinates = [s + v for s in "ab" for v in "xyz"]
     gathered = points.groupBy(*keys).agg(
         *(moment_sums(side("a"), side("b")) if optimize else []),
-        F.collect_list(F.struct(*own)).alias("_rows"),
+        F.array_sort(F.collect_list(F.struct("k", "q", "gap", *coordinates))).alias("_rows"),
     )
-    # The transform comes from array code and may be evaluated per row, with the last bit depending on the batch, so
-    # nothing is ever grouped by it: only by the keys of the alignment.
-    fit = fitted_transform() if optimize else identity()
-    placed = move_points(gathered.select(*keys, fit.alias("m"), F.explode("_rows").alias("r")).select(*keys, "m", "r.*"))
-    stats = distances(placed, keys).groupBy(*keys).agg(
-        F.sum("d2").alias("ssd"), F.sqrt(F.sum("d2") / F.sum("atoms")).alias("rmsd"),
-        F.sqrt(F.max("d2")).alias("max_dist"), *_score_sums(),
-    )
-    return with_probability(stats)
+    # An alignment stays one row from here on: its transform is found once and its sums run over the array in order.
+    fitted = gathered.select(*keys, "_rows", (fitted_transform() if optimize else identity()).alias("m"))
+
+    def apart(r: Column) -> Column:
+        a, b = ([r[s + v] for v in "xyz"] for s in "ab")
+        return squared_distance(a, transformed(F.col("m"), b))
+
+    measured = fitted.select(*keys, F.transform(
+        "_rows", lambda r: F.struct(r["q"].alias("q"), r["gap"].alias("gap"), apart(r).alias("d2"))).alias("_all"))
+    measured = measured.withColumn("_main", F.filter("_all", lambda r: r["q"] == main_atom))
+    total = lambda rows, value: F.aggregate(rows, F.lit(0.0), lambda s, r: s + value(r))
+    gaps = F.aggregate("_main", F.lit(0).cast("long"), lambda s, r: s + r["gap"])
+    closeness = total("_main", lambda r: SCORE_WEIGHT / (1 + r["d2"] / SCORE_SCALE))
+    ssd = total("_all", lambda r: r["d2"])
+    return with_probability(measured.select(
+        *keys, ssd.alias("ssd"), F.sqrt(ssd / F.size("_all")).alias("rmsd"),
+        F.sqrt(F.array_max(F.transform("_main", lambda r: r["d2"]))).alias("max_dist"),
+        F.size("_main").cast("long").alias("n"), gaps.alias("gaps"), (closeness - GAP_PRICE * gaps).alias("s_str"),
+    ))
 
 
 def solution_profile(stats: DataFrame, keys: list[str]) -> DataFrame:

@@ -200,11 +200,11 @@ def sse_intervals(sse: DataFrame, residues: DataFrame, length: int, strict: bool
     )
 
 
-def sse_interval_pairs(sse: DataFrame, pairs: DataFrame, limit: int | None = 200_000) -> DataFrame:
+def sse_interval_pairs(sse: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """All pairs of equal-kind intervals of the two structures of a pair, as rectangles.
 
     Intervals of a structure are gathered first, so the join is one row per pair and side, and the
-    number of rectangles of a pair is known before it expands; more than ``limit`` is an error.
+    number of rectangles of a pair is known before it expands; more than ``limit``, if given, is an error.
     """
     from strandfold.functions.skew import spread_join
 

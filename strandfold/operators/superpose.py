@@ -85,10 +85,11 @@ def alignment_rmsd(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def furthest_pair(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest distance over the matched residues and where it is (first match on ties)."""
+def furthest_pair(points: DataFrame, keys: list[str], main_atom: int = 0) -> DataFrame:
+    """Largest distance over the matched residues, by atom number ``main_atom``, and where it is (first match on ties)."""
     worst = F.max(F.struct(F.col("d2"), -F.col("i"), -F.col("j"))).alias("w")
-    return distances(points, keys).groupBy(*keys).agg(worst).select(
+    main = points.filter(F.col("q") == main_atom)
+    return distances(main, keys).groupBy(*keys).agg(worst).select(
         *keys, F.sqrt("w.d2").alias("max_dist"),
         (-F.col("w.col2")).alias("i"), (-F.col("w.col3")).alias("j"),
     )

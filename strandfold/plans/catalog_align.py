@@ -46,7 +46,8 @@ def layered_identity(spark, sf):
     return out.select("pair_id", "n", "ssd", "rmsd")
 
 
-@register("layered_matches_consistent")
+@register("layered_matches_consistent", Q.query(
+    "SELECT pid AS pair_id, true AS consistent, CAST(least(na, nb) - 1 AS BIGINT) AS solutions FROM prs"))
 def layered_matches_consistent(spark, sf):
     """The reported matches add up to the reported cost, have n pairs and increase on both chains."""
     out = A.layered_align(identity_blocks(spark, sf), A.Search(refine=False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandfold.sources.structures import file_id
+
 # Characters that stand for a gap, and the one that is written.
 GAP_CLASS = "[.~]"
 GAP = "."
@@ -15,10 +17,8 @@ GROUP_WIDTH = 10
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (doc_id, text)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_id"),
-        F.col("value").alias("text"),
-    )
+    files = spark.read.text(path, wholetext=True)
+    return files.select(file_id(files).alias("doc_id"), F.col("value").alias("text"))
 
 
 def _body_rows() -> Column:

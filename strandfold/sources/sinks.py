@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandfold.sources.msf import matches_to_aligned, msf_text
@@ -16,23 +17,17 @@ def transform_text(m: Column, digits: int = 7) -> Column:
 
 def solution_comment(label_b: Column) -> Column:
     """What an exported alignment says about itself: count, rmsd and transform."""
-    which = F.when(F.col("rank") == 1, F.lit("Least-RMSD")).otherwise(
-        F.concat(F.lit("Alternative no. "), F.col("rank").cast("string"), F.lit(", least-RMSD"))
-    )
+    which = F.when(F.col("rank") == 1, F.lit("best choice")).otherwise(F.format_string("choice %d", "rank"))
     return F.concat(
-        which, F.lit(" structural alignment with "), F.col("n").cast("string"), F.lit(" equivalences.\nRMSD = "),
-        F.format_string("%.6g", "rmsd"), F.lit("\n-----\nTransform matrix to apply to structure: "), label_b,
-        F.lit("\n"), transform_text(F.col("m"), 6),
+        F.format_string("%d matched residues, ", "n"), which, F.format_string("\nrmsd %.6g\n\nmoved onto the other chain: ", "rmsd"),
+        label_b, F.lit("\n"), transform_text(F.col("m"), 6),
     )
 
 
-def solution_names(solutions: DataFrame) -> Column:
-    """align<n> for a single rank, align<rank>_<n> otherwise."""
-    only_first = solutions.agg(F.max("rank")).first()[0] == 1
-    n = F.col("n").cast("string")
-    return F.concat(F.lit("align"), n) if only_first else F.concat(
-        F.lit("align"), F.col("rank").cast("string"), F.lit("_"), n
-    )
+def solution_names() -> Column:
+    """align<n> for pairs with a single rank, align<rank>_<n> for the others."""
+    only_first = F.max("rank").over(W.partitionBy("pair_id")) == 1
+    return F.when(only_first, F.format_string("align%d", "n")).otherwise(F.format_string("align%d_%d", "rank", "n"))
 
 
 def render_solutions(solutions: DataFrame, sequences: DataFrame, compress: bool = False) -> DataFrame:
@@ -40,7 +35,7 @@ def render_solutions(solutions: DataFrame, sequences: DataFrame, compress: bool
 
     ``sequences`` is (pair_id, label_a, label_b, seq_a, seq_b).
     """
-    named = solutions.withColumn("name", solution_names(solutions)).join(sequences, "pair_id")
+    named = solutions.withColumn("name", solution_names()).join(sequences, "pair_id")
     rows = matches_to_aligned(named, compress)
     text = msf_text(solution_comment(F.col("label_b")), F.col("label_a"), F.col("label_b"))
     return rows.select("pair_id", "rank", "n", "name", text.alias("text"))

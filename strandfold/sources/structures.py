@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,16 +24,27 @@ INTERVAL_FIELDS = {
 INTERVAL_WIDTH = 71
 
 
+def file_id(files: DataFrame) -> Column:
+    """File name without its ending, as id; several files of one name are an error, as their rows would mix."""
+    names = [re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1]) for path in files.inputFiles()]
+    if len(set(names)) < len(names):
+        twice = sorted({n for n in names if names.count(n) > 1}) if len(names) < 1000 else "several"
+        raise ValueError(f"files of equal name: {twice}")
+    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+
+
 def read_structure_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all files below ``path``: (structure_id, line_no, line), numbered from 1.
 
-    A structure file is one row first, so line numbers do not depend on how files are split.
+    A structure file is one row first, so line numbers do not depend on how files are split.  Blank lines are lines too;
+    only the nothing after the last line end is none.
     """
     files = spark.read.text(path, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return files.select(name.alias("structure_id"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).select(
+    lines = F.split("value", "\r?\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return files.select(file_id(files).alias("structure_id"), F.posexplode(lines).alias("at", "line")).select(
         "structure_id", (F.col("at") + 1).alias("line_no"), "line"
-    ).filter(F.col("line") != "")
+    )
 
 
 def record_kind(line: Column) -> Column:

@@ -11,6 +11,8 @@ import __spark_entry__ as entry_point
 QUICK = [
     "chain_points", "centroids", "pair_overlap_large", "compare_alignments", "best_per_n", "depth_histogram",
     "pair_histogram", "matches_to_aligned", "layered_limits", "fragment_cut", "clip",
+    "alignment_stats", "alignment_stats_as_placed", "solution_profile", "furthest_pair", "alignment_score",
+    "layered_matches_consistent",
 ]
 FULL = os.environ.get("STRANDFOLD_FULL") == "1"
 
@@ -37,6 +39,21 @@ def test_query_equals_sql(spark, small, duck, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, cursor.fetchall())
 
 
+def test_statistics_do_not_depend_on_batches(spark, small):
+    from strandfold.operators.score import alignment_stats
+    from strandfold.plans.catalog_geometry import given_points
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(key), []
+    for size in (7, 64, 512):
+        spark.conf.set(key, size)
+        rows = alignment_stats(given_points(spark, small, "right"), ["pair_id"]).collect()
+        found.append({r.pair_id: (r.n, r.gaps, round(r.rmsd, 9), round(r.max_dist, 9)) for r in rows})
+        assert len(rows) == len(found[0])
+    spark.conf.set(key, before)
+    assert found[0] == found[1] == found[2]
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 

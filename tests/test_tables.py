@@ -106,13 +106,17 @@ def test_structure_files(spark, tmp_path):
     (tmp_path / "one.pdb").write_text(f"REMARK a\r\n{ATOM}\r\n\nEND\n")
     (tmp_path / "two.pdb").write_text(ATOM.replace("   1.000", "   7.500") + "\n")
     lines = ST.read_structure_lines(spark, str(tmp_path / "*.pdb"))
-    assert {(r.structure_id, r.line_no) for r in lines.collect()} == {("one", 1), ("one", 2), ("one", 4), ("two", 1)}
+    assert {(r.structure_id, r.line_no) for r in lines.collect()} == {("one", 1), ("one", 2), ("one", 3), ("one", 4), ("two", 1)}
     atoms = ST.parse_atoms(lines)
     assert {r.structure_id: r.x for r in atoms.collect()} == {"one": 1.0, "two": 7.5}
     assert ST.render_atoms(atoms.filter("structure_id = 'one'")).first().line == ATOM
     out = str(tmp_path / "out")
     sinks.export_lines(lines, out)
-    assert spark.read.text(out).count() == 4
+    assert spark.read.text(out).count() == 5
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "one.ent").write_text(ATOM)
+    with pytest.raises(ValueError, match="equal name"):
+        ST.read_structure_lines(spark, [str(tmp_path / "*.pdb"), str(tmp_path / "more")])
 
 
 def test_interval_records(spark):
@@ -178,7 +182,7 @@ def test_exports(spark, tmp_path):
     seq = spark.createDataFrame([(0, "a", "bb", "GA", "VST")], "pair_id long, label_a string, label_b string, seq_a string, seq_b string")
     docs = sinks.render_solutions(sol, seq)
     got = docs.first()
-    assert got.name == "align2" and "RMSD = 0.5" in got.text and "1.50000" in got.text
+    assert got.name == "align2" and "rmsd 0.5" in got.text and "1.50000" in got.text
     back = M.read_aligned(docs.select(F.lit(0).alias("doc_id"), "text"), F.array(F.lit("a"), F.lit("bb")))
     assert {r.label: r.seq for r in back.collect()} == {"a": ".GA", "bb": "VST"}
     sinks.export_solutions(docs, str(tmp_path / "docs"))
