@@ -283,30 +283,43 @@ def _at_gap(cost: np.ndarray, gap: np.ndarray):
     return total, pos_a, pos_b, found, _ssd_of(cost, pos_a, pos_b)
 
 
-def _bisect_gap(cost, atoms, target_rmsd, target_n, rounds):
-    """Halve the price range of every orientation until its target is met as closely as possible.
+def _at_breakpoint(cost, atoms, target_rmsd, target_n):
+    """The answer with most matches that some price yields and that meets the target, per orientation.
 
-    The answer kept is the best one seen on the allowed side: rmsd at most the target, or n at most
-    the target; most matches first, then least rmsd.
+    The answers that prices yield are the corners of the convex hull of (n, cost).  Starting from no match and from all
+    of them, the price at which both cost the same is solved: a cheaper answer is a corner between them and replaces
+    one, else the two are neighbours and the search ends.  The price reported is the highest that yields the answer.
     """
     k = cost.shape[2]
-    flat = cost.reshape(-1, k)
-    low, high = flat.min(axis=0) / 2, flat.max(axis=0) / 2
     width = min(cost.shape[:2])
+    allowed = lambda n, ssd: (
+        np.sqrt(ssd / np.maximum(n * atoms, 1)) <= target_rmsd if target_n is None else n <= target_n)
+    gap = cost.reshape(-1, k).max(axis=0) * width + 1.0  # high enough to match all that can be
+    total, pos_a, pos_b, n, ssd = _at_gap(cost, gap)
+    over = {"n": n, "ssd": ssd}
     best = {
-        "n": np.full(k, -1), "rmsd": np.full(k, np.inf), "gap": np.zeros(k), "total": np.zeros(k),
-        "ssd": np.zeros(k), "a": np.full((k, width), -1, np.int32), "b": np.full((k, width), -1, np.int32),
+        "n": np.zeros_like(n), "gap": gap.copy(), "ssd": np.zeros(k), "a": np.full_like(pos_a, -1), "b": np.full_like(pos_b, -1),
     }
-    for _ in range(rounds):
-        gap = (low + high) / 2
-        total, pos_a, pos_b, n, ssd = _at_gap(cost, gap)
-        rmsd = np.sqrt(ssd / np.maximum(n * atoms, 1))
-        fits = rmsd <= target_rmsd if target_n is None else n <= target_n
-        better = fits & (n > 0) & ((n > best["n"]) | ((n == best["n"]) & (rmsd < best["rmsd"])))
-        for name, value in zip(("n", "rmsd", "gap", "total", "ssd", "a", "b"), (n, rmsd, gap, total, ssd, pos_a, pos_b)):
-            best[name][better] = value[better]
-        low = np.where(fits, gap, low)
-        high = np.where(fits, high, gap)
+    found = {"n": n, "gap": gap, "ssd": ssd, "a": pos_a, "b": pos_b}
+    fits = allowed(n, ssd)
+    for name, value in found.items():
+        best[name][fits] = value[fits]
+    active = np.nonzero(~fits)[0]
+    while len(active):
+        low_n, low_ssd, high_n, high_ssd = best["n"][active], best["ssd"][active], over["n"][active], over["ssd"][active]
+        gap = (high_ssd - low_ssd) / (2.0 * (high_n - low_n))
+        best["gap"][active] = gap
+        _, pos_a, pos_b, n, ssd = _at_gap(cost[:, :, active], gap)
+        line = low_ssd - 2.0 * gap * low_n
+        corner = (n > low_n) & (n < high_n) & (ssd - 2.0 * gap * n < line - 1e-9 * (1.0 + np.abs(line)))
+        fits = corner & allowed(n, ssd)
+        for name, value in (("n", n), ("ssd", ssd), ("a", pos_a), ("b", pos_b)):
+            best[name][active[fits]] = value[fits]
+        beyond = corner & ~fits
+        for name, value in (("n", n), ("ssd", ssd)):
+            over[name][active[beyond]] = value[beyond]
+        active = active[corner]
+    best["total"] = best["ssd"] + best["gap"] * (sum(cost.shape[:2]) - 2 * best["n"])
     return best
 
 
@@ -317,14 +330,13 @@ def gap_align(
     target_n: int | float | None = None,
     max_dist: float | None = None,
     refine: bool = False,
-    rounds: int = 20,
     atoms_per_residue: int = 1,
 ) -> DataFrame:
     """One alignment per orientation: (pair_id, o_id, n, gap, cost, ssd, rmsd, m, matches).
 
-    Exactly one of the four criteria is given: a fixed price ``gap`` per unmatched residue, a price
-    found by halving so that rmsd <= target_rmsd or n = target_n, or as many matches within
-    ``max_dist`` as possible.
+    Exactly one of the four criteria is given: a fixed price ``gap`` per unmatched residue, the price
+    with most matches among those with rmsd <= target_rmsd or n <= target_n, or as many matches
+    within ``max_dist`` as possible.
     """
     if sum(v is not None for v in (gap, target_rmsd, target_n, max_dist)) != 1:
         raise ValueError("give exactly one of gap, target_rmsd, target_n, max_dist")
@@ -343,7 +355,7 @@ def gap_align(
                     k = len(ids)
                     if target_rmsd is not None or target_n is not None:
                         wanted = None if target_n is None else row["n_target"]
-                        got = _bisect_gap(cost, atoms_per_residue, target_rmsd, wanted, rounds)
+                        got = _at_breakpoint(cost, atoms_per_residue, target_rmsd, wanted)
                         n, price, total, ssd, pos_a, pos_b = (got[v] for v in ("n", "gap", "total", "ssd", "a", "b"))
                     else:
                         most = min(len(a), len(b))

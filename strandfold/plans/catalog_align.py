@@ -127,14 +127,34 @@ def gap_align(spark, sf):
     return A.gap_align(axis_blocks(spark, sf), gap=9.0).select("pair_id", "o_id", "cost")
 
 
-@register("gap_align_target_rmsd")
+# Corners of the convex hull of (n, least cost) per orientation: the answers that some price yields, and up to which price.
+_CORNERS = ("""
+cost AS (SELECT pid * 4 + o AS g, i, j, na, nb, d2 AS c FROM acells)""", Q.layers("cost"), """
+ends AS (SELECT l.g, l.n, l.s, least(na, nb) AS width FROM lay l JOIN prs ON prs.pid = l.g // 4 WHERE l.i = na - 1 AND l.j = nb - 1),
+hull AS (SELECT p.g, p.n, p.s, p.width, max((p.s - q.s) / (p.n - q.n)) FILTER (q.n < p.n) AS before,
+  min((q.s - p.s) / (q.n - p.n)) FILTER (q.n > p.n) AS after
+  FROM ends p JOIN (SELECT g, n, s FROM ends UNION ALL SELECT DISTINCT g, 0, 0.0 FROM ends) q ON q.g = p.g AND q.n <> p.n GROUP BY ALL),
+corners AS (SELECT h.g // 4 AS pid, h.g % 4 AS o, n, s, coalesce(after / 2, top * width + 1) AS price, width
+  FROM hull h JOIN (SELECT g, max(c) AS top FROM cost GROUP BY g) USING (g) WHERE after IS NULL OR before < after)""")
+
+
+def _target_sql(allowed: str) -> str:
+    final = (
+        f"SELECT pid AS pair_id, o AS o_id, n, {num('price', 'gap')}, {num('s', 'ssd')}, {num('sqrt(s / n)', 'rmsd')} FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, s, o) AS rk FROM corners WHERE {allowed}) WHERE rk = 1")
+    return Q.query(final, _AXIS_CELLS, *_CORNERS, recursive=True)
+
+
+@register("gap_align_target_rmsd", _target_sql("sqrt(s / n) <= 3.0"))
 def gap_align_target_rmsd(spark, sf):
+    """Per pair the most matches that a price yields within an rmsd of 3, over four given orientations."""
     out = A.best_single_answer(A.gap_align(axis_blocks(spark, sf), target_rmsd=3.0))
     return out.select("pair_id", "o_id", "n", "gap", "ssd", "rmsd")
 
 
-@register("gap_align_target_n")
+@register("gap_align_target_n", _target_sql("n <= floor(0.5 * width + 0.5)"))
 def gap_align_target_n(spark, sf):
+    """Per pair the most matches that a price yields, up to half of the shorter chain."""
     out = A.best_single_answer(A.gap_align(axis_blocks(spark, sf), target_n=0.5))
     return out.select("pair_id", "o_id", "n", "gap", "ssd", "rmsd")
 

@@ -12,7 +12,7 @@ QUICK = [
     "chain_points", "centroids", "pair_overlap_large", "compare_alignments", "best_per_n", "depth_histogram",
     "pair_histogram", "matches_to_aligned", "layered_limits", "fragment_cut", "clip",
     "alignment_stats", "alignment_stats_as_placed", "solution_profile", "furthest_pair", "alignment_score",
-    "layered_matches_consistent",
+    "layered_matches_consistent", "gap_align_target_rmsd", "gap_align_target_n",
 ]
 FULL = os.environ.get("STRANDFOLD_FULL") == "1"
 
