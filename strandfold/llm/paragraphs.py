@@ -37,8 +37,9 @@ def numbers(count: int, seed: int) -> np.ndarray:
     return mixed(mixed(np.arange(1, count + 1, dtype=np.uint64) + np.uint64(seed << 32))) | np.uint64(1)
 
 
-FACTORS = numbers(ROWS * BANDS, 1)
-SHIFTS = numbers(ROWS * BANDS, 2)
+MOST_BANDS = 18
+FACTORS = numbers(ROWS * MOST_BANDS, 1)
+SHIFTS = numbers(ROWS * MOST_BANDS, 2)
 POWERS = numbers(64, 3)
 
 
@@ -52,6 +53,11 @@ def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[i
     return out
 
 
+def whole(text: str | None, least_words: int = 1) -> list[tuple[int, list[bytes]]]:
+    """The whole text as one paragraph, in the form of ``paragraphs``; texts without words are one empty word."""
+    return [(0, (text or "").encode("utf-8", "surrogatepass").lower().split() or [b""])]
+
+
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Hashes of the runs of ``size`` words; fewer words are one run."""
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
@@ -72,12 +78,12 @@ def parity(values: np.ndarray) -> list[int]:
     return np.packbits(flags.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def band_keys(runs: list[np.ndarray]) -> np.ndarray:
-    """One key per paragraph and band, (paragraphs, BANDS), of the MinHash values of the band's rows."""
+def band_keys(runs: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
+    """One key per paragraph and band, (paragraphs, bands), of the MinHash values of the band's rows."""
     every = np.concatenate(runs)
     starts = np.concatenate(([0], np.cumsum([len(r) for r in runs])[:-1]))
-    keys = np.empty((len(runs), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
+    keys = np.empty((len(runs), bands), dtype=np.uint64)
+    for band in range(bands):
         key = np.full(len(runs), band + 1, dtype=np.uint64)
         for row in range(band * ROWS, (band + 1) * ROWS):
             value = np.minimum.reduceat(mixed(every * FACTORS[row] + SHIFTS[row]), starts)
@@ -90,26 +96,29 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """(_doc, _key, line, words, pid, b0 ..): every paragraph of every text, with its band keys."""
-    ddl = "_doc long, _key long, line int, words int, pid long, " + ", ".join(f"b{k} long" for k in range(BANDS))
+def occurrences(docs: DataFrame, least_words: int, parts=paragraphs, bands: int = BANDS) -> DataFrame:
+    """(_doc, _key, line, words, pid, b0 ..): every paragraph of every text, with its band keys.
+
+    ``parts`` cuts a text into paragraphs; with ``whole`` the texts themselves are compared.
+    """
+    ddl = "_doc long, _key long, line int, words int, pid long, " + ", ".join(f"b{k} long" for k in range(bands))
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             facts, runs = [], []
             for doc, key, text in zip(*[c.to_pylist() for c in batch.columns]):
-                for line, words in paragraphs(text, least_words):
+                for line, words in parts(text, least_words):
                     facts.append((doc, key, line, len(words), paragraph_id(words)))
                     runs.append(shingles(words))
             if facts:
-                columns = [*map(list, zip(*facts)), *band_keys(runs).T]
+                columns = [*map(list, zip(*facts)), *band_keys(runs, bands).T]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return docs.select("_doc", "_key", "text").mapInArrow(run, ddl)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, least_words: int, parts=paragraphs) -> DataFrame:
     """(pid, shingles, parity) for the paragraphs at the places ``wanted`` (pid, _doc, _key, line)."""
     places = wanted.groupBy("_doc", "_key").agg(F.collect_set("line").alias("lines"))
     places = places.withColumnsRenamed({"_doc": "_d", "_key": "_k"})
@@ -122,7 +131,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFr
             ids, sets, marks = [], [], []
             for text, lines in zip(*[c.to_pylist() for c in batch.columns]):
                 chosen = set(lines)
-                for line, words in paragraphs(text, least_words):
+                for line, words in parts(text, least_words):
                     if line in chosen:
                         ids.append(paragraph_id(words))
                         values = np.unique(shingles(words))
@@ -191,7 +200,9 @@ def across(placed: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Data
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def links(
+    docs: DataFrame, found: DataFrame, least_words: int = LEAST_WORDS, parts=paragraphs, bands: int = BANDS
+) -> DataFrame:
     """Verified links (a, b) between distinct paragraphs, enough to give all components of colliding pairs.
 
     First every member of a bucket meets the bucket's hub, the member whose other buckets are fullest; that is one pair per
@@ -199,15 +210,15 @@ def links(docs: DataFrame, found: DataFrame, least_words: int = LEAST_WORDS) ->
     several components go on, and of their members only pairs across components that can still be similar are compared.
     """
     least = F.min(F.struct("_doc", "_key", "line"))
-    distinct = found.groupBy("pid").agg(least.alias("at"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
-    filed = distinct.select("pid", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("bucket"))
+    distinct = found.groupBy("pid").agg(least.alias("at"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
+    filed = distinct.select("pid", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(filed.join(shared, "bucket"), "paragraph-buckets")
     fullness = members.groupBy("pid").agg(F.sum("n").alias("full"))
     hubs = members.join(fullness, "pid").groupBy("bucket").agg(F.max(F.struct("full", "pid")).alias("hub"))
 
     places = found.groupBy("pid").agg(least.alias("at")).join(fullness, "pid", "left_semi").select("pid", "at.*")
-    sets = materialise(shingle_sets(docs, places, least_words), "paragraph-shingles")
+    sets = materialise(shingle_sets(docs, places, least_words, parts), "paragraph-shingles")
 
     first = members.join(hubs.select("bucket", "hub.pid").withColumnRenamed("pid", "hub"), "bucket").filter("pid <> hub")
     first = first.select(F.least("hub", "pid").alias("a"), F.greatest("hub", "pid").alias("b")).distinct()

@@ -150,6 +150,14 @@ def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
     first = first.withColumn("mark", F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = first.groupBy("component_id", "mark").agg(F.min("text_hash").alias("text_hash"))
     kept = kept.select(F.col("component_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return rows_of(docs, kept, first)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an id and text hash in ``kept`` (_id, _hash), once each.
+
+    ``first`` (doc_id, text_hash) has one row for every row of ``docs`` that may be kept.
+    """
     rows = docs.withColumn("_h", F.xxhash64("text"))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
     twice = first.groupBy("doc_id", "text_hash").count().filter("count > 1").select(
