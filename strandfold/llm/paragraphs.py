@@ -23,7 +23,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 ROWS = 3
 BANDS = 9
-LEAST_WORDS = 20
+LEAST_WORDS = 1
 PARITY_WORDS = 4
 
 
