@@ -2,7 +2,9 @@
 
 The k-mers of a text are runs of ``K`` consecutive words, numbered by occurrence, so that repeats count.  Each numbered
 k-mer has one hash, which also deals it to one of ``BINS`` bins (one pass instead of one permutation per bin).  In every
-bin the ``PICKS`` numbered k-mers with the least hashes are taken, put back into text order and hashed as a tuple.
+bin the ``PICKS`` numbered k-mers with the least hashes are taken, put back into text order and hashed as a tuple.  A bin
+that holds fewer takes the ``PICKS`` least of all k-mers of the text under a permutation of its own, so that short texts
+keep their order; that happens to few bins of long texts, so the work per text stays bounded.
 Unlike a set signature it changes when the picked k-mers swap places, so it follows the edit distance.
 
 All arrays are of longs that pack hash and position, so that sorting is primitive and the work per text is that of a
@@ -25,6 +27,8 @@ PICKS = 2
 PLACE_BITS = 30
 HASH_BITS = 63 - PLACE_BITS
 VALUE_BITS = HASH_BITS - BIN_BITS
+LONG_BYTES = 48
+GRAM_STEPS = (1, 2, 4)
 WORD = r"[^\x20\x09-\x0D]+"
 
 BUCKET_BYTES = 4 << 20
@@ -48,14 +52,32 @@ def changes(packed: Column, bits: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(packed) - 1), starts)
 
 
+def grams(word: Column) -> Column:
+    """Hashes of the runs of 8 characters of ``word``, one from every character on that has 7 more behind it."""
+    def joined(step: int):
+        def pairs(h: Column) -> Column:
+            fewer = F.size(h) - step
+            return F.zip_with(F.slice(h, 1, fewer), F.slice(h, 1 + step, fewer), lambda a, b: F.xxhash64(a, b))
+
+        return pairs
+
+    out = F.transform(F.split(word, ""), lambda c: F.xxhash64(c))
+    for step in GRAM_STEPS:
+        out = F.get(F.transform(F.array(out), joined(step)), F.lit(0))
+    return out
+
+
 def with_kmers(df: DataFrame, text: Column, name: str) -> DataFrame:
     """``df`` plus the sorted array of (hash << PLACE_BITS) | position of the k-mers of ``text``.
 
-    Words are runs of anything but space and U+0009..U+000D.  A text of fewer than K words has one k-mer, of its words,
+    Words are runs of anything but space and U+0009..U+000D; one of more than ``LONG_BYTES`` bytes counts as its runs of 8
+    characters, so that text without spaces is compared too.  A text of fewer than K words has one k-mer, of its words,
     and one without words (null, empty) has one of nothing.  Every step is a column of its own, evaluated once.
     """
     df = df.withColumn("_w", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)))
-    hashed = F.transform("_w", lambda w: F.xxhash64(w))
+    cut = F.transform("_w", lambda w: F.when(F.octet_length(w) > LONG_BYTES, grams(w)).otherwise(F.array(F.xxhash64(w))))
+    long_words = F.exists("_w", lambda w: F.octet_length(w) > LONG_BYTES)
+    hashed = F.when(long_words, F.flatten(cut)).otherwise(F.transform("_w", lambda w: F.xxhash64(w)))
     df = df.withColumn("_h", F.when(F.size("_w") > 0, hashed).otherwise(F.array(F.lit(0).cast("long")))).drop("_w")
     for k in range(1, K):
         fewer = F.size("_h") - 1
@@ -82,29 +104,42 @@ def numbered(sorted_kmers: Column, starts: Column) -> Column:
 def with_tokens(df: DataFrame, text: Column, name: str) -> DataFrame:
     """``df`` plus the Order MinHash of ``text`` as an array of ``BINS`` numbers; null counts as empty.
 
-    A number is 1 to 65535, from the tuple of the bin's picked k-mers in text order; 0 for a bin without k-mers.
+    A number is 1 to 65535, from the tuple of the bin's picked k-mers in text order.
     """
     df = with_kmers(df, text, "_k").withColumn("_s", changes(F.col("_k"), PLACE_BITS))
     df = df.withColumn("_p", numbered(F.col("_k"), F.col("_s"))).drop("_k", "_s")
     df = df.withColumn("_b", changes(F.col("_p"), PLACE_BITS + VALUE_BITS))
     picks, starts = F.col("_p"), F.col("_b")
 
-    def of_bin(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(starts, k + 1), F.size(picks))
-        chosen = F.slice(picks, start + 1, F.least(stop - start, F.lit(PICKS)))
+    def joined(chosen: Column) -> Column:
         by_place = F.sort_array(F.transform(chosen, lambda x: F.shiftleft(low(x, PLACE_BITS), VALUE_BITS).bitwiseOR(
             low(F.shiftright(x, PLACE_BITS), VALUE_BITS))))
-        joined = F.aggregate(by_place, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, low(x, VALUE_BITS)))
-        return (F.pmod(joined, F.lit(65535)) + 1).cast("int")
+        mixed = F.aggregate(by_place, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, low(x, VALUE_BITS)))
+        return (F.pmod(mixed, F.lit(65535)) + 1).cast("int")
+
+    def permuted(number: Column) -> Column:
+        def mix(x: Column) -> Column:
+            h = F.xxhash64(F.shiftright(x, PLACE_BITS), number)
+            return F.shiftleft(low(h, HASH_BITS), PLACE_BITS).bitwiseOR(low(x, PLACE_BITS))
+
+        return F.slice(F.sort_array(F.transform(picks, mix)), 1, PICKS)
+
+    def of_bin(start: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get(starts, k + 1), F.size(picks))
+        own = F.slice(picks, start + 1, PICKS)
+        return joined(F.when(stop - start >= PICKS, own).otherwise(permuted(bin_at(start))))
+
+    def between(first: Column, last: Column) -> Column:
+        filled = F.transform(F.sequence(first, last), lambda number: joined(permuted(number)))
+        return F.when(first <= last, filled).otherwise(F.array().cast("array<int>"))
 
     def bin_at(start: Column) -> Column:
         return F.coalesce(F.shiftright(F.get(picks, start), PLACE_BITS + VALUE_BITS).cast("int"), F.lit(-1))
 
     def with_gap(start: Column, k: Column) -> Column:
-        gap = bin_at(start) - bin_at(F.get(starts, k - 1)) - 1
-        return F.concat(F.array_repeat(F.lit(0), gap), F.array(of_bin(start, k)))
+        return F.concat(between(bin_at(F.get(starts, k - 1)) + 1, bin_at(start) - 1), F.array(of_bin(start, k)))
 
-    rest = F.array_repeat(F.lit(0), BINS - 1 - bin_at(F.size(picks) - 1))
+    rest = between(bin_at(F.size(picks) - 1) + 1, F.lit(BINS - 1))
     return df.withColumn(name, F.concat(F.flatten(F.transform(starts, with_gap)), rest)).drop("_p", "_b")
 
 
