@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# Most cells of a table of sums per residue pair.
+LARGEST_TABLE = 1 << 17
+
 
 def symmetric_key_matrices(cov: np.ndarray) -> np.ndarray:
     """4x4 quaternion matrices of 3x3 covariances ``cov[..., r, c] = sum a_r * b_c`` (both centred)."""
@@ -154,6 +157,167 @@ def trace_layers(moves: np.ndarray, depths: np.ndarray, columns: np.ndarray) ->
     return np.where(cells < 0, -1, cells // k % (m * n))
 
 
+class Layers:
+    """The layered recurrence over a batch of orientations, some layers at a time, orientations dropped in between.
+
+    Layer d holds for every cell (i, j) the least cost of d ordered pairs among the first i + 1 and j + 1 residues.  Only
+    cells that leave room for ``least`` pairs in all are kept, so totals below that count mean nothing but "none" if
+    infinite.  Ties are decided as in :func:`layered_solve`.
+    """
+
+    def __init__(self, cost: np.ndarray, least: int = 1):
+        self.cost, self.least = cost, least
+        self.rows, self.cols, count = cost.shape
+        self.columns = np.arange(count)  # which orientations are left
+        self.layer, self.merged = None, None
+        self.moves: list[np.ndarray] = []
+        self.parents: list[np.ndarray | None] = []  # columns of the layer before, where some were dropped
+
+    @property
+    def depth(self) -> int:
+        return len(self.moves)
+
+    def next_layer(self) -> np.ndarray:
+        spare = max(self.least - self.depth - 1, 0)
+        layer = self.cost[self.depth : self.rows - spare, self.depth : self.cols - spare].copy()
+        if self.layer is not None:
+            layer += self.layer if self.depth < self.least else self.layer[:-1, :-1]
+        return running_minimum(layer)
+
+    def store(self, layer: np.ndarray) -> None:
+        moves = np.zeros(layer.shape, dtype=np.uint8)
+        np.multiply(layer[1:] == layer[:-1], np.uint8(2), out=moves[1:])
+        np.copyto(moves[:, 1:], 1, where=layer[:, 1:] == layer[:, :-1])
+        self.moves.append(moves)
+
+    def advance(self, count: int) -> np.ndarray:
+        """Totals of the next ``count`` layers, (count, orientations left)."""
+        totals = []
+        for _ in range(count):
+            self.layer = self.next_layer()
+            self.store(self.layer)
+            self.parents.append(self.merged)
+            self.merged = None
+            totals.append(self.layer[-1, -1].copy())  # not a view, which would keep the layer
+        return np.stack(totals)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Go on with some of the orientations left (a mask)."""
+        if wanted.all():
+            return
+        chosen = np.flatnonzero(wanted)
+        self.cost, self.columns = self.cost[..., chosen], self.columns[chosen]
+        if self.layer is not None:
+            self.layer = self.layer[..., chosen]
+        self.merged = chosen
+
+    def trace(self, depths: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Matched cells i * n + j of solutions, (solutions, most pairs), -1 past their count.
+
+        ``columns`` count among the orientations that were there when the last layer was made.
+        """
+        most = self.depth
+        shapes = np.array([m.shape for m in self.moves])
+        bases = np.concatenate([[0], np.cumsum(shapes.prod(axis=1))])
+        codes = np.concatenate([m.reshape(-1) for m in self.moves])
+        # columns of every layer in terms of the last one
+        maps = [np.arange(shapes[-1, 2])]
+        for parent in self.parents[:0:-1]:
+            maps.append(maps[-1] if parent is None else parent[maps[-1]])
+        maps = np.stack(maps[::-1])[:, columns] if len(columns) else np.zeros((most, 0), dtype=np.int64)
+        cells = np.full((len(depths), int(depths.max()) if len(depths) else 0), -1, dtype=np.int64)
+        live = np.arange(len(depths))
+        left, i, j = depths - 1, np.full(len(depths), self.rows - 1), np.full(len(depths), self.cols - 1)
+        while live.size:
+            at = ((i - left) * shapes[left, 1] + (j - left)) * shapes[left, 2] + maps[left, live] + bases[left]
+            code = codes[at]
+            paired = code == 0
+            cells[live[paired], left[paired]] = i[paired] * self.cols + j[paired]
+            i, j, left = i - (code != 1), j - (code != 2), left - paired
+            if left.min(initial=0) < 0:
+                more = left >= 0
+                live, i, j, left = live[more], i[more], j[more], left[more]
+        return cells
+
+
+class LayersInSegments(Layers):
+    """The same for one orientation of long chains: values are kept for some layers only.
+
+    A traceback goes through the layers from the last to the first for all counts at once.  It makes the layers of a segment
+    again from the values before it and keeps two bits per cell of them.
+    """
+
+    def __init__(self, cost: np.ndarray, least: int, most: int):
+        super().__init__(cost, least)
+        if cost.shape[2] != 1:
+            raise ValueError("one orientation at a time")
+        # values take 64 bits per cell and segment, moves 2 bits per cell and layer of a segment
+        self.every = max(1, int(round((32 * most) ** 0.5)))
+        self.before: list[np.ndarray | None] = []
+        self.done = 0
+
+    @property
+    def depth(self) -> int:
+        return self.done
+
+    def advance(self, count: int) -> np.ndarray:
+        totals = []
+        for _ in range(count):
+            if self.done % self.every == 0:
+                self.before.append(self.layer)
+            self.layer = self.next_layer()
+            self.done += 1
+            totals.append(self.layer[-1, -1].copy())  # not a view, which would keep the layer
+        return np.stack(totals)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        self.columns = self.columns[wanted]
+
+    def trace(self, depths: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        cells = np.full((len(depths), int(depths.max()) if len(depths) else 0), -1, dtype=np.int64)
+        i, j = np.full(len(depths), self.rows - 1), np.full(len(depths), self.cols - 1)
+        held = self.done, self.layer
+        for start in range((int(depths.max(initial=1)) - 1) // self.every * self.every, -1, -self.every):
+            self.done, self.layer = start, self.before[start // self.every]
+            packed = []
+            for _ in range(start, min(start + self.every, int(depths.max()))):
+                self.layer = self.next_layer()[..., 0]
+                packed.append((np.packbits(self.layer[:, 1:] == self.layer[:, :-1], axis=1),
+                               np.packbits(self.layer[1:] == self.layer[:-1], axis=1)))
+                self.layer = self.layer[..., None]
+                self.done += 1
+            while packed:
+                d, (skip_b, skip_a) = start + len(packed) - 1, packed.pop()
+                rows = np.flatnonzero(depths > d)
+                at, to = i[rows] - d, j[rows] - d
+                # a pair ends a run of residues of b left out, then one of a
+                for bits, down in ((skip_b, "b"), (skip_a, "a")):
+                    going = np.arange(len(rows))
+                    while going.size:
+                        r, c = (at[going], to[going] - 1) if down == "b" else (at[going] - 1, to[going])
+                        inside = (r >= 0) & (c >= 0)
+                        going, r, c = going[inside], r[inside], c[inside]
+                        going = going[(bits[r, c >> 3] >> (7 - (c & 7))) & 1 == 1]
+                        if down == "b":
+                            to[going] -= 1
+                        else:
+                            at[going] -= 1
+                cells[rows, d] = (at + d) * self.cols + to + d
+                i[rows], j[rows] = at + d - 1, to + d - 1
+        self.done, self.layer = held
+        return cells
+
+
+def fragment_sums(a: np.ndarray, b: np.ndarray, i0: np.ndarray, j0: np.ndarray, length: int):
+    """Covariance, means and spread of the fragment pairs that start at (i0, j0), all atoms of their residues."""
+    span = np.arange(length)
+    pa = a[i0[:, None] + span].reshape(len(i0), -1, 3)
+    pb = b[j0[:, None] + span].reshape(len(j0), -1, 3)
+    mean_a, mean_b = pa.mean(axis=1), pb.mean(axis=1)
+    ca, cb = pa - mean_a[:, None], pb - mean_b[:, None]
+    return np.einsum("kpr,kpc->krc", ca, cb), mean_a, mean_b, (ca * ca).sum(axis=(1, 2)) + (cb * cb).sum(axis=(1, 2))
+
+
 def cell_positions(cells: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Residue numbers on both chains of matched cells, -1 where there is none."""
     none = cells < 0
@@ -168,15 +332,21 @@ def matched_moments(a: np.ndarray, b: np.ndarray, cells: np.ndarray):
     mean_a, mean_b = a.mean(axis=(0, 1)), b.mean(axis=(0, 1))
     ca, cb = a - mean_a, b - mean_b
     m, n, atoms = len(a), len(b), a.shape[1]
-    table = np.empty((m, n, 16))
-    table[..., 0:3] = ca.sum(axis=1)[:, None]
-    table[..., 3:6] = cb.sum(axis=1)[None]
-    table[..., 6:15] = np.einsum("iqr,jqc->ijrc", ca, cb).reshape(m, n, 9)
-    table[..., 15] = (ca * ca).sum(axis=(1, 2))[:, None] + (cb * cb).sum(axis=(1, 2))[None]
     used = cells >= 0
     counts = used.sum(axis=1)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    sums = np.add.reduceat(table.reshape(m * n, 16)[cells[used]], starts, axis=0)
+    if m * n <= LARGEST_TABLE:
+        table = np.empty((m, n, 16))
+        table[..., 0:3] = ca.sum(axis=1)[:, None]
+        table[..., 3:6] = cb.sum(axis=1)[None]
+        table[..., 6:15] = np.einsum("iqr,jqc->ijrc", ca, cb).reshape(m, n, 9)
+        table[..., 15] = (ca * ca).sum(axis=(1, 2))[:, None] + (cb * cb).sum(axis=(1, 2))[None]
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        sums = np.add.reduceat(table.reshape(m * n, 16)[cells[used]], starts, axis=0)
+    else:  # a table would be larger than the matches of one solution
+        sums = np.empty((len(cells), 16))
+        for row, (line, there) in enumerate(zip(cells, used)):
+            pa, pb = ca[line[there] // n].reshape(-1, 3), cb[line[there] % n].reshape(-1, 3)
+            sums[row] = np.concatenate([pa.sum(axis=0), pb.sum(axis=0), (pa.T @ pb).reshape(-1), [(pa * pa).sum() + (pb * pb).sum()]])
     size = (counts * atoms)[:, None].astype(float)
     mid_a, mid_b = sums[:, 0:3] / size, sums[:, 3:6] / size
     cov = sums[:, 6:15].reshape(-1, 3, 3) - sums[:, 0:3, None] * mid_b[:, None, :]

@@ -9,7 +9,7 @@ to the best of the block unless all candidates are wanted.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,12 @@ from strandfold.session import task_count
 
 MEMORY_BUDGET = 256 << 20  # bytes of working tables per kernel call
 
-_SOLUTION = (
-    "pair_id bigint, o_id bigint, n int, ssd double, rmsd double, m array<double>, "
-    "ia array<int>, jb array<int>"
-)
+AT_ONCE = 256  # orientations in one kernel call, so that its tables stay in the cache
+GROUP = 3  # layers between two looks at a limit on superimposed matches
+
+_LIGHT = "pair_id bigint, o_id bigint, n int, ssd double, rmsd double, m array<double>"
+_SOLUTION = f"{_LIGHT}, ia array<int>, jb array<int>"
+_NAMES = [c.split()[0] for c in _SOLUTION.split(", ")]
 
 
 def match_count(spec: int | float | str, n_most: Column) -> Column:
@@ -52,6 +54,7 @@ class Search:
     ``n_min``/``n_max`` and the second entry of ``prefilter`` are match counts (see match_count);
     ``prefilter = (distance, count)`` drops orientations that cannot reach ``count`` ordered matches
     within ``distance``.  ``refine`` scores a solution after superimposing its own matches.
+    ``matches=False`` leaves the matches out of the result; ``winners_solved`` gives them later.
     ``cost`` replaces the squared distance: a function of (a (m,Q,3), moved b (n,Q,3,K)) -> (m,n,K).
     ``memory`` bounds the working tables of one task; long chains are solved in smaller batches.
     """
@@ -66,6 +69,7 @@ class Search:
     cost: Callable | None = None
     atoms_per_residue: int = 1
     memory: int = MEMORY_BUDGET
+    matches: bool = True
 
 
 def orientation_blocks(
@@ -104,7 +108,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         row = {}
         for name, column in zip(names, columns):
             cell = column[r]
-            row[name] = cell.values.to_numpy(zero_copy_only=False) if pa.types.is_list(column.type) else cell.as_py()
+            listed = pa.types.is_list(column.type) and cell.is_valid
+            row[name] = cell.values.to_numpy(zero_copy_only=False) if listed else cell.as_py()
         yield row
 
 
@@ -125,87 +130,120 @@ def _lists(values: np.ndarray, keep: np.ndarray | None, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
-def _chunk(m: int, n: int, depth: int, atoms: int, memory: int = MEMORY_BUDGET) -> int:
+def _chunk(m: int, n: int, depth: int, atoms: int, memory: int = MEMORY_BUDGET, least: int = 1) -> int:
+    """Orientations that fit into ``memory`` together."""
     per_orientation = m * n * (32 + depth) + depth * min(m, n) * atoms * 200
-    return max(1, memory // per_orientation)
+    return max(least, memory // per_orientation)
+
 
+def _solutions(a, b, ids, mats, low: int, high: int, need: int, search: Search, best: dict | None):
+    """Solve some orientations; yields tuples of equally long arrays (o_id, n, ssd, rmsd, m, pos_a, pos_b).
 
-def _block_solutions(row: dict, search: Search):
-    """Solve one block; yields tuples of equally long arrays (o_id, n, ssd, rmsd, m, pos_a, pos_b)."""
+    An orientation is dropped between layers once it cannot contribute: no match set of that size within the distance, a
+    limit passed (the first n over it ends an orientation), or, if solutions are scored as placed, no n left at which it
+    could still be among the best.  ``best`` maps n to the least (ssd, o_id) seen so far; then only better ones come out.
+    """
     atoms = search.atoms_per_residue
-    a, b = _coordinates(row, atoms)
-    ids, mats = row["o_ids"], row["ms"].reshape(-1, 12)
-    low, high = max(row["n_lo"], 2), min(row["n_hi"], len(a), len(b))
-    if low > high:
-        return
-    step = _chunk(len(a), len(b), high, atoms, search.memory)
+    limits = search.max_rmsd is not None
+    in_segments = _chunk(len(a), len(b), high, atoms, search.memory, least=0) == 0
+    step = 1 if in_segments else min(AT_ONCE, _chunk(len(a), len(b), high, atoms, search.memory))
     for start in range(0, len(ids), step):
         o_ids, t = ids[start : start + step], mats[start : start + step]
         placed = kernels.moved(b, t)
         if search.prefilter is not None:
             near = np.isfinite(kernels.pair_costs(a, placed, search.prefilter[0]))
-            good = kernels.longest_ordered_matching(near) >= row["n_need"]
+            good = kernels.longest_ordered_matching(near) >= need
             if not good.any():
                 continue
             o_ids, t, placed = o_ids[good], t[good], placed[..., good]
-        if search.cost is None:
-            cost = kernels.pair_costs(a, placed, search.max_dist)
-        else:
-            cost = search.cost(a, placed)
-        totals, moves = kernels.layered_solve(cost, high, keep_moves=True)
-        counts = np.arange(1, high + 1)
-        # the first n over a limit ends the orientation, whatever comes later
-        alive = np.logical_and.accumulate(np.isfinite(totals), axis=0)
-        depth, column = np.nonzero(alive[low - 1 :])
-        depth = depth + low
-        if not len(depth):
-            continue
-        ssd = totals[depth - 1, column]
-        traced = None
-        if search.refine:
-            traced = kernels.trace_layers(moves, depth, column)
-            cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, traced)
-            ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
-        rmsd = np.sqrt(ssd / (depth * atoms))
-        if search.max_rmsd is not None:
-            over = np.zeros((high + 1, len(o_ids)), dtype=bool)
-            over[depth, column] = rmsd > search.max_rmsd
-            chosen = ~np.logical_or.accumulate(over, axis=0)[depth, column]
-        else:
-            chosen = np.ones(len(depth), dtype=bool)
-        pick = np.nonzero(chosen)[0]
-        if search.keep == "best" and len(pick):
-            order = np.lexsort((column[pick], ssd[pick], depth[pick]))
-            ranked = pick[order]
-            pick = ranked[np.concatenate([[True], np.diff(depth[ranked]) > 0])]
-        if not len(pick):
-            continue
-        if traced is None:
-            cells = kernels.trace_layers(moves, depth[pick], column[pick])
-            fitted = t[column[pick]]
-        else:
-            cells = traced[pick]
-            fitted = kernels.transforms_of(cov[pick], mean_a[pick], mean_b[pick])
-        pos_a, pos_b = kernels.cell_positions(cells, len(b))
-        yield o_ids[column[pick]], depth[pick], ssd[pick], rmsd[pick], fitted, pos_a, pos_b
+        cost = kernels.pair_costs(a, placed, search.max_dist) if search.cost is None else search.cost(a, placed)
+        layers = kernels.LayersInSegments(cost, low, high) if in_segments else kernels.Layers(cost, low)
+        while layers.depth < high and len(layers.columns):
+            first = max(low, layers.depth + 1)
+            # limits on superimposed matches need a traceback, which pays for some layers at a time
+            count = high if in_segments or not limits else min(high, first + GROUP - 1)
+            totals = layers.advance(count - layers.depth)[first - count - 1 :]
+            alive = np.logical_and.accumulate(np.isfinite(totals), axis=0)
+            depth, column = np.nonzero(alive)
+            depth = depth + first
+            going = alive[-1].copy()
+            if len(depth):
+                ssd, traced = totals[depth - first, column], None
+                if search.refine:
+                    traced = layers.trace(depth, column)
+                    cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, traced)
+                    ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
+                rmsd = np.sqrt(ssd / (depth * atoms))
+                pick = np.arange(len(depth))
+                if limits:
+                    over = np.zeros(totals.shape, dtype=bool)
+                    over[depth - first, column] = rmsd > search.max_rmsd
+                    over = np.logical_or.accumulate(over, axis=0)
+                    going &= ~over[-1]
+                    pick = pick[~over[depth - first, column]]
+                names = o_ids[layers.columns[column]]
+                if best is not None:
+                    order = np.lexsort((names[pick], ssd[pick], depth[pick]))
+                    ranked = pick[order]
+                    ranked = ranked[np.concatenate([[True], np.diff(depth[ranked]) > 0])] if len(ranked) else ranked
+                    pick = np.array([
+                        k for k in ranked.tolist()
+                        if (ssd[k], names[k]) < best.get(int(depth[k]), (np.inf, 0))
+                    ], dtype=np.int64)
+                    best.update((int(depth[k]), (ssd[k], names[k])) for k in pick.tolist())
+                if len(pick):
+                    if traced is None:
+                        cells, fitted = layers.trace(depth[pick], column[pick]), t[layers.columns[column[pick]]]
+                    else:
+                        cells = traced[pick]
+                        fitted = kernels.transforms_of(cov[pick], mean_a[pick], mean_b[pick])
+                    pos_a, pos_b = kernels.cell_positions(cells, len(b))
+                    yield names[pick], depth[pick], ssd[pick], rmsd[pick], fitted, pos_a, pos_b
+            if best is not None and not search.refine and count < high:
+                # n pairs cost at least n / d times what the best d of them do
+                later = np.arange(count + 1, high + 1)
+                ceiling = np.array([best.get(int(n), (np.inf, 0))[0] for n in later])
+                going &= (totals[-1][None] * (later / count)[:, None] <= ceiling[:, None]).any(axis=0)
+            layers.keep(going)
+
+
+def _block_solutions(row: dict, search: Search, orientations=None):
+    """Solutions of one block or work unit, of all its orientations or only the best per n."""
+    a, b = _coordinates(row, search.atoms_per_residue)
+    low, high = max(row["n_lo"], 2), min(row["n_hi"], len(a), len(b))
+    if low > high:
+        return
+    if orientations is None:
+        ids, mats = row["o_ids"], row["ms"].reshape(-1, 12)
+    else:
+        ids, mats = orientations(row, a, b)
+    if search.keep != "best":
+        yield from _solutions(a, b, ids, mats, low, high, row["n_need"], search, None)
+        return
+    found: dict[int, tuple] = {}
+    for parts in _solutions(a, b, ids, mats, low, high, row["n_need"], search, {}):
+        found.update((int(n), (parts, k)) for k, n in enumerate(parts[1]))
+    held: dict[int, list] = {}
+    for parts, k in found.values():
+        held.setdefault(id(parts), [parts, []])[1].append(k)
+    for parts, rows in held.values():
+        yield tuple(column[rows] for column in parts)
 
 
-def _solver(search: Search):
+def _solver(search: Search, orientations=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                for o_id, n, ssd, rmsd, m, pos_a, pos_b in _block_solutions(row, search):
+                for o_id, n, ssd, rmsd, m, pos_a, pos_b in _block_solutions(row, search, orientations):
                     used = pos_a >= 0
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(n), row["pair_id"]), pa.int64()),
-                            pa.array(o_id, pa.int64()), pa.array(n, pa.int32()),
-                            pa.array(ssd, pa.float64()), pa.array(rmsd, pa.float64()),
-                            _lists(m, None, pa.float64()),
-                            _lists(pos_a, used, pa.int32()), _lists(pos_b, used, pa.int32()),
-                        ],
-                        ["pair_id", "o_id", "n", "ssd", "rmsd", "m", "ia", "jb"],
-                    )
+                    columns = [
+                        pa.array(np.full(len(n), row["pair_id"]), pa.int64()),
+                        pa.array(o_id, pa.int64()), pa.array(n, pa.int32()),
+                        pa.array(ssd, pa.float64()), pa.array(rmsd, pa.float64()), _lists(m, None, pa.float64()),
+                    ]
+                    if search.matches:
+                        columns += [_lists(pos_a, used, pa.int32()), _lists(pos_b, used, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, _NAMES[: len(columns)])
 
     return run
 
@@ -228,10 +266,79 @@ def layered_align(blocks: DataFrame, search: Search = Search()) -> DataFrame:
     prepared = _spread(blocks).withColumns({
         "n_lo": match_count(search.n_min, n_most), "n_hi": match_count(search.n_max, n_most), "n_need": need,
     })
-    solved = prepared.mapInArrow(_solver(search), _SOLUTION)
+    return _solved(prepared, _solver(search), search)
+
+
+def _solved(prepared: DataFrame, solver, search: Search) -> DataFrame:
+    if not search.matches:
+        return prepared.mapInArrow(solver, _LIGHT)
+    solved = prepared.mapInArrow(solver, _SOLUTION)
     return solved.select("pair_id", "o_id", "n", "ssd", "rmsd", "m", zipped_matches())
 
 
+def fragment_orientation_maker(length: int, max_frag_rmsd: float | None, atoms: int):
+    """Orientations of a work unit inside its task: given ones, or the fits of the fragment pairs that start in it."""
+
+    def make(row: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if row["o_ids"] is not None:
+            return row["o_ids"], row["ms"].reshape(-1, 12)
+        if row["wanted"] is not None:
+            i0, j0 = np.divmod(np.unique(row["wanted"]), len(b))
+        else:
+            rows, cols = np.arange(row["i_from"], row["i_to"]), np.arange(row["j_from"], row["j_to"])
+            inside = np.subtract.outer(-rows, -cols)
+            inside = (inside >= row["d_lo"]) & (inside <= row["d_hi"])
+            if row["boxes"] is not None:
+                boxed = np.zeros_like(inside)
+                for i, k, j, l in row["boxes"].reshape(-1, 4):
+                    boxed[i - rows[0] : k - rows[0] + 1, j - cols[0] : l - cols[0] + 1] = True
+                inside &= boxed
+            at = np.nonzero(inside)
+            i0, j0 = rows[at[0]], cols[at[1]]
+        cov, mean_a, mean_b, spread = kernels.fragment_sums(a, b, i0, j0, length)
+        if max_frag_rmsd is not None:
+            ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
+            good = np.sqrt(ssd / (length * atoms)) <= max_frag_rmsd
+            i0, j0, cov, mean_a, mean_b = i0[good], j0[good], cov[good], mean_a[good], mean_b[good]
+        return i0.astype(np.int64) * len(b) + j0, kernels.transforms_of(cov, mean_a, mean_b)
+
+    return make
+
+
+def layered_search(
+    units: DataFrame, search: Search, length: int, max_frag_rmsd: float | None = None, tasks: int | None = None
+) -> DataFrame:
+    """``layered_align`` over work units (see ``orient.work_units``): fits, filter and alignment in one task per unit.
+
+    One exchange deals the units out; matrices never leave a task.  ``tasks`` comes from counted work.
+    """
+    n_most = F.least("na", "nb")
+    need = match_count(search.prefilter[1], n_most) if search.prefilter else F.lit(0)
+    dealt = units.repartition(tasks or task_count(units.sparkSession), "pair_id", "unit")
+    prepared = dealt.withColumns({
+        "n_lo": match_count(search.n_min, n_most), "n_hi": match_count(search.n_max, n_most), "n_need": need,
+    })
+    maker = fragment_orientation_maker(length, max_frag_rmsd, search.atoms_per_residue)
+    return _solved(prepared, _solver(search, maker), search)
+
+
+def winners_solved(winners: DataFrame, paired: DataFrame, search: Search, length: int) -> DataFrame:
+    """``winners`` (pair_id, o_id, n, ...) of a search without matches, each fragment orientation solved once more for them.
+
+    Only the orientations that won anything are read, packed in blocks of a pair and joined to its chains; their solutions
+    at the match counts they won come back with ``matches``.
+    """
+    wanted = winners.select("pair_id", "o_id", "n").distinct()
+    block = F.pmod(F.xxhash64("o_id"), F.lit(16))
+    packed = wanted.groupBy("pair_id", block.alias("unit")).agg(F.collect_set("o_id").alias("wanted"))
+    none = {"o_ids": "array<bigint>", "ms": "array<double>", "boxes": "array<int>"}
+    units = packed.join(paired, "pair_id").withColumns({k: F.lit(None).cast(t) for k, t in none.items()})
+    units = units.select("pair_id", "unit", "na", "nb", *none, "wanted", *[s + v for s in "ab" for v in "xyz"])
+    every = replace(search, keep="all", matches=True, prefilter=None, max_rmsd=None)
+    solved = layered_search(units, every, length)
+    return winners.join(solved.select("pair_id", "o_id", "n", "matches"), ["pair_id", "o_id", "n"])
+
+
 def reachable_matches(blocks: DataFrame, max_dist: float, atoms_per_residue: int = 1) -> DataFrame:
     """Most ordered matches each orientation can make within ``max_dist``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandfold.functions import geometry as G
@@ -111,6 +111,79 @@ def last_fragment_block(block: int = BLOCK) -> Column:
     return F.floor((F.col("na").cast("long") * F.col("nb") - 1) / block)
 
 
+UNIT = 512  # fragment starts of one work unit
+CHAINS = [s + v for s in "ab" for v in "xyz"]
+
+
+def _tiles() -> tuple[Column, Column, Column]:
+    """Rows and columns of fragment starts in one unit of a pair, and units side by side."""
+    starts = F.col("nb") - F.col("_length") + 1
+    wide = F.least(starts, F.lit(UNIT))
+    return F.greatest(F.floor(F.lit(UNIT) / wide), F.lit(1)).cast("int"), wide.cast("int"), F.ceil(starts / wide).cast("int")
+
+
+def work_units(
+    paired: DataFrame, length: int, n_min: Column | int = 1, rectangles: DataFrame | None = None
+) -> DataFrame:
+    """Fragment starts of every pair cut into units of about ``UNIT``, from the chain lengths alone.
+
+    A unit is (pair_id, unit, na, nb, i_from, i_to, j_from, j_to, d_lo, d_hi, boxes, chains): a rectangle of starts inside
+    the diagonal band, with the packed chains.  Whatever the fits cost, no pair is tied to one task, and nothing is shuffled.
+    ``rectangles`` (pair_id, a_first, a_last, b_first, b_last: first and last residue a fragment may use) keep the units they
+    touch; they are clipped to the unit, where overlapping ones count a start once.
+    """
+    if length < 3:
+        raise ValueError("a fragment needs at least 3 residues")
+    n_min = n_min if isinstance(n_min, Column) else F.lit(n_min)
+    low, high = band_limits(n_min, F.col("na"), F.col("nb"))
+    sized = paired.withColumns({"_length": F.lit(length), "d_lo": low, "d_hi": high})
+    sized = sized.filter((F.col("na") >= length) & (F.col("nb") >= length))
+    down, wide, across = _tiles()
+    sized = sized.withColumns({"_down": down, "_wide": wide, "_across": across})
+    last = F.col("na") - length
+    ends = {"i_to": F.least(F.col("i_from") + F.col("_down"), last + 1),
+            "j_to": F.least(F.col("j_from") + F.col("_wide"), F.col("nb") - length + 1)}
+    corner = {"i_from": (F.floor(F.col("unit") / F.col("_across")) * F.col("_down")).cast("int"),
+              "j_from": (F.col("unit") % F.col("_across") * F.col("_wide")).cast("int")}
+    empty = {"o_ids": F.lit(None).cast("array<bigint>"), "ms": F.lit(None).cast("array<double>"),
+             "wanted": F.lit(None).cast("array<bigint>")}
+    inside = (F.col("j_to") - 1 - F.col("i_from") >= F.col("d_lo")) & (F.col("j_from") - F.col("i_to") + 1 <= F.col("d_hi"))
+    columns = ["pair_id", "unit", "na", "nb", *corner, *ends, "d_lo", "d_hi", "boxes", *empty, *CHAINS]
+    if rectangles is None:
+        rows = (F.floor(last / F.col("_down")) + 1) * F.col("_across")
+        units = sized.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), rows.cast("long") - 1)))
+        units = units.withColumns(corner).withColumns(ends).filter(inside)
+        return units.withColumns({"boxes": F.lit(None).cast("array<int>"), **empty}).select(columns)
+    small = sized.select("pair_id", "na", "nb", "d_lo", "d_hi", "_down", "_wide", "_across")
+    boxed = rectangles.select("pair_id", "a_first", "a_last", "b_first", "b_last").join(small, "pair_id")
+    boxed = boxed.withColumns({
+        "_i": F.greatest("a_first", F.lit(0)), "_k": F.least(F.col("a_last"), F.col("na") - 1) - length + 1,
+        "_j": F.greatest("b_first", F.lit(0)), "_l": F.least(F.col("b_last"), F.col("nb") - 1) - length + 1,
+    }).filter((F.col("_i") <= F.col("_k")) & (F.col("_j") <= F.col("_l")))
+    over = lambda c, step: F.floor(F.col(c) / F.col(step)).cast("long")
+    boxed = boxed.withColumn("_r", F.explode(F.sequence(over("_i", "_down"), over("_k", "_down"))))
+    boxed = boxed.withColumn("_c", F.explode(F.sequence(over("_j", "_wide"), over("_l", "_wide"))))
+    boxed = boxed.withColumn("unit", F.col("_r") * F.col("_across") + F.col("_c")).withColumns(corner).withColumns(ends)
+    clipped = F.array(F.greatest("_i", "i_from"), F.least(F.col("_k"), F.col("i_to") - 1),
+                      F.greatest("_j", "j_from"), F.least(F.col("_l"), F.col("j_to") - 1))
+    # distinct clipped rectangles are bounded by the size of a unit, whatever the number of rectangles
+    found = boxed.filter(inside).groupBy("pair_id", "unit").agg(F.flatten(F.collect_set(clipped)).alias("boxes"))
+    units = found.join(sized, "pair_id").withColumns(corner).withColumns(ends)
+    return units.withColumns(empty).select(columns)
+
+
+def given_units(orientations: DataFrame, paired: DataFrame, first_unit: int = 0) -> DataFrame:
+    """Given orientations (pair_id, o_id, m) as work units of at most ``UNIT``, in the columns of ``work_units``."""
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("o_id")) - 1
+    numbered = orientations.withColumn("unit", F.floor(place / UNIT) + first_unit)
+    packed = numbered.groupBy("pair_id", "unit").agg(F.array_sort(F.collect_list(F.struct("o_id", "m"))).alias("os"))
+    none = {c: F.lit(None).cast("int") for c in ("i_from", "j_from", "i_to", "j_to", "d_lo", "d_hi")}
+    units = packed.join(paired, "pair_id").withColumns({
+        **none, "boxes": F.lit(None).cast("array<int>"), "wanted": F.lit(None).cast("array<bigint>"),
+        "o_ids": F.col("os.o_id"), "ms": F.flatten("os.m")})
+    return units.select("pair_id", "unit", "na", "nb", *none, "boxes", "o_ids", "ms", "wanted", *CHAINS)
+
+
 def orientations_from_transforms(transforms: DataFrame) -> DataFrame:
     """Given transforms (pair_id, o_id, m) as orientations."""
     return transforms.select(

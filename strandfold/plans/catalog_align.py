@@ -11,6 +11,7 @@ from strandfold.operators import histogram as H
 from strandfold.operators import orient as O
 from strandfold.operators import refine as R
 from strandfold.operators import solutions as SOL
+from strandfold.operators import superpose as S
 from strandfold.plans import bridge, search
 from strandfold.plans import oracle as Q
 from strandfold.plans.catalog_geometry import paired
@@ -311,9 +312,9 @@ def moments_of_b(spark, sf):
 @register("alternatives_orientation", Q.query(_WIN, _SHIFTS, *_rounds(3, f"{_SHIFT_DISTANCE} < 9.0")))
 def alternatives_orientation(spark, sf):
     """Three best candidates per pair that displace b by at least 3 against each other."""
-    return SOL.alternatives(
-        bridge.shift_candidates(spark, sf), 3, SOL.similar_orientation(3.0), moments=moments_of_b(spark, sf)
-    ).select("pair_id", "n", "rank", "o_id", "ssd")
+    light = bridge.shift_candidates(spark, sf).drop("matches")
+    out = SOL.alternatives(light, 3, SOL.similar_orientation(3.0), moments=moments_of_b(spark, sf))
+    return out.select("pair_id", "n", "rank", "o_id", "ssd")
 
 
 _COMMON = "c.i0 - c.j0 = w.i0 - w.j0 AND 4 - abs(c.i0 - w.i0) > 1"
@@ -324,9 +325,8 @@ _COMMON = "c.i0 - c.j0 = w.i0 - w.j0 AND 4 - abs(c.i0 - w.i0) > 1"
     *_rounds(3, _COMMON, "cr")))
 def alternatives_pairs(spark, sf):
     """Three best candidates per pair, at most 5 times the best rmsd, that share at most one matched pair."""
-    return SOL.alternatives(
-        bridge.shift_candidates(spark, sf), 3, SOL.similar_pairs(1), rmsd_ratio=5.0
-    ).select("pair_id", "n", "rank", "o_id", "ssd")
+    light = bridge.shift_candidates(spark, sf).drop("m")
+    return SOL.alternatives(light, 3, SOL.similar_pairs(1), rmsd_ratio=5.0).select("pair_id", "n", "rank", "o_id", "ssd")
 
 
 @register("prune_alternatives", Q.query(
@@ -343,17 +343,110 @@ def prune_alternatives(spark, sf):
     ).select("pair_id", "n", "rank", "o_id", "ssd")
 
 
-@register("search_alternatives")
-def search_alternatives(spark, sf):
-    """Three mutually different solutions per n from the interval orientations of the whole search."""
+def interval_alternatives(spark, sf):
+    """(chains, search, three different solutions per n, without matches) from the interval orientations."""
     from strandfold.operators.select import sse_interval_pairs
 
     boxes = sse_interval_pairs(bridge.sse(spark, sf), bridge.pairs(spark, sf))
     chains = cut_lineage(paired(spark, sf))
-    wanted = A.Search(n_min=0.8, keep="all")
+    wanted = A.Search(n_min=0.8, keep="all", matches=False)
     found = search.candidates(chains, wanted, rectangles=boxes)
     out = SOL.alternatives(found, 3, SOL.similar_orientation(4.0), rmsd_ratio=2.0, moments=moments_of_b(spark, sf))
-    return out.select("pair_id", "n", "rank", "ssd", "rmsd")
+    return chains, wanted, out
+
+
+@register("search_alternatives")
+def search_alternatives(spark, sf):
+    """Three mutually different solutions per n from the interval orientations of the whole search."""
+    return interval_alternatives(spark, sf)[2].select("pair_id", "n", "rank", "ssd", "rmsd")
+
+
+def consistent(solutions, chains, keys):
+    """Per solution whether its matches are n, increase on both chains and superimpose to its ssd."""
+    steps = F.zip_with(
+        F.slice("matches", 1, F.size("matches") - 1), F.slice("matches", 2, F.size("matches")),
+        lambda p, q: (p["i"] < q["i"]) & (p["j"] < q["j"]))
+    rows = solutions.select("pair_id", *keys, F.posexplode("matches").alias("k", "p")).select("pair_id", *keys, "k", "p.i", "p.j")
+    fits = S.superpose(S.matched_points(rows, chains), ["pair_id", *keys]).select("pair_id", *keys, F.col("ssd").alias("_ssd"))
+    good = (F.size("matches") == F.col("n")) & F.forall(steps, lambda v: v)
+    close = F.abs(F.col("ssd") - F.col("_ssd")) <= 1e-6 * (1 + F.col("ssd"))
+    return solutions.join(fits, ["pair_id", *keys], "left").withColumn("good", good & F.coalesce(close, F.lit(False)))
+
+
+# With all residues of equally long chains matched there is one match set, and SQL can superimpose it.
+_WHOLE = ("whole AS (SELECT pid, ax, ay, az, bx, by_, bz FROM cells WHERE i = j)", Q.moments("whole", "pid"), Q.fit("pid"))
+
+
+@register("alternatives_solved", Q.query(
+    f"SELECT pid AS pair_id, 5 AS winners, TRUE AS consistent, {num('ssd', 'whole_ssd')} FROM fit", *_WHOLE))
+def alternatives_solved(spark, sf):
+    """The best alternative per n gets its matches by solving the winning orientations once more; checked against its ssd."""
+    chains, wanted, out = interval_alternatives(spark, sf)
+    solved = A.winners_solved(out.filter("rank = 1"), chains, wanted, 4)
+    return consistent(solved, chains, ["n"]).groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("winners"), F.bool_and("good").alias("consistent"), F.min_by("ssd", -F.col("n")).alias("whole_ssd"))
+
+
+@register("search_best_checked", Q.query(
+    f"SELECT pid AS pair_id, 15 AS solutions, TRUE AS consistent, {num('ssd', 'whole_ssd')} FROM fit", *_WHOLE))
+def search_best_checked(spark, sf):
+    """The whole search once more: all n from 7 up, matches in order, their superposition, and the one match set of n = 21."""
+    chains = cut_lineage(paired(spark, sf))
+    found = search.best_solutions(chains, A.Search(n_min=0.33))
+    return consistent(found, chains, ["n"]).groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("solutions"), F.bool_and("good").alias("consistent"), F.min_by("ssd", -F.col("n")).alias("whole_ssd"))
+
+
+@register("refine_best_checked", Q.query(
+    f"SELECT pid AS pair_id, 11 AS solutions, TRUE AS consistent, {num('ssd', 'whole_ssd')} FROM fit", *_WHOLE))
+def refine_best_checked(spark, sf):
+    """Refined solutions of all n from 11 up, checked in the same way."""
+    chains = cut_lineage(paired(spark, sf))
+    given = O.orientations_from_transforms(bridge.axis_orientations(spark, sf))
+    wanted = A.Search(n_min=0.5)
+    refined = R.refine(SOL.best_per_n(A.layered_align(A.orientation_blocks(given, chains), wanted)), chains, wanted)
+    return consistent(refined, chains, ["n"]).groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("solutions"), F.bool_and("good").alias("consistent"), F.min_by("ssd", -F.col("n")).alias("whole_ssd"))
+
+
+_MIXED = (Q.matched("lft", "lm"), Q.moments("lm", "pid"), Q.fit("pid"), Q.rotation("pid"), """
+ori AS (SELECT pid, 1 AS source, 0 AS o, m11, m12, m13, m14, m21, m22, m23, m24, m31, m32, m33, m34 FROM rot WHERE pid % 3 < 2
+  UNION ALL SELECT pid, 2, o, c, -s, 0, o, s, c, 0, 0, 0, 0, 1, 0 FROM axo WHERE pid % 3 = 1
+  UNION ALL SELECT pid, 3, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0 FROM prs WHERE pid % 3 = 2),
+moved AS (SELECT pid * 16 + source * 4 + o AS g, i, j, na, nb, ax, ay, az, m11*bx + m12*by_ + m13*bz + m14 AS x,
+  m21*bx + m22*by_ + m23*bz + m24 AS y, m31*bx + m32*by_ + m33*bz + m34 AS z FROM ori JOIN cells USING (pid)),
+cost AS (SELECT g, i, j, na, nb, (ax-x)*(ax-x) + (ay-y)*(ay-y) + (az-z)*(az-z) AS c FROM moved)""", Q.layers("cost"), """
+fin AS (SELECT l.g // 16 AS pid, l.g % 16 AS o, l.n, l.s FROM lay l JOIN prs ON prs.pid = l.g // 16
+  WHERE l.i = na - 1 AND l.j = nb - 1 AND l.n >= floor(0.33 * least(na, nb) + 0.5))""")
+
+
+@register("search_mixed", Q.query(
+    f"SELECT pid AS pair_id, n, {num('s', 'ssd')}, {num('sqrt(s / n)', 'rmsd')}, "
+    "['matches', 'matrix', 'identity'][CAST(o // 4 AS BIGINT)] AS source "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY pid, n ORDER BY s, o) AS rk FROM fin) WHERE rk = 1", *_MIXED, recursive=True))
+def search_mixed(spark, sf):
+    """Orientations from known alignments, given transforms or, without either, as placed; scored where they stand."""
+    chains = cut_lineage(paired(spark, sf))
+    known = bridge.given_matches(spark, sf, "left").filter("pair_id % 3 < 2").withColumn("o_id", F.lit(0).cast("long"))
+    given = bridge.axis_orientations(spark, sf).filter("pair_id % 3 = 1")
+    wanted = A.Search(n_min=0.33, refine=False, matches=False)
+    found = search.mixed_candidates(chains, wanted, length=None, matches=known, transforms=given)
+    return SOL.best_per_n(found).select("pair_id", "n", "ssd", "rmsd", "source")
+
+
+@register("search_mixed_sources", Q.query(
+    "SELECT pid AS pair_id, CASE WHEN pid % 3 < 2 THEN 1 ELSE 0 END AS from_matches, CASE WHEN pid % 3 = 1 THEN 4 ELSE 0 END AS "
+    "from_matrices, CASE WHEN least(na, nb) < 4 AND pid % 3 = 2 THEN 1 ELSE 0 END AS from_identity, "
+    "greatest(na - 3, 0) * greatest(nb - 3, 0) AS from_fragments FROM prs"))
+def search_mixed_sources(spark, sf):
+    """How many orientations of every source a search over all sources aligns: all that the pair has."""
+    chains = cut_lineage(paired(spark, sf))
+    known = bridge.given_matches(spark, sf, "left").filter("pair_id % 3 < 2").withColumn("o_id", F.lit(0).cast("long"))
+    given = bridge.axis_orientations(spark, sf).filter("pair_id % 3 = 1")
+    wanted = A.Search(n_min=2, n_max=2, refine=False, keep="all", matches=False)
+    found = search.mixed_candidates(chains, wanted, matches=known, transforms=given)
+    names = {"from_matches": "matches", "from_matrices": "matrix", "from_identity": "identity", "from_fragments": "fragment"}
+    return found.groupBy("pair_id").agg(*[F.count_if(F.col("source") == v).alias(k) for k, v in names.items()])
 
 
 _SERIES = """
