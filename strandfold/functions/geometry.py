@@ -8,12 +8,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from strandfold.functions import kernels
 
 AXES = ("x", "y", "z")
 NEWTON_STEPS = 2
@@ -146,19 +142,93 @@ def with_min_ssd(df: DataFrame, out: str = "ssd") -> DataFrame:
     return df.select(*keep, F.explode(F.array(ssd)).alias(out))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _fitted_transform(fit: pd.DataFrame) -> pd.Series:
-    cov = fit.iloc[:, :9].to_numpy(dtype=float).reshape(-1, 3, 3)
-    mean_a = fit.iloc[:, 9:12].to_numpy(dtype=float)
-    mean_b = fit.iloc[:, 12:15].to_numpy(dtype=float)
-    return pd.Series(list(kernels.transforms_of(cov, mean_a, mean_b)))
+def _det2(m: list[list[Column]], r: int, c: tuple[int, int]) -> Column:
+    """2 x 2 minor of rows r and r + 1."""
+    return m[r][c[0]] * m[r + 1][c[1]] - m[r][c[1]] * m[r + 1][c[0]]
+
+
+def _best_row(cells: list[list[Column]]) -> Column:
+    """Struct (size, row): the row of a symmetric matrix with the largest diagonal entry, and that entry."""
+    return F.array_max(F.array(*[
+        F.struct(F.abs(cells[r][r]).alias("size"), F.array(*cells[r]).alias("row")) for r in range(4)]))
 
 
-def fitted_transform() -> Column:
-    """The superposing transform, from the moment columns (one Arrow trip, batched eigenvectors)."""
-    cells = [v.alias(f"v{k}") for k, v in enumerate(covariance())]
-    cells += [(F.col(name) / F.col("cnt")).alias(f"m{k}") for k, name in enumerate(MEANS)]
-    return _fitted_transform(F.struct(*cells))
+def _null_vector(n: list[list[Column]], scale: Column) -> Column:
+    """A vector that a symmetric 4 x 4 matrix of rank 2 or less maps to 0.
+
+    With rank 2, n^2 - tr(n) n + e2 is a multiple of the projection on the null space, e2 the sum of its principal 2 x 2
+    minors; with rank 1, tr(n) - n is.  Without any rank there is nothing to turn.
+    """
+    trace = total([n[r][r] for r in range(4)])
+    square = [[total([n[r][t] * n[t][c] for t in range(4)]) for c in range(4)] for r in range(4)]
+    minors = (trace * trace - total([square[r][r] for r in range(4)])) * 0.5
+    two = _best_row([[square[r][c] - trace * n[r][c] + (minors if r == c else 0.0) for c in range(4)] for r in range(4)])
+    one = _best_row([[(trace if r == c else F.lit(0.0)) - n[r][c] for c in range(4)] for r in range(4)])
+    none = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)])
+    return F.when(two["size"] > 1e-8 * scale * scale, two["row"]).when(one["size"] > 1e-8 * scale, one["row"]).otherwise(none)
+
+
+def with_fitted_transform(df: DataFrame, out: str = "m", ssd: str | None = None) -> DataFrame:
+    """Add the superposing transform, from the moment columns; stays in generated JVM code.
+
+    The rotation is the quaternion that belongs to the largest root of the characteristic quartic: a row of cofactors of
+    (quaternion matrix - root), the one with the largest diagonal entry.  They all vanish if the root is multiple (points on a
+    line, a single point), and then any vector of the null space will do.  ``ssd`` names the result of ``with_min_ssd`` if
+    it is there already.
+    """
+    keep = df.columns
+    t = "_turn_"
+    df = with_min_ssd(df, f"{t}ssd") if ssd is None else df.withColumn(f"{t}ssd", F.col(ssd))
+    cov = {f"{t}{r}{c}": certain(v) for (r, c), v in zip([(r, c) for r in AXES for c in AXES], covariance())}
+    mean = {f"{t}{name}": certain(F.col(name) / F.col("cnt")) for name in MEANS}
+    spread = F.col("saa") + F.col("sbb") - total([F.col(n) * F.col(n) for n in MEANS]) / F.col("cnt")
+    df = df.withColumns({**cov, **mean, f"{t}spread": certain(spread)})
+    x = {r + c: F.col(f"{t}{r}{c}") for r in AXES for c in AXES}
+    root = (F.col(f"{t}spread") - certain(F.col(f"{t}ssd"))) * 0.5
+    key = [
+        [x["xx"] + x["yy"] + x["zz"], x["zy"] - x["yz"], x["xz"] - x["zx"], x["yx"] - x["xy"]],
+        [None, x["xx"] - x["yy"] - x["zz"], x["xy"] + x["yx"], x["zx"] + x["xz"]],
+        [None, None, x["yy"] - x["xx"] - x["zz"], x["yz"] + x["zy"]],
+        [None, None, None, x["zz"] - x["xx"] - x["yy"]],
+    ]
+    cells = {f"{t}k{r}{c}": key[r][c] - root if r == c else key[r][c] for r in range(4) for c in range(r, 4)}
+    df = df.withColumns({k: certain(v) for k, v in cells.items()})
+    k = [[F.col(f"{t}k{min(r, c)}{max(r, c)}") for c in range(4)] for r in range(4)]
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    df = df.withColumns({f"{t}{side}{p}{q}": _det2(k, r, (p, q)) for side, r in (("u", 0), ("d", 2)) for p, q in pairs})
+    up = {p: F.col(f"{t}u{p[0]}{p[1]}") for p in pairs}
+    down = {p: F.col(f"{t}d{p[0]}{p[1]}") for p in pairs}
+
+    def cofactor(r: int, c: int) -> Column:
+        """From the row beside r in its half and the minors of the other half."""
+        beside, minors = k[r ^ 1], down if r < 2 else up
+        a, b, d = [v for v in range(4) if v != c]
+        value = beside[a] * minors[b, d] - beside[b] * minors[a, d] + beside[d] * minors[a, b]
+        return value if (r + c) % 2 == 0 else -value
+
+    df = df.withColumns({f"{t}a{r}{c}": cofactor(r, c) for r in range(4) for c in range(r, 4)})
+    a = [[F.col(f"{t}a{min(r, c)}{max(r, c)}") for c in range(4)] for r in range(4)]
+    size = F.greatest(*[F.abs(a[r][r]) for r in range(4)])
+    df = df.withColumns({f"{t}size": size, f"{t}scale": F.abs(root) + F.sqrt(total([v * v for v in x.values()]))})
+    size, scale = F.col(f"{t}size"), F.col(f"{t}scale")
+    row = F.array(*a[3])
+    for r in (2, 1, 0):
+        row = F.when(F.abs(a[r][r]) == size, F.array(*a[r])).otherwise(row)
+    q = F.when(size > 1e-12 * scale * scale * scale, row).otherwise(_null_vector(k, scale))
+    # the generator keeps what follows from being spelled out in terms of the steps before
+    df = df.select(*keep, *[f"{t}{name}" for name in MEANS], F.explode(F.array(q)).alias(f"{t}q"))
+    w, i, j, l = [certain(F.col(f"{t}q")[n]) for n in range(4)]
+    norm = w * w + i * i + j * j + l * l
+    df = df.withColumns({f"{t}n{n}": v / F.sqrt(norm) for n, v in enumerate((w, i, j, l))})
+    w, i, j, l = [certain(F.col(f"{t}n{n}")) for n in range(4)]
+    turn = [
+        [w * w + i * i - j * j - l * l, 2 * (i * j - w * l), 2 * (i * l + w * j)],
+        [2 * (i * j + w * l), w * w - i * i + j * j - l * l, 2 * (j * l - w * i)],
+        [2 * (i * l - w * j), 2 * (j * l + w * i), w * w - i * i - j * j + l * l],
+    ]
+    mean_a, mean_b = [F.col(f"{t}sa{v}") for v in AXES], [F.col(f"{t}sb{v}") for v in AXES]
+    lines = [v for r in range(3) for v in (*turn[r], mean_a[r] - total([turn[r][c] * mean_b[c] for c in range(3)]))]
+    return df.select(*keep, F.array(*lines).alias(out))
 
 
 def second_moments(p: list[Column]) -> dict[str, Column]:

@@ -100,10 +100,9 @@ def fragment_orientations(
     starts: DataFrame, length: int, max_frag_rmsd: float | None = None, atoms_per_residue: int = 1
 ) -> DataFrame:
     """Orientations that superimpose a fragment of b on a fragment of a."""
-    return fragment_fits(starts, length, max_frag_rmsd, atoms_per_residue).select(
-        "pair_id", "o_id", F.lit("fragment").alias("source"), "i0", "j0",
-        G.fitted_transform().alias("m"), "frag_rmsd",
-    )
+    fits = fragment_fits(starts, length, max_frag_rmsd, atoms_per_residue)
+    return G.with_fitted_transform(fits, ssd="frag_ssd").select(
+        "pair_id", "o_id", F.lit("fragment").alias("source"), "i0", "j0", "m", "frag_rmsd")
 
 
 def last_fragment_block(block: int = BLOCK) -> Column:

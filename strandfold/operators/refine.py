@@ -24,7 +24,7 @@ def _own_fits(solutions: DataFrame, paired: DataFrame, keys: list[str], atoms: i
         "pair_id", *keys, F.posexplode("matches").alias("k", "p")
     ).select("pair_id", *keys, "k", "p.i", "p.j")
     points = matched_points(rows, paired, atoms)
-    return match_moments(points, ["pair_id", *keys]).select("pair_id", *keys, G.fitted_transform().alias("m"))
+    return G.with_fitted_transform(match_moments(points, ["pair_id", *keys])).select("pair_id", *keys, "m")
 
 
 def refine(

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.functions.geometry import fitted_transform, identity, moment_sums, squared_distance, transformed
+from strandfold.functions.geometry import identity, moment_sums, squared_distance, transformed, with_fitted_transform
 from strandfold.operators.superpose import distances, side
 
 # Fixed values of the similarity score: weight, squared distance scale, price of a gap.
@@ -79,7 +79,8 @@ def alignment_stats(points: DataFrame, keys: list[str], optimize: bool = True, m
         F.array_sort(F.collect_list(F.struct("k", "q", "gap", *coordinates))).alias("_rows"),
     )
     # An alignment stays one row from here on: its transform is found once and its sums run over the array in order.
-    fitted = gathered.select(*keys, "_rows", (fitted_transform() if optimize else identity()).alias("m"))
+    fitted = with_fitted_transform(gathered) if optimize else gathered.withColumn("m", identity())
+    fitted = fitted.select(*keys, "_rows", "m")
 
     def apart(r: Column) -> Column:
         a, b = ([r[s + v] for v in "xyz"] for s in "ab")

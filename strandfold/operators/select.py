@@ -126,6 +126,90 @@ def _term_interval(df: DataFrame, term: Term, at: int, whole, strict: bool):
     )
 
 
+# The same term as a pattern of the SQL engine; groups as in parse_selection.
+_TERM_SQL = r"^(?:(?:(\*)|(-?\d+)([^\s.,\-\d*])?)(?:-(?:(\*)|(-?\d+)([^\s.,\-\d*])?))?)?(?:\.(?:(.)(?:-(.))?)?)?$"
+
+
+def selection_terms(selections: DataFrame) -> DataFrame:
+    """Terms of selection texts given as data: (structure_id, term, readable, bounds) from (structure_id, spec).
+
+    Bounds are first_no, first_code, last_no, last_code, first_chain and last_chain, null where open.  A null text selects
+    everything, as an empty one does.
+    """
+    texts = F.transform(F.split(F.coalesce("spec", F.lit("")), ","), lambda t: F.trim(t))
+    rows = selections.select("structure_id", F.posexplode(texts).alias("term", "_text"))
+    group = lambda k: F.nullif(F.regexp_extract("_text", _TERM_SQL, k), F.lit(""))
+    names = ("star1", "no1", "code1", "star2", "no2", "code2", "chain1", "chain2")
+    rows = rows.withColumns({f"_{n}": group(k) for k, n in enumerate(names, 1)})
+    c = lambda n: F.col(f"_{n}")
+    number = lambda n: F.expr(f"try_cast(_{n} as int)")
+    two_ends = c("star2").isNotNull() | c("no2").isNotNull()
+    open_chain = c("chain1").isNull() | (c("chain1") == "*")
+    last_chain = F.when((c("chain2") == "*") | (c("chain2").isNull() & open_chain), None).otherwise(F.coalesce("_chain2", "_chain1"))
+    fits = F.col("_text").rlike(_TERM_SQL) & (c("no1").isNull() == number("no1").isNull()) & (c("no2").isNull() == number("no2").isNull())
+    return rows.select(
+        "structure_id", "term", fits.alias("readable"), number("no1").alias("first_no"), c("code1").alias("first_code"),
+        F.when(two_ends, number("no2")).otherwise(number("no1")).alias("last_no"),
+        F.when(two_ends, c("code2")).otherwise(c("code1")).alias("last_code"),
+        F.when(~open_chain, c("chain1")).alias("first_chain"), last_chain.alias("last_chain"))
+
+
+def selection_outcome(residues: DataFrame, selections: DataFrame) -> DataFrame:
+    """What selection texts given as data stand for: (structure_id, term, first_pos, last_pos, error).
+
+    ``selections`` (structure_id, spec) has one text per structure; structures without a row are not selected from.  A row
+    is a closed interval of one visited chain, or an error instead of it: "term", "chain" or "residue" for a term that
+    cannot be read, a chain that is not there and a chain that lacks an end.  The rules are those of selection_intervals.
+    """
+    terms = selection_terms(selections)
+    runs = _chain_runs(residues)
+    # as many rows as a structure has chains times the terms of its text
+    df = runs.join(terms.filter("readable"), "structure_id")
+    whole = W.partitionBy("structure_id", "term")
+    run, chain = F.col("run"), F.col("chain_id")
+    df = df.withColumns({
+        "_begin": F.min(F.when(F.col("first_chain").isNull() | (chain == F.col("first_chain")), run)).over(whole),
+        "_chain": F.coalesce(F.col("last_chain"), F.max_by(chain, run).over(whole)), "_lowest": F.min(run).over(whole),
+    })
+    ends = (run >= F.col("_begin")) & (chain == F.col("_chain"))
+    df = df.withColumn("_stop", F.min(F.when(ends, run)).over(whole))
+    visited = (run >= F.col("_begin")) & (F.col("_stop").isNull() | (run <= F.col("_stop")))
+    lost = F.col("_begin").isNull() & (run == F.col("_lowest"))  # one row tells that the chain is not there
+    df = df.filter(visited | lost)
+    fits = lambda r, end: (r["seq_num"] == F.col(f"{end}_no")) & (
+        F.col(f"{end}_code").isNull() | (r["insert_code"] == F.col(f"{end}_code")))
+    head = F.filter("rs", lambda r: F.col("first_no").isNull() | fits(r, "first"))
+    df = df.withColumn("first_pos", F.try_element_at(head, F.lit(1))["pos"])
+    tail = F.filter("rs", lambda r: r["pos"] >= F.col("first_pos"))
+    df = df.withColumn("_tail", F.coalesce(tail, F.expr("filter(rs, r -> false)")))
+    numbered = F.filter("_tail", lambda r: r["seq_num"] == F.col("last_no"))
+    df = df.withColumn("_at", F.try_element_at(numbered, F.lit(1))["pos"])
+    beyond = F.filter("_tail", lambda r: (r["pos"] >= F.col("_at")) & (r["seq_num"] != F.col("last_no")))
+    df = df.withColumn("_end", F.try_element_at(beyond, F.lit(1))["pos"])
+    block = F.filter("_tail", lambda r: (r["pos"] >= F.col("_at")) & (F.col("_end").isNull() | (r["pos"] < F.col("_end"))))
+    coded = F.filter(block, lambda r: r["insert_code"] == F.col("last_code"))
+    last = F.when(F.col("last_no").isNull(), F.try_element_at("_tail", F.lit(-1))["pos"]).when(
+        F.col("last_code").isNull(), F.try_element_at(block, F.lit(-1))["pos"]).otherwise(F.try_element_at(coded, F.lit(1))["pos"])
+    df = df.withColumn("last_pos", last)
+    short = F.col("first_pos").isNull() | F.col("last_pos").isNull()
+    error = F.when(F.col("_begin").isNull(), "chain").when(short, "residue")
+    out = df.withColumn("error", error)
+    pos = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    out = out.select("structure_id", "term", pos("first_pos"), pos("last_pos"), "error")
+    none = F.lit(None).cast("int")
+    unread = terms.filter("not readable").select(
+        "structure_id", "term", none.alias("first_pos"), none.alias("last_pos"), F.lit("term").alias("error"))
+    return out.unionByName(unread)
+
+
+def select_by_text(residues: DataFrame, selections: DataFrame) -> DataFrame:
+    """Residues that each structure's own text selects, positions renumbered; structures with an error are left out."""
+    found = selection_outcome(residues, selections)
+    bad = found.filter("error is not null").select("structure_id").distinct()
+    chosen = clip(residues, found.filter("error is null").select("structure_id", "first_pos", "last_pos"))
+    return renumbered(chosen.join(bad, "structure_id", "left_anti"))
+
+
 def clip(residues: DataFrame, intervals: DataFrame) -> DataFrame:
     """Residues inside at least one interval, by position in the structure (not renumbered)."""
     bounds = intervals.select(F.col("structure_id").alias("_s"), "first_pos", "last_pos")

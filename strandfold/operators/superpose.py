@@ -53,7 +53,8 @@ def superpose(points: DataFrame, keys: list[str], transform: bool = False) -> Da
     out = fitted.withColumn("rmsd", G.rmsd(F.col("ssd"), F.col("cnt")))
     cols = [*keys, F.col("cnt").cast("long").alias("n_atoms"), "ssd", "rmsd"]
     if transform:
-        cols.append(G.fitted_transform().alias("m"))
+        out = G.with_fitted_transform(out, ssd="ssd")
+        cols.append("m")
     return out.select(*cols)
 
 

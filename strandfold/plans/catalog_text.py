@@ -123,6 +123,47 @@ def select_residues(spark, sf):
     return SEL.select_residues(bridge.residues(spark, sf), "4A-8.A,2-3.B,2-4.A")
 
 
+# Seven texts that structures take in turn, and what they stand for: positions 0-11 are chain A (4 has code A of
+# number 4), 12-20 chain B.
+_TEXTS = ["2-5.A", "*.B", "3-4A.A, 7-*.B", "", "99.A", "5.Q", "6-8.A-B,x?y"]
+
+
+def selection_texts(spark, sf):
+    texts = F.array(*[F.lit(t) for t in _TEXTS])
+    ids = bridge.chains(spark, sf).select("structure_id")
+    return ids.withColumn("spec", F.element_at(texts, (F.pmod("structure_id", F.lit(7)) + 1).cast("int")))
+
+
+@register("selection_outcome", Q.query("""
+SELECT sid AS structure_id, term, first_pos, last_pos, error FROM src JOIN bounds ON kind = sid % 7""", """
+ends AS (SELECT sid AS id0, min(p) FILTER (ch = 'A') AS a0, max(p) FILTER (ch = 'A') AS a1, min(p) FILTER (ch = 'B') AS b0,
+  max(p) FILTER (ch = 'B') AS b1, min(p) FILTER (ch = 'A' AND sq = 2) AS two, max(p) FILTER (ch = 'A' AND sq = 5) AS five,
+  min(p) FILTER (ch = 'A' AND sq = 3) AS three, min(p) FILTER (ch = 'A' AND sq = 4 AND ic = 'A') AS four,
+  min(p) FILTER (ch = 'B' AND sq = 7) AS seven, min(p) FILTER (ch = 'A' AND sq = 6) AS a6, max(p) FILTER (ch = 'A' AND sq = 8) AS a8,
+  min(p) FILTER (ch = 'B' AND sq = 6) AS b6, max(p) FILTER (ch = 'B' AND sq = 8) AS b8 FROM res GROUP BY sid),
+one AS (SELECT * FROM ends LIMIT 1),
+bounds AS (SELECT 0 AS kind, 0 AS term, two AS first_pos, five AS last_pos, NULL AS error FROM one
+  UNION ALL SELECT 1, 0, b0, b1, NULL FROM one
+  UNION ALL SELECT 2, 0, three, four, NULL FROM one UNION ALL SELECT 2, 1, seven, b1, NULL FROM one
+  UNION ALL SELECT 3, 0, a0, a1, NULL FROM one UNION ALL SELECT 3, 0, b0, b1, NULL FROM one
+  UNION ALL SELECT 4, 0, NULL, NULL, 'residue' UNION ALL SELECT 5, 0, NULL, NULL, 'chain'
+  UNION ALL SELECT 6, 0, a6, a8, NULL FROM one UNION ALL SELECT 6, 0, b6, b8, NULL FROM one
+  UNION ALL SELECT 6, 1, NULL, NULL, 'term')"""))
+def selection_outcome(spark, sf):
+    """Intervals or errors of a different selection text for every structure."""
+    return SEL.selection_outcome(bridge.residues(spark, sf), selection_texts(spark, sf))
+
+
+@register("select_by_text", Q.query("""
+SELECT sid AS structure_id, row_number() OVER (PARTITION BY sid ORDER BY p) - 1 AS pos, ch AS chain_id, sq AS seq_num, ic AS insert_code
+FROM res WHERE CASE sid % 7 WHEN 0 THEN ch = 'A' AND sq BETWEEN 2 AND 5 WHEN 1 THEN ch = 'B'
+  WHEN 2 THEN (ch = 'A' AND sq BETWEEN 3 AND 4) OR (ch = 'B' AND sq >= 7) WHEN 3 THEN TRUE ELSE FALSE END"""))
+def select_by_text(spark, sf):
+    """Residues that each structure's own text selects; those whose text has an error have none."""
+    out = SEL.select_by_text(bridge.residues(spark, sf), selection_texts(spark, sf))
+    return out.select("structure_id", "pos", "chain_id", "seq_num", "insert_code")
+
+
 @register("selection_intervals", Q.query(
     "SELECT sid AS structure_id, term, f AS first_pos, l AS last_pos FROM src, (VALUES (0, 2, 11), (0, 14, 20), (1, 0, 4), (1, 12, 15), "
     "(2, 12, 20), (3, 5, 5), (3, 16, 16)) t(term, f, l)"))
