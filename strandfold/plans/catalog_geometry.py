@@ -356,3 +356,11 @@ FROM lineitem WHERE l_discount >= 0.0 AND l_discount < 0.1 GROUP BY ALL""")
 def value_histogram(spark, sf):
     rows = bridge.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_discount")
     return H.histogram(rows, "l_discount", 0.0, 0.1, 7, ["flag"])
+
+
+@register("close_pairs", Q.query(
+    f"SELECT pid AS pair_id, i, j, {num('d2', 'd2')} FROM (SELECT *, (ax-bx)*(ax-bx) + (ay-by_)*(ay-by_) + (az-bz)*(az-bz) AS d2 "
+    "FROM cells) WHERE d2 <= 36 AND j - i BETWEEN -(na - 7) AND nb - 7"))
+def close_pairs(spark, sf):
+    """Residue pairs within a distance of 6 that can be part of 7 ordered matches, met in cells of a grid."""
+    return H.pair_distances(paired(spark, sf), 7, 6.0, grid_from=0)

@@ -1,26 +1,36 @@
-"""Registered queries against their SQL on the smallest tables; all of them with STRANDFOLD_FULL=1."""
+"""Registered queries against their SQL, on parts of the smallest tables; on all of them with STRANDFOLD_FULL=1."""
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
 
-QUICK = [
-    "chain_points", "centroids", "pair_overlap_large", "compare_alignments", "best_per_n", "depth_histogram",
-    "pair_histogram", "matches_to_aligned", "layered_limits", "fragment_cut", "clip",
-    "alignment_stats", "alignment_stats_as_placed", "solution_profile", "furthest_pair", "alignment_score",
-    "layered_matches_consistent", "gap_align_target_rmsd", "gap_align_target_n",
-]
 FULL = os.environ.get("STRANDFOLD_FULL") == "1"
+# Queries of the corpus subpackage have their own tests.
+CORE = sorted(n for n in entry_point.oracle_sql() if n != "pipeline" and not re.match(r"op\d+_", n))
 
 
 @pytest.fixture(scope="module")
-def duck(small):
-    con = duckdb.connect()
+def tables(small, tmp_path_factory):
+    """The smallest tables, or parts of them that keep their peculiarities: neighbouring ids, all lines of some suppliers."""
+    if FULL:
+        return small
+    folder = tmp_path_factory.mktemp("tables")
+    parts = {"embeddings": "where vec_id < 45", "lineitem": "where l_suppkey < 6", "events": "where user_id < 20", "documents": "limit 50"}
     for path in glob.glob(f"{small}/*.parquet"):
+        name = os.path.basename(path)[:-8]
+        duckdb.sql(f"copy (select * from '{path}' {parts.get(name, '')}) to '{folder}/{name}.parquet'")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def duck(tables):
+    con = duckdb.connect()
+    for path in glob.glob(f"{tables}/*.parquet"):
         con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     return con
 
@@ -30,9 +40,9 @@ def rows_of(names, rows):
     return sorted((tuple(r[k] for k in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()) if FULL else QUICK)
-def test_query_equals_sql(spark, small, duck, name):
-    df = entry_point.queries()[name](spark, small)
+@pytest.mark.parametrize("name", CORE)
+def test_query_equals_sql(spark, tables, duck, name):
+    df = entry_point.queries()[name](spark, tables)
     cursor = duck.execute(entry_point.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(names)

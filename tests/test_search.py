@@ -200,3 +200,14 @@ def test_alternatives_leave_out_what_is_similar_to_any_better_one(spark):
         expected.append((0, len(expected) + 1, best))
         left = [(s, o) for s, o in left if abs(o - best) >= 4]
     assert sorted(got) == sorted([*expected, (1, 1, 3)])
+
+
+def test_grid_and_table_find_the_same_close_pairs(spark):
+    from strandfold.operators.histogram import pair_distances
+
+    rng = np.random.default_rng(31)
+    chains = chain_table(spark, {0: walk(rng, 90), 1: walk(rng, 70), 2: -np.abs(walk(rng, 80))})
+    paired = C.attach_chains(pair_table(spark, [(0, 1), (1, 2), (2, 0)]), chains)
+    rows = {n: sorted((r.pair_id, r.i, r.j, round(r.d2, 9)) for r in pair_distances(paired, 20, 5.0, grid_from=n).collect())
+            for n in (0, 75, 1000)}
+    assert rows[0] == rows[75] == rows[1000] and len(rows[0]) > 50
