@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,7 +50,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later plan reads; what was made of them must have been written."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -58,6 +69,39 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+KEPT = "kept#"
+
+
+def set_aside(*used: str):
+    """Decorator of an operator on a table: its own working columns cannot clash with columns of the caller.
+
+    The operator gets the columns ``used`` (those that are there) and all others packed into one.  What it adds comes last,
+    and replaces columns of the same name; with ``keep`` only those columns of the caller come back.
+    """
+
+    def decorate(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, keep: list[str] | None = None, **options) -> DataFrame:
+            there = [c for c in docs.columns if c.lower() in used]
+            wanted = docs.columns if keep is None else keep
+            others = [c for c in wanted if c not in there]
+            packed = docs.select(
+                *[F.col(f"`{c}`") for c in there], *([F.struct(*[F.col(f"`{c}`") for c in others]).alias(KEPT)] if others else []))
+            inner = [c for c in packed.columns if c in wanted or c == KEPT]
+            passed = {} if keep is None and inner == packed.columns else {"keep": inner}
+            made = operator(packed, *args, **passed, **options)
+            added = [c for c in made.columns if c not in packed.columns]
+            names = {c.lower() for c in added}
+            shown = [c for c in wanted if c.lower() not in names]
+            return made.select(
+                *[(F.col(f"`{KEPT}`")[c] if c in others else F.col(f"`{c}`")).alias(c) for c in shown],
+                *[F.col(f"`{c}`") for c in added])
+
+        return run
+
+    return decorate
+
+
 def append_arrow(df: DataFrame, columns: dict[str, str], make, keep: list[str] | None = None, text: str = TEXT) -> DataFrame:
     """``df`` (or its columns ``keep``) plus new columns computed from column ``text`` batch by batch.
 
@@ -122,7 +166,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         ).select("col.u", "col.v")
-        links = materialise(small.filter("u <> v").distinct(), "links")
+        former, links = links, materialise(small.filter("u <> v").distinct(), "links")
+        release(former)
         after = seal(links)
         if after == before:
             break

@@ -6,10 +6,14 @@ gram, and only suffixes at anchors need sorting.  The text from the first to the
 its segment.
 
 1. Segments are counted by hash.  All strings of a segment that occurs twice repeat.
-2. Where one gram has several distinct segments, the right contexts and the reversed left contexts of each are sorted: a
-   multikey quicksort down to a shallow depth, then blind tries for the groups that share a longer prefix.  With the common
-   prefixes of both orders, each segment gets the strings it shares with another one.
-3. A gram with very many distinct segments is not brought to one task: its strings are counted by hash instead.
+2. The strings of a segment are filed by how many bytes they have before the anchor: ranges of that number, each under a hash
+   of the bytes that all strings of the range hold.  Segments alone under their file share nothing there.
+3. Segments under one file are sorted by their right contexts and by their reversed left ones: a multikey quicksort down to a
+   shallow depth, then blind tries for the groups that share a longer prefix.  With the common prefixes of both orders, each
+   segment gets the strings it shares with another one.
+4. A file with more segments than a task should sort is divided first: its ranges are cut into smaller ones, whose files hold
+   more bytes of the strings, down to single strings.  If a segment shares all bytes of a range with another one, the
+   whole range repeats and is not divided.  A segment is in few files of a size, as only the ends of what it shares matter.
 
 Matches never cross documents, as segments lie inside one.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandfold.llm.common import materialise, register, table
+from strandfold.llm.common import materialise, register, release, table
 
 LENGTH = 400
 GRAM = 32
 SHALLOW = 24
-MOST_TOGETHER = 256
+TOGETHER = 256  # segments that one task sorts together; larger files are divided, to the same result
+DIVISIONS = 4
 CHUNK = 1 << 22
 POSITION_BITS = 23
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -219,16 +225,21 @@ def shared_prefixes(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def shared_strings(segments: list[tuple[bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each (segment, anchor offset) the merged byte ranges covered by strings it shares with another one."""
+def shared_strings(segments: list[tuple[bytes, int]], low: int, high: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each (bytes, anchor offset) the ranges covered by strings it shares with another one.
+
+    Only strings with ``low`` to ``high`` bytes before the anchor are looked at.
+    """
     rights = shared_prefixes([s[a:] for s, a in segments])
     lefts = shared_prefixes([s[:a][::-1] for s, a in segments])
-    whole = lefts + rights >= length
+    first, last = np.maximum(length - rights, low), np.minimum(lefts, high)
+    whole = first <= last
     np.fill_diagonal(whole, False)
     out = []
     for k, (_, anchor) in enumerate(segments):
         ends = np.flatnonzero(whole[k])
-        out.append(merged([(anchor - int(lefts[k, j]), anchor + int(rights[k, j])) for j in ends]))
+        # every such range holds the anchor, so their union is one range
+        out.append([(anchor - int(last[k, ends].max()), anchor + length - int(first[k, ends].min()))] if len(ends) else [])
     return out
 
 
@@ -246,7 +257,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # ---- Spark jobs -----------------------------------------------------------------------------------------------
 
 TEXT_KEY = ["_doc", "_text_key"]
-ANCHORS = "_doc long, _text_key long, spot long, s1 long, s2 long, gram long"
+ANCHORS = "_doc long, _text_key long, copies long, spot long, s1 long, s2 long, gram long"
 # An anchor's place in one number: position, and how far before it its first and last strings start.
 BACK_BITS = 9
 
@@ -264,8 +275,8 @@ def anchor_table(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_128_intdigest
         low = (1 << 64) - 1
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for doc, key, text in zip(*[c.to_pylist() for c in batch.columns]):
+            columns: list[list] = [[] for _ in range(7)]
+            for doc, key, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if len(data) < LENGTH:
                     continue
@@ -274,35 +285,35 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 hashes = [digest(data[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist())]
                 n = len(at)
                 for column, values in zip(columns, (
-                    [doc] * n, [key] * n, spots.tolist(), [(h & low) - (1 << 63) for h in hashes],
+                    [doc] * n, [key] * n, [copies] * n, spots.tolist(), [(h & low) - (1 << 63) for h in hashes],
                     [(h >> 64) - (1 << 63) for h in hashes], gram.tolist(),
                 )):
                     column += values
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["_doc", "_text_key", "spot", "s1", "s2", "gram"])
+                [pa.array(c, pa.int64()) for c in columns], names=["_doc", "_text_key", "copies", "spot", "s1", "s2", "gram"])
 
-    return docs.select("_doc", "_text_key", "text").mapInArrow(run, ANCHORS)
+    return docs.select("_doc", "_text_key", "copies", "text").mapInArrow(run, ANCHORS)
 
 
-def marked_anchors(docs: DataFrame, together: int = MOST_TOGETHER) -> DataFrame:
+def marked_anchors(docs: DataFrame) -> DataFrame:
     """(_doc, _text_key, marks): per text its anchors that need work, as (spot, gram, state).
 
-    state 0: the whole segment repeats; 1: it is compared in a task with the gram's other segments; 2: its strings are
-    counted by hash, as the gram has more than ``together`` distinct segments.  A segment that repeats also stands for itself
-    in the comparison, by one of its occurrences (state + 2).
+    state 0: the whole segment repeats; 1: it is compared with the gram's other segments; 3: it repeats and also stands for
+    itself in the comparison, by one of its occurrences.
     """
     found = materialise(anchor_table(docs), "anchors")
     pick = F.xxhash64("_doc", "_text_key", "spot")
     segments = found.groupBy("s1", "s2").agg(
-        F.count(F.lit(1)).alias("n"), F.min("gram").alias("gram"), F.min(pick).alias("pick"))
+        F.sum("copies").alias("n"), F.min("gram").alias("gram"), F.min(pick).alias("pick"))
     grams = segments.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     states = segments.join(grams, "gram", "left").filter("n > 1 or kinds is not null")
     joined = found.drop("gram").join(states, ["s1", "s2"])
-    alone = F.when(F.col("kinds") <= together, 1).otherwise(2)
     stands = (F.col("pick") == pick) & F.col("kinds").isNotNull()
-    state = F.when(F.col("n") == 1, alone).otherwise(F.when(stands, alone + 2).otherwise(0))
+    state = F.when(F.col("n") == 1, 1).otherwise(F.when(stands, 3).otherwise(0))
     mark = F.struct("spot", "gram", state.cast("int").alias("state"))
-    return joined.select(*TEXT_KEY, mark.alias("mark")).groupBy(*TEXT_KEY).agg(F.collect_list("mark").alias("marks"))
+    marks = joined.select(*TEXT_KEY, mark.alias("mark")).groupBy(*TEXT_KEY).agg(F.collect_list("mark").alias("marks"))
+    marks.anchors = found
+    return marks
 
 
 MARKS = "array<struct<spot:long,gram:long,state:int>>"
@@ -333,7 +344,7 @@ def _arrow(spark_schema: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(spark_schema))
 
 
-OPEN = f"_doc long, _text_key long, data binary, ranges {RANGE}, todo {MARKS}, {DONE}"
+OPEN = f"_doc long, _text_key long, copies long, data binary, ranges {RANGE}, todo {MARKS}, {DONE}"
 
 
 def first_pass(docs: DataFrame, marks: DataFrame, with_kept: bool) -> DataFrame:
@@ -343,104 +354,174 @@ def first_pass(docs: DataFrame, marks: DataFrame, with_kept: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, key, text, found in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc, key, copies, text, found in zip(*[c.to_pylist() for c in batch.columns]):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 places = [(unpack(m["spot"]), m) for m in found or []]
-                spans = merged([(s, e + LENGTH) for (_, s, e), m in places if m["state"] in (0, 3, 4)])
+                spans = merged([(s, e + LENGTH) for (_, s, e), m in places if m["state"] in (0, 3)])
                 todo = [m for _, m in places if m["state"]]
                 if not todo:
-                    rows.append((doc, key, None, None, None, *summary(data, spans, with_kept)))
+                    rows.append((doc, key, copies, None, None, None, *summary(data, spans, with_kept)))
                 else:
                     shown = [{"start": a, "end": b} for a, b in spans]
-                    rows.append((doc, key, data, shown, todo, len(data), None, None, None))
+                    rows.append((doc, key, copies, data, shown, todo, len(data), None, None, None))
             yield _batch(rows, schema)
 
     renamed = marks.withColumnsRenamed({"_doc": "_d", "_text_key": "_k"})
     own = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k"))
-    joined = docs.join(renamed, own, "left").select("_doc", "_text_key", "text", "marks")
+    joined = docs.join(renamed, own, "left").select("_doc", "_text_key", "copies", "text", "marks")
     return joined.mapInArrow(run, OPEN)
 
 
-def compared(opened: DataFrame) -> DataFrame:
-    """(_doc, _text_key, ranges): strings that unique segments share with other segments of their gram.
+SEGMENT = "_doc long, _text_key long, spot long, unique boolean, gram long, segment binary"
+FILE = ["gram", "low", "high", "c1", "c2"]
+FILED = "_doc long, _text_key long, spot long, gram long, low int, high int, c1 long, c2 long, f1 long, f2 long"
+WIDEST = LENGTH - GRAM
 
-    The segments of a gram meet in one task, as there are at most ``MOST_TOGETHER`` of them; tasks get many grams.
-    """
-    sent = "gram long, _doc long, _text_key long, first long, anchor int, unique boolean, segment binary"
-    schema, out_ddl = _arrow(sent), f"_doc long, _text_key long, ranges {RANGE}"
-    out_schema = _arrow(out_ddl)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def two_longs(data: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(data)
+    return (h & ((1 << 64) - 1)) - (1 << 63), (h >> 64) - (1 << 63)
+
+
+def segment_table(opened: DataFrame) -> DataFrame:
+    """The bytes of every segment that is compared with others, once per distinct segment."""
+    schema = _arrow(SEGMENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, key, data, todo in zip(*[c.to_pylist() for c in batch.columns]):
                 for m in todo:
-                    if m["state"] in (1, 3):
-                        at, first, last = unpack(m["spot"])
-                        rows.append((m["gram"], doc, key, first, at - first, m["state"] == 1, data[first : last + LENGTH]))
+                    _, first, last = unpack(m["spot"])
+                    rows.append((doc, key, m["spot"], m["state"] == 1, m["gram"], data[first : last + LENGTH]))
             yield _batch(rows, schema)
 
-    def solve(group: list[tuple]) -> list[tuple]:
-        found = shared_strings([(g[6], g[4]) for g in group])
+    return opened.select(*TEXT_KEY, "data", "todo").mapInArrow(run, SEGMENT)
+
+
+def filed(ranges: DataFrame) -> DataFrame:
+    """Files of the parts of ranges (SEGMENT without unique, low, high): hashes of what all strings of a part hold (c1, c2)
+    and of what they hold together (f1, f2; null if the segment has not all of them)."""
+    schema = _arrow(FILED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, key, spot, gram, data, low, high in zip(*[c.to_pylist() for c in batch.columns]):
+                at, first, last = unpack(spot)
+                edges = sorted({low + (high + 1 - low) * k // DIVISIONS for k in range(DIVISIONS + 1)})
+                for a, b in zip(edges[:-1], edges[1:]):
+                    b, here = b - 1, at - first
+                    if here < a or at - last > b:
+                        continue  # no string of the segment is in this part
+                    core = two_longs(data[here - a : here + LENGTH - b])
+                    full = two_longs(data[here - b : here + LENGTH - a]) if here >= b and at - last <= a else (None, None)
+                    rows.append((doc, key, spot, gram, a, b, *core, *full))
+            yield _batch(rows, schema)
+
+    return ranges.select(*TEXT_KEY, "spot", "gram", "segment", "low", "high").mapInArrow(run, FILED)
+
+
+def with_segment(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """``rows`` (_doc, _text_key, spot, ...) with the bytes of their segments."""
+    renamed = segments.withColumnsRenamed({"_doc": "_d", "_text_key": "_k", "spot": "_s"}).drop("gram")
+    own = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")) & (F.col("spot") == F.col("_s"))
+    return rows.join(renamed, own).drop("_d", "_k", "_s")
+
+
+def compared(opened: DataFrame, together: int) -> DataFrame:
+    """(_doc, _text_key, ranges): strings that segments share with other segments of their gram."""
+    segments = materialise(segment_table(opened), "segments")
+    todo = segments.withColumns({"low": F.lit(0), "high": F.lit(WIDEST)})
+    alone = [c for c in FILED.replace(" long", "").replace(" int", "").split(", ")]
+    small, whole = [], []
+    while True:
+        files = materialise(filed(todo), "files")
+        sizes = files.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = materialise(files.join(sizes, FILE), "shared")
+        small.append(shared.filter(F.col("n") <= together).select(*alone))
+        large = shared.filter(F.col("n") > together)
+        release(files)
+        if large.isEmpty():
+            break
+        full = ["gram", "low", "high", "f1", "f2"]
+        own = F.xxhash64(*TEXT_KEY, "spot")
+        twice = large.filter("f1 is not null").groupBy(*full).agg(
+            F.count(F.lit(1)).alias("same"), F.min(own).alias("pick")).filter("same > 1")
+        large = materialise(large.join(twice, full, "left"), "large")
+        whole.append(large.filter("same is not null"))
+        # of segments that share a whole range, one stands for all in the comparison with the others
+        rest = large.filter("low < high").filter(F.col("same").isNull() | (F.col("pick") == own))
+        todo = with_segment(rest.select(*TEXT_KEY, "spot", "gram", "low", "high"), segments)
+    found = [sorted_files(with_segment(rows, segments)) for rows in small]
+    at, back = F.shiftright("spot", 2 * BACK_BITS), F.col("high")
+    span = F.struct((at - back).alias("start"), (at + LENGTH - F.col("low")).alias("end"))
+    found += [rows.select(*TEXT_KEY, F.array(span).alias("ranges")) for rows in whole]
+    return reduce(DataFrame.unionAll, found)
+
+
+def sorted_files(rows: DataFrame) -> DataFrame:
+    """(_doc, _text_key, ranges) of files that are small enough for a task; tasks get many of them."""
+    out_ddl = f"_doc long, _text_key long, ranges {RANGE}"
+    out_schema = _arrow(out_ddl)
+
+    def solve(file: tuple, group: list[tuple]) -> list[tuple]:
+        held = []
+        for _, _, spot, _, data in group:
+            at, first, _ = unpack(spot)
+            # no more than the strings of the range reach
+            start = max(0, at - first - file[2])
+            held.append((data[start : at - first + LENGTH - file[1]], at - first - start))
+        found = shared_strings(held, file[1], file[2])
         return [
-            (g[1], g[2], [{"start": g[3] + a, "end": g[3] + b} for a, b in ranges])
-            for g, ranges in zip(group, found) if g[5] and ranges
+            (g[0], g[1], [{"start": (g[2] >> 2 * BACK_BITS) - here + a, "end": (g[2] >> 2 * BACK_BITS) - here + b} for a, b in ranges])
+            for g, (_, here), ranges in zip(group, held, found) if g[3] and ranges
         ]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+        file = None
         for batch in batches:
-            rows = []
+            made = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if group and group[0][0] != row[0]:
-                    rows += solve(group)
+                if group and file != row[:5]:
+                    made += solve(file, group)
                     group = []
-                group.append(row)
-            yield _batch(rows, out_schema)
-        yield _batch(solve(group) if group else [], out_schema)
-
-    segments = opened.select(*TEXT_KEY, "data", "todo").mapInArrow(send, sent)
-    return segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet, out_ddl)
+                file = row[:5]
+                group.append(row[5:])
+            yield _batch(made, out_schema)
+        yield _batch(solve(file, group) if group else [], out_schema)
 
+    dealt = rows.select(*FILE, *TEXT_KEY, "spot", "unique", "segment").repartition(*FILE).sortWithinPartitions(*FILE)
+    return dealt.mapInArrow(meet, out_ddl)
 
-def counted(opened: DataFrame) -> DataFrame:
-    """(_doc, _text_key, ranges) of the grams with more segments than one task should hold, by counting string hashes."""
-    sent = "_doc long, _text_key long, start long, unique boolean, h1 long, h2 long"
-    schema = _arrow(sent)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, low = xxhash.xxh3_128_intdigest, (1 << 64) - 1
-        for batch in batches:
-            for doc, key, data, todo in zip(*[c.to_pylist() for c in batch.columns]):
-                rows = []
-                for m in todo:
-                    if m["state"] in (2, 4):
-                        _, first, last = unpack(m["spot"])
-                        for start in range(first, last + 1):
-                            h = digest(data[start : start + LENGTH])
-                            rows.append((doc, key, start, m["state"] == 2, (h & low) - (1 << 63), (h >> 64) - (1 << 63)))
-                yield _batch(rows, schema)
-
-    busy = opened.filter(F.exists("todo", lambda m: m["state"].isin(2, 4)))
-    each = busy.select(*TEXT_KEY, "data", "todo").mapInArrow(strings, sent)
-    twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hit = each.filter("unique").join(twice, ["h1", "h2"], "left_semi")
-    span = F.struct("start", (F.col("start") + LENGTH).alias("end"))
-    return hit.groupBy(*TEXT_KEY).agg(F.collect_list(span).alias("ranges"))
-
-
-def repeats(docs: DataFrame, together: int = MOST_TOGETHER, with_kept: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, together: int = TOGETHER, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256, kept) per row of ``docs``, of its text as UTF-8; other columns are left out.
 
     spans are the maximal byte ranges [start, end) covered by ``LENGTH``-byte strings that also start anywhere else, in the
     same text or in that of another row; rows with equal ids and texts repeat each other.  Null counts as empty; texts
-    shorter than ``LENGTH`` have no span.  kept, the bytes outside the spans, is null unless ``with_kept``.
+    shorter than ``LENGTH`` have no span.  kept, the bytes outside the spans, is null unless ``with_kept``.  ``together``
+    bounds what one task sorts and changes no result.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("_text_key", F.xxhash64("text"))
-    known = materialise(first_pass(keyed, marked_anchors(keyed, together), with_kept), "repeats")
+    # rows with equal id and text are worked on once; all their strings repeat
+    again = materialise(keyed.groupBy(*TEXT_KEY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "again")
+    twins = None
+    if not again.isEmpty():
+        renamed = again.withColumnsRenamed({"_doc": "_d", "_text_key": "_k"})
+        own = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k"))
+        twins = keyed.join(renamed, own).drop("_d", "_k")
+        keyed = keyed.join(renamed, own, "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(
+            twins.groupBy(*TEXT_KEY).agg(F.first("text").alias("text"), F.first("copies").alias("copies")))
+    else:
+        keyed = keyed.withColumn("copies", F.lit(1).cast("long"))
+    marks = marked_anchors(keyed)
+    known = materialise(first_pass(keyed, marks, with_kept), "repeats")
+    release(marks.anchors)
     opened = known.filter("data is not null")
-    more = compared(opened).unionByName(counted(opened))
+    more = compared(opened, together)
     more = more.groupBy(*TEXT_KEY).agg(F.flatten(F.collect_list("ranges")).alias("more"))
     more = more.withColumnsRenamed({"_doc": "_d", "_text_key": "_k"})
     schema = _arrow(f"_doc long, {DONE}")
@@ -453,11 +534,22 @@ def repeats(docs: DataFrame, together: int = MOST_TOGETHER, with_kept: bool = Fa
                 rows.append((doc, *summary(data, spans, with_kept)))
             yield _batch(rows, schema)
 
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
+                data = text.encode("utf-8", "surrogatepass")
+                rows.append((doc, *summary(data, [(0, len(data))] if len(data) >= LENGTH else [], with_kept)))
+            yield _batch(rows, schema)
+
     own = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k"))
-    late = opened.select(*TEXT_KEY, "data", "ranges").join(more, own, "left").select("_doc", "data", "ranges", "more")
+    single = opened.filter("copies = 1")
+    late = single.select(*TEXT_KEY, "data", "ranges").join(more, own, "left").select("_doc", "data", "ranges", "more")
     late = late.mapInArrow(finish, f"_doc long, {DONE}")
-    done = known.filter("data is null").select(*late.columns)
-    return done.unionByName(late).withColumnRenamed("_doc", "doc_id")
+    done = known.filter("data is null and copies = 1").select(*late.columns).unionByName(late)
+    if twins is not None:
+        done = done.unionByName(twins.select("_doc", "text").mapInArrow(repeated, f"_doc long, {DONE}"))
+    return done.withColumnRenamed("_doc", "doc_id")
 
 
 @register("op10_suffix_dedup")
