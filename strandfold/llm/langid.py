@@ -258,4 +258,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, and whether its id holds it out of training."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learned(docs), keep=["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import materialise, register, table, without
+from strandfold.llm.common import materialise, register, set_aside, table, without
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICES = 1 << 12
@@ -57,6 +57,7 @@ def unit(*parts: Column) -> Column:
     return (F.conv(head, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+@set_aside("doc_id", "source", "text")
 def sample(docs: DataFrame, seed: int = 7, keep: list[str] | None = None, **shares) -> DataFrame:
     """``docs`` (or its columns ``keep``) plus size, source_size, target, copies and taken = copies * size.
 
@@ -84,7 +85,7 @@ def sample(docs: DataFrame, seed: int = 7, keep: list[str] | None = None, **shar
         .join(per.drop("source_size"), F.col("s").eqNullSafe(F.col("source"))).drop("s"), "mix-sources")
 
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mean = F.col("gs") / F.col("source_size")
+    mean = F.try_divide(F.col("gs"), F.col("source_size"))  # null for a source without words
     reach = F.greatest(F.col("g1") - mean, mean - F.col("g0"))
     lean = F.when(reach > 0, (F.col("g") - mean) / reach).otherwise(0.0)
     u = unit(F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text_hash"))

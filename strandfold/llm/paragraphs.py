@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandfold.llm.common import components, materialise, register, table
+from strandfold.llm.common import components, materialise, register, release, table
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -197,7 +197,9 @@ def across(placed: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Data
     met = others.join(any_, "file").filter(
         "ra <> rb and ca <> cb and sa <= lb and sb <= la and if(ra < rb, sa <= sb, sb <= sa) "
         f"and {apart} <= {(1 - similar) / (1 + similar)!r} * (sa + sb) + 1e-9")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs.files = filed
+    return pairs
 
 
 def links(
@@ -227,8 +229,11 @@ def links(
     placed = members.select("bucket", "pid").join(part, "pid", "left")
     placed = placed.withColumn("component", F.coalesce("component", "pid"))
     several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rest = placed.join(several, "bucket", "left_semi").select("pid", "component").distinct()
-    return near.unionByName(verified(across(materialise(rest, "paragraph-rest"), sets), sets))
+    rest = materialise(placed.join(several, "bucket", "left_semi").select("pid", "component").distinct(), "paragraph-rest")
+    pairs = across(rest, sets)
+    out = materialise(near.unionByName(verified(pairs, sets)), "paragraph-all-links")
+    release(members, sets, near, rest, pairs.files)
+    return out
 
 
 def near_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -240,7 +245,9 @@ def near_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.xxhash64("text").alias("_key"))
     found = materialise(occurrences(keyed, least_words), "paragraphs")
-    part = components(links(keyed, found, least_words)).withColumnsRenamed({"node": "pid", "component": "cluster"})
+    linked = links(keyed, found, least_words)
+    part = components(linked).withColumnsRenamed({"node": "pid", "component": "cluster"})
+    release(linked)
     placed = found.select("_doc", "_key", "line", "words", "pid").distinct().join(part, "pid", "left")
     placed = placed.withColumn("cluster", F.coalesce("cluster", "pid")).drop("pid")
     sizes = placed.groupBy("cluster").agg(

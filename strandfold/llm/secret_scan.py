@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import materialise, register, table, top_ids, without
+from strandfold.llm.common import materialise, register, set_aside, table, top_ids, without
 
 # Fixed patterns of the base scan.  The runs of access and hex carry their least length, which finds the same matches as
 # the whole run filtered afterwards; an assignment that is too short must still be consumed, so it is filtered.
@@ -143,6 +143,7 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.when(F.size(steps) > 0, total / F.size(steps)).otherwise(0.0)
 
 
+@set_aside("doc_id", "text", "n_chars")
 def secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD,
             keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) plus ``secrets``: spans (start, end, kind, value) by start, then kind.
@@ -171,6 +172,7 @@ def secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float
     return scanned.select(*[F.col(f"`{c}`") for c in keep], ordered.alias("secrets"))
 
 
+@set_aside("doc_id", "text", "n_chars")
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every secret replaced by ``mark`` and n_chars, if there, set to the new length.
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import append_arrow, components, materialise, register, table
+from strandfold.llm.common import append_arrow, components, materialise, register, set_aside, table
 
 BITS = 64
 BLOCK = 1 << 16
@@ -139,6 +139,7 @@ def groups(docs: DataFrame, distance: int = 2, keep: list[str] | None = None) ->
     return marked.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
 
 
+@set_aside("doc_id", "text")
 def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The documents less near-duplicates: of each group the row with the smallest doc_id stays.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import materialise, register, table, without
+from strandfold.llm.common import materialise, register, set_aside, table, without
 
 RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -209,6 +209,7 @@ def with_suffixes(df: DataFrame, hosts: DataFrame, paths: DataFrame) -> DataFram
     return df.fillna(0.0, ["f_host_suffix", "f_path_suffix"])
 
 
+@set_aside("page_id", "url")
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) plus host, path, rule, block_score and verdict (allow or block).
 
