@@ -169,13 +169,9 @@ class Layers:
         self.cost, self.least = cost, least
         self.rows, self.cols, count = cost.shape
         self.columns = np.arange(count)  # which orientations are left
-        self.layer, self.merged = None, None
-        self.moves: list[np.ndarray] = []
-        self.parents: list[np.ndarray | None] = []  # columns of the layer before, where some were dropped
-
-    @property
-    def depth(self) -> int:
-        return len(self.moves)
+        self.depth, self.layer, self.merged = 0, None, None
+        # per call of advance: first layer, move codes (layers, rows, cols, orientations), their columns in the call before
+        self.runs: list[tuple[int, np.ndarray, np.ndarray | None]] = []
 
     def next_layer(self) -> np.ndarray:
         spare = max(self.least - self.depth - 1, 0)
@@ -184,21 +180,18 @@ class Layers:
             layer += self.layer if self.depth < self.least else self.layer[:-1, :-1]
         return running_minimum(layer)
 
-    def store(self, layer: np.ndarray) -> None:
-        moves = np.zeros(layer.shape, dtype=np.uint8)
-        np.multiply(layer[1:] == layer[:-1], np.uint8(2), out=moves[1:])
-        np.copyto(moves[:, 1:], 1, where=layer[:, 1:] == layer[:, :-1])
-        self.moves.append(moves)
-
     def advance(self, count: int) -> np.ndarray:
         """Totals of the next ``count`` layers, (count, orientations left)."""
-        totals = []
-        for _ in range(count):
-            self.layer = self.next_layer()
-            self.store(self.layer)
-            self.parents.append(self.merged)
-            self.merged = None
-            totals.append(self.layer[-1, -1].copy())  # not a view, which would keep the layer
+        moves = np.zeros((count, self.rows, self.cols, len(self.columns)), dtype=np.uint8)
+        self.runs.append((self.depth, moves, self.merged))
+        self.merged, totals = None, []
+        for step in range(count):
+            layer = self.layer = self.next_layer()
+            view = moves[step, self.depth : self.depth + len(layer), self.depth : self.depth + layer.shape[1]]
+            np.multiply(layer[1:] == layer[:-1], np.uint8(2), out=view[1:])
+            np.copyto(view[:, 1:], 1, where=layer[:, 1:] == layer[:, :-1])
+            self.depth += 1
+            totals.append(layer[-1, -1].copy())  # not a view, which would keep the layer
         return np.stack(totals)
 
     def keep(self, wanted: np.ndarray) -> None:
@@ -214,29 +207,31 @@ class Layers:
     def trace(self, depths: np.ndarray, columns: np.ndarray) -> np.ndarray:
         """Matched cells i * n + j of solutions, (solutions, most pairs), -1 past their count.
 
-        ``columns`` count among the orientations that were there when the last layer was made.
+        Counts and columns are those of the last call of ``advance``.
         """
-        most = self.depth
-        shapes = np.array([m.shape for m in self.moves])
-        bases = np.concatenate([[0], np.cumsum(shapes.prod(axis=1))])
-        codes = np.concatenate([m.reshape(-1) for m in self.moves])
-        # columns of every layer in terms of the last one
-        maps = [np.arange(shapes[-1, 2])]
-        for parent in self.parents[:0:-1]:
-            maps.append(maps[-1] if parent is None else parent[maps[-1]])
-        maps = np.stack(maps[::-1])[:, columns] if len(columns) else np.zeros((most, 0), dtype=np.int64)
         cells = np.full((len(depths), int(depths.max()) if len(depths) else 0), -1, dtype=np.int64)
-        live = np.arange(len(depths))
-        left, i, j = depths - 1, np.full(len(depths), self.rows - 1), np.full(len(depths), self.cols - 1)
-        while live.size:
-            at = ((i - left) * shapes[left, 1] + (j - left)) * shapes[left, 2] + maps[left, live] + bases[left]
-            code = codes[at]
-            paired = code == 0
-            cells[live[paired], left[paired]] = i[paired] * self.cols + j[paired]
-            i, j, left = i - (code != 1), j - (code != 2), left - paired
-            if left.min(initial=0) < 0:
-                more = left >= 0
-                live, i, j, left = live[more], i[more], j[more], left[more]
+        left, end = depths.astype(np.int64) - 1, np.full(len(depths), self.rows * self.cols - 1)
+        for start, moves, merged in reversed(self.runs):
+            _, m, n, k = moves.shape
+            codes = moves.reshape(-1)
+            back = np.array([m * n * k + n * k + k, k, n * k])  # steps of the codes in the flat table
+            at = ((left - start) * m * n + end) * k + columns
+            live = np.arange(len(depths))
+            while live.size:
+                code = codes[at]
+                paired = code == 0
+                rows = live[paired]
+                cells[rows, left[rows]] = at[paired]
+                left[rows] -= 1
+                at -= back[code]
+                more = left[live] >= start
+                if not more.all():
+                    live, at = live[more], at[more]
+            here = cells[:, start : start + len(moves)]
+            np.copyto(here, here // k % (m * n), where=here >= 0)
+            # what is left of a path ends before the first pair found in these layers
+            end = here[:, 0] - n - 1
+            columns = columns if merged is None else merged[columns]
         return cells
 
 
@@ -254,20 +249,15 @@ class LayersInSegments(Layers):
         # values take 64 bits per cell and segment, moves 2 bits per cell and layer of a segment
         self.every = max(1, int(round((32 * most) ** 0.5)))
         self.before: list[np.ndarray | None] = []
-        self.done = 0
-
-    @property
-    def depth(self) -> int:
-        return self.done
 
     def advance(self, count: int) -> np.ndarray:
         totals = []
         for _ in range(count):
-            if self.done % self.every == 0:
+            if self.depth % self.every == 0:
                 self.before.append(self.layer)
             self.layer = self.next_layer()
-            self.done += 1
-            totals.append(self.layer[-1, -1].copy())  # not a view, which would keep the layer
+            self.depth += 1
+            totals.append(self.layer[-1, -1].copy())
         return np.stack(totals)
 
     def keep(self, wanted: np.ndarray) -> None:
@@ -276,16 +266,16 @@ class LayersInSegments(Layers):
     def trace(self, depths: np.ndarray, columns: np.ndarray) -> np.ndarray:
         cells = np.full((len(depths), int(depths.max()) if len(depths) else 0), -1, dtype=np.int64)
         i, j = np.full(len(depths), self.rows - 1), np.full(len(depths), self.cols - 1)
-        held = self.done, self.layer
+        held = self.depth, self.layer
         for start in range((int(depths.max(initial=1)) - 1) // self.every * self.every, -1, -self.every):
-            self.done, self.layer = start, self.before[start // self.every]
+            self.depth, self.layer = start, self.before[start // self.every]
             packed = []
             for _ in range(start, min(start + self.every, int(depths.max()))):
                 self.layer = self.next_layer()[..., 0]
                 packed.append((np.packbits(self.layer[:, 1:] == self.layer[:, :-1], axis=1),
                                np.packbits(self.layer[1:] == self.layer[:-1], axis=1)))
                 self.layer = self.layer[..., None]
-                self.done += 1
+                self.depth += 1
             while packed:
                 d, (skip_b, skip_a) = start + len(packed) - 1, packed.pop()
                 rows = np.flatnonzero(depths > d)
@@ -304,7 +294,7 @@ class LayersInSegments(Layers):
                             at[going] -= 1
                 cells[rows, d] = (at + d) * self.cols + to + d
                 i[rows], j[rows] = at + d - 1, to + d - 1
-        self.done, self.layer = held
+        self.depth, self.layer = held
         return cells
 
 

@@ -22,8 +22,8 @@ from strandfold.session import task_count
 
 MEMORY_BUDGET = 256 << 20  # bytes of working tables per kernel call
 
-AT_ONCE = 256  # orientations in one kernel call, so that its tables stay in the cache
-GROUP = 3  # layers between two looks at a limit on superimposed matches
+AT_ONCE = 512  # orientations in one kernel call
+GROUP = 8  # layers between two looks at a limit on superimposed matches
 
 _LIGHT = "pair_id bigint, o_id bigint, n int, ssd double, rmsd double, m array<double>"
 _SOLUTION = f"{_LIGHT}, ia array<int>, jb array<int>"

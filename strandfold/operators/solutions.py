@@ -74,38 +74,38 @@ def alternatives(
 ) -> DataFrame:
     """Up to ``count`` mutually different candidates per pair and match count, best first.
 
-    The candidates are written once and never again.  A round per rank leaves out what is similar to the winners so far (one
-    row per slot, joined to the candidates) and takes the best of the rest by a partial + final aggregation.  Which similar
-    test is used is up to the caller; ``similar_orientation`` needs ``moments`` (pair_id, w) of chain b, and no matches:
-    give it light candidates and let ``align.winners_solved`` find the matches of the winners.
+    One round per rank: the best remaining candidate of every slot is taken by a partial + final aggregation, then everything
+    similar to it (itself included) is dropped.  Which similar test is used is up to the caller; ``similar_orientation``
+    needs ``moments`` (pair_id, w) of chain b, and no matches: give it light candidates and let ``align.winners_solved``
+    find the matches of the winners.  What remains is written per round, so candidates should hold no more than that.
     """
     kept_columns = [c for c in candidates.columns if c not in SLOT]
-    base = cut_lineage(candidates)
+    remaining = cut_lineage(candidates)
     if rmsd_ratio is not None:
-        base = within_ratio(base, rmsd_ratio)
+        remaining = within_ratio(remaining, rmsd_ratio)
+    hot = hot_keys(remaining.select(F.struct(*SLOT).alias("key")))
     if moments is not None:
-        base = spread_join(base, moments.select("pair_id", "w"), "pair_id", ["o_id", "n"])
-    if rmsd_ratio is not None or moments is not None:
-        base = cut_lineage(base)
-    slots = base.withColumn("_slot", F.struct(*SLOT))
-    hot = hot_keys(slots.select(F.col("_slot").alias("key")))
-    compared = ["o_id", *[c for c in ("m", "matches") if c in kept_columns]]
+        # the few numbers of a pair ride along; they are not written before the first winners are out
+        remaining = spread_join(remaining, moments.select("pair_id", "w"), "pair_id", ["o_id", "n"])
+    elif rmsd_ratio is not None:
+        remaining = cut_lineage(remaining)
     chosen = None
     for rank in range(1, count + 1):
-        rest = base
-        if chosen is not None:
-            taken = F.array_sort(F.collect_list(F.struct("rank", *compared))).alias("_taken")
-            rivals = chosen.groupBy(*SLOT).agg(taken).withColumn("_slot", F.struct(*SLOT)).drop(*SLOT)
-            column = lambda c: F.col(c) if c in compared else F.lit(None)
-            other = lambda t, c: t[c] if c in compared else F.lit(None)
-            alike = lambda t: (F.col("o_id") == t["o_id"]) | similar(
-                column("m"), other(t, "m"), column("matches"), other(t, "matches"))
-            # one expression over the winners so far, whose code does not grow with their number
-            rest = spread_join(slots, rivals, "_slot", ["o_id"], hot).filter(~F.exists("_taken", alike))
-        winners = best_per_n(rest.select(*SLOT, *kept_columns)).withColumn("rank", F.lit(rank))
-        # few rows: one per slot; reading them again must not run the rounds again
-        winners = cut_lineage(winners)
-        chosen = winners if chosen is None else chosen.unionByName(winners)
+        winners = best_per_n(remaining.select(*SLOT, *kept_columns))
+        ranked = winners.withColumn("rank", F.lit(rank))
+        chosen = ranked if chosen is None else chosen.unionByName(ranked)
+        if rank == count:
+            break
+        rival = winners.select(
+            F.struct(*SLOT).alias("_slot"), F.col("o_id").alias("_o_id"),
+            *[F.col(c).alias(f"_{c}") for c in ("m", "matches") if c in winners.columns],
+        )
+        joined = spread_join(remaining.withColumn("_slot", F.struct(*SLOT)), rival, "_slot", ["o_id"], hot)
+        column = lambda c: F.col(c) if c in joined.columns else F.lit(None)
+        alike = similar(column("m"), column("_m"), column("matches"), column("_matches"))
+        remaining = cut_lineage(
+            joined.filter((F.col("o_id") != F.col("_o_id")) & ~alike).select(*remaining.columns)
+        )
     return chosen.select(*SLOT, "rank", *kept_columns)
 
 

