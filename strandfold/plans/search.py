@@ -23,9 +23,12 @@ SOURCES = ("fragment", "matches", "matrix", "identity")
 
 
 def task_need(paired: DataFrame) -> int:
-    """Tasks for a search over all fragment pairs, from the counted lengths of the chains; never below the usual number."""
+    """Tasks for a search over all fragment pairs, from the counted lengths of the chains; never below the usual number.
+
+    The count is a job of its own.  On a local master, whose cores all tasks share anyway, it is left out.
+    """
     spark = paired.sparkSession
-    if spark.conf.get("spark.strandfold.tasks", None):
+    if spark.conf.get("spark.strandfold.tasks", None) or spark.sparkContext.master.startswith("local"):
         return task_count(spark)
     cells = F.col("na").cast("double") * F.col("nb")
     work = paired.agg(F.sum(cells * cells * F.least("na", "nb") / 3)).first()[0] or 0.0
