@@ -96,10 +96,11 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-def occurrences(docs: DataFrame, least_words: int, parts=paragraphs, bands: int = BANDS) -> DataFrame:
+def occurrences(docs: DataFrame, least_words: int, parts=paragraphs, bands: int = BANDS, keys=band_keys) -> DataFrame:
     """(_doc, _key, line, words, pid, b0 ..): every paragraph of every text, with its band keys.
 
-    ``parts`` cuts a text into paragraphs; with ``whole`` the texts themselves are compared.
+    ``parts`` cuts a text into paragraphs; with ``whole`` the texts themselves are compared.  ``keys`` makes ``bands``
+    numbers of the shingles of each paragraph.
     """
     ddl = "_doc long, _key long, line int, words int, pid long, " + ", ".join(f"b{k} long" for k in range(bands))
     schema = _arrow(ddl)
@@ -112,7 +113,7 @@ def occurrences(docs: DataFrame, least_words: int, parts=paragraphs, bands: int
                     facts.append((doc, key, line, len(words), paragraph_id(words)))
                     runs.append(shingles(words))
             if facts:
-                columns = [*map(list, zip(*facts)), *band_keys(runs, bands).T]
+                columns = [*map(list, zip(*facts)), *keys(runs, bands).T]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return docs.select("_doc", "_key", "text").mapInArrow(run, ddl)

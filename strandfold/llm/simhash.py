@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandfold.llm.common import append_arrow, components, materialise, register, set_aside, table
+from strandfold.llm.paragraphs import mixed, numbers
 
 BITS = 64
 BLOCK = 1 << 16
+RING = 16  # words of a wide ring
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -42,6 +44,27 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def ring_words(runs: list[np.ndarray], words: int = RING) -> np.ndarray:
+    """Wide SimHash of each set of hashes, (sets, words): a bit is set if over half of the distinct hashes, mixed anew for
+    every word, have it."""
+    factors, shifts = numbers(words, 4), numbers(words, 5)
+    out = np.empty((len(runs), words), dtype=np.int64)
+    for k, values in enumerate(runs):
+        values = np.unique(values)
+        ones = np.zeros(words * BITS, dtype=np.int64)
+        for at in range(0, len(values), 255):  # sums of 255 bits fit a byte
+            hashes = mixed(mixed(values[at : at + 255, None] * factors + shifts))
+            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+            ones += bits.sum(0, dtype=np.uint8)
+        out[k] = np.packbits(2 * ones > len(values), bitorder="little").view("<i8")
+    return out
+
+
+def ring_bits(words: np.ndarray) -> np.ndarray:
+    """The bits, one byte each, of rings (sets, words)."""
+    return np.unpackbits(np.ascontiguousarray(words, dtype="<i8").view(np.uint8), axis=1, bitorder="little")
+
+
 def with_fingerprints(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` (or its columns ``keep``) plus ``fp``, the fingerprint of each whole text as a long.
 

@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from strandfold.llm import near_texts, simhash
+from strandfold.llm.paragraphs import mixed
 
 
 def shingles(text):
@@ -45,3 +50,44 @@ def test_stage_removes_near_copies_only(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert near >= 5 and sorted(r.doc_id or -1 for r in kept.collect()) == expected
+
+
+def test_links_come_from_simhash_chains(spark, monkeypatch):
+    """Rings as counted bit by bit; the stage finds nothing if no chain of the rings agrees."""
+    values = [np.array(v, dtype=np.uint64) for v in ([5], [7, 7, 9], range(1, 601))]
+    rings = simhash.ring_bits(simhash.ring_words(values))
+    for bits, v in zip(rings, values):
+        each = simhash.ring_bits(simhash.ring_words([np.array([x], dtype=np.uint64) for x in set(v.tolist())]))
+        assert (bits == (2 * each.sum(0) > len(each))).all() and len(bits) == simhash.RING * simhash.BITS
+    rows = [(k, f"a text of ten words whose last one differs, {'x ' * 60} {' '.join(map(str, range(100)))} {k}") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in near_texts.one_of_each(docs).collect()] == [0]
+    monkeypatch.setattr(near_texts, "ring_words", lambda runs, words: np.array(
+        [mixed(np.arange(words, dtype=np.uint64) + v.sum()) for v in runs]).view(np.int64))
+    assert near_texts.one_of_each(docs).count() == 2
+
+
+def test_texts_of_a_bucket_meet_however_its_rows_are_cut():
+    rng = random.Random(2)
+    marks = [rng.getrandbits(63) for _ in range(4)]
+    rows = [(b, p, rng.choice(marks) ^ (1 << rng.randrange(63))) for b, n in ((1, 1), (2, 9), (3, 64), (5, 300), (6, 3), (7, 2))
+            for p in range(n)]
+    near = {(b, p, q) for b, p, x in rows for c, q, y in rows if b == c and p < q and (x ^ y).bit_count() <= near_texts.APART}
+    kinds = [("bucket", pa.int32()), ("pid", pa.int64()), ("mark", pa.int64())]
+    for size in (1, 7, 70, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip("bucket pid mark".split(), r)) for r in rows[k : k + size]], pa.schema(kinds))
+                   for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for batch in near_texts.meet(iter(batches)) for r in batch.to_pylist()]
+        crowded = {b for b, _, q in got if q is None}
+        assert {(b, p) for b, p, q in got if q is None} == {(b, p) for b, p, _ in rows if b in crowded} and crowded == {3, 5}
+        assert {r for r in got if r[2] is not None} == {
+            r for r in near if r[0] not in crowded or r[2] - r[1] <= near_texts.NEXT}
+    assert list(near_texts.meet(iter([])))[0].num_rows == 0
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    rng = random.Random(9)
+    heads = [[f"h{g}w{k}" for k in range(150)] for g in range(3)]
+    texts = [edited(heads[k % 3], 1, rng) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_texts.one_of_each(docs).collect()) == [0, 1, 2]
