@@ -91,3 +91,22 @@ def test_crowded_buckets_lose_no_link(spark):
     texts = [edited(heads[k % 3], 1, rng) for k in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in near_texts.one_of_each(docs).collect()) == [0, 1, 2]
+
+
+def test_a_text_of_a_crowded_bucket_gives_one_row():
+    """Each has the nearest of the texts just before it, so rows grow with the texts; other buckets give all near pairs."""
+    rng = random.Random(4)
+    rows = [(b, p, 7 ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63))) for b, n in ((1, 2), (2, 500), (3, 3)) for p in range(n)]
+    batch = pa.RecordBatch.from_pylist(
+        [dict(zip("bucket pid mark".split(), r)) for r in rows], pa.schema([("bucket", pa.int32()), ("pid", pa.int64()), ("mark", pa.int64())]))
+    got = [tuple(r.values()) for made in near_texts.meet_nearest(iter([batch])) for r in made.to_pylist()]
+    assert sorted(r for r in got if r[0] is None) == [(None, 0, 1), (None, 0, 1), (None, 0, 2), (None, 1, 2)]
+    marks = [x for b, _, x in rows if b == 2]
+    crowded = {p: q for b, p, q in got if b == 2}
+    assert len(got) == 504 and set(crowded) == set(range(500)) and crowded.pop(0) is None
+    for p, q in crowded.items():
+        earlier = range(max(0, p - near_texts.NEXT), p)
+        assert q in earlier and (marks[p] ^ marks[q]).bit_count() == min((marks[p] ^ marks[k]).bit_count() for k in earlier)
+    halves = [batch.slice(k, 70) for k in range(0, len(rows), 70)]
+    again = {tuple(r.values()) for made in near_texts.meet_nearest(iter(halves)) for r in made.to_pylist()}
+    assert {(b, p) for b, p, _ in again if b} == {(2, p) for p in range(500)} and sum(b is None for b, *_ in again) == 3
