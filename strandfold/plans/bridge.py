@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandfold.session import tasks_for_rows
+
 # The one-letter residue codes in alphabetical order and their three-letter names.
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 NAMES = (
@@ -99,12 +101,15 @@ def given_matches(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     left:  j = i + a mod 3, leaving out (i + a) mod 5 = 0;  right: j = i + b mod 3, (i + b) mod 4 = 0.
     """
     owner, step = (F.col("a"), 5) if side == "left" else (F.col("b"), 4)
+    # the ids are a few bytes a pair, so the rows they become are counted; each may be held some ten times by what follows
+    residues = table(spark, sf_dir, "embeddings").agg(F.sum(F.floor(F.size("embedding") / 3))).first()[0]
+    tasks = tasks_for_rows(spark, 10 * max(residues or 0, 0))
     base = pairs(spark, sf_dir).join(
         chains(spark, sf_dir).select(F.col("structure_id").alias("a"), "n"), "a"
     ).select(
         "pair_id", F.pmod(owner, F.lit(3)).cast("int").alias("shift"), owner.alias("owner"),
         F.expr("sequence(0, n - 1)").alias("span"), "n",
-    )
+    ).repartition(tasks, "pair_id")
     return base.select(
         "pair_id",
         F.posexplode(F.filter(
@@ -116,14 +121,14 @@ def given_matches(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 def match_sets(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     """Large unordered pair sets from ``lineitem``: (case_id, i, j), distinct."""
-    return (
-        table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == status)
-        .select(
-            F.col("l_suppkey").alias("case_id"),
-            F.pmod("l_partkey", F.lit(100)).cast("int").alias("i"),
-            F.col("l_quantity").cast("int").alias("j"),
-        ).distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    chosen = lines.filter(F.col("l_linestatus") == status).select(
+        F.col("l_suppkey").alias("case_id"),
+        F.pmod("l_partkey", F.lit(100)).cast("int").alias("i"),
+        F.col("l_quantity").cast("int").alias("j"),
     )
+    # rows of three small numbers compress well, so partitions follow their number; the same one for every status
+    return chosen.repartition(tasks_for_rows(spark, lines.count()), "case_id", "i", "j").distinct()
 
 
 def atom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
