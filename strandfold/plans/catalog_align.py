@@ -382,7 +382,9 @@ _WHOLE = ("whole AS (SELECT pid, ax, ay, az, bx, by_, bz FROM cells WHERE i = j)
 def alternatives_solved(spark, sf):
     """The best alternative per n gets its matches by solving the winning orientations once more; checked against its ssd."""
     chains, wanted, out = interval_alternatives(spark, sf)
-    solved = A.winners_solved(out.filter("rank = 1"), chains, wanted, 4)
+    # both the solver and the check read their rows more than once
+    winners = cut_lineage(out.filter("rank = 1"))
+    solved = cut_lineage(A.winners_solved(winners, chains, wanted, 4))
     return consistent(solved, chains, ["n"]).groupBy("pair_id").agg(
         F.count(F.lit(1)).alias("winners"), F.bool_and("good").alias("consistent"), F.min_by("ssd", -F.col("n")).alias("whole_ssd"))
 
