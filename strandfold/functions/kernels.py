@@ -210,23 +210,23 @@ class Layers:
         Counts and columns are those of the last call of ``advance``.
         """
         cells = np.full((len(depths), int(depths.max()) if len(depths) else 0), -1, dtype=np.int64)
+        flat, rows = cells.reshape(-1), np.arange(len(depths)) * cells.shape[1]
         left, end = depths.astype(np.int64) - 1, np.full(len(depths), self.rows * self.cols - 1)
         for start, moves, merged in reversed(self.runs):
             _, m, n, k = moves.shape
             codes = moves.reshape(-1)
             back = np.array([m * n * k + n * k + k, k, n * k])  # steps of the codes in the flat table
             at = ((left - start) * m * n + end) * k + columns
-            live = np.arange(len(depths))
-            while live.size:
+            place, first = rows + left, rows + start
+            while len(at):
                 code = codes[at]
-                paired = code == 0
-                rows = live[paired]
-                cells[rows, left[rows]] = at[paired]
-                left[rows] -= 1
-                at -= back[code]
-                more = left[live] >= start
+                flat[place] = at  # until a step finds the pair, the next one writes to the same place
+                place = place - (code == 0)
+                at = at - back[code]
+                more = place >= first
                 if not more.all():
-                    live, at = live[more], at[more]
+                    place, first, at = place[more], first[more], at[more]
+            left = np.full(len(depths), start - 1)
             here = cells[:, start : start + len(moves)]
             np.copyto(here, here // k % (m * n), where=here >= 0)
             # what is left of a path ends before the first pair found in these layers
@@ -330,8 +330,7 @@ def matched_moments(a: np.ndarray, b: np.ndarray, cells: np.ndarray):
         table[..., 3:6] = cb.sum(axis=1)[None]
         table[..., 6:15] = np.einsum("iqr,jqc->ijrc", ca, cb).reshape(m, n, 9)
         table[..., 15] = (ca * ca).sum(axis=(1, 2))[:, None] + (cb * cb).sum(axis=(1, 2))[None]
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        sums = np.add.reduceat(table.reshape(m * n, 16)[cells[used]], starts, axis=0)
+        sums = _sums_along(table.reshape(m * n, 16), cells, counts)
     else:  # a table would be larger than the matches of one solution
         sums = np.empty((len(cells), 16))
         for row, (line, there) in enumerate(zip(cells, used)):
@@ -344,6 +343,59 @@ def matched_moments(a: np.ndarray, b: np.ndarray, cells: np.ndarray):
     return cov, mid_a + mean_a, mid_b + mean_b, spread
 
 
+def matched_moments_among(a: list[np.ndarray], b: list[np.ndarray], owner: np.ndarray, cells: np.ndarray):
+    """:func:`matched_moments` of solutions of several pairs of equally long chains; ``owner`` numbers the pair of each.
+
+    The tables of as many pairs are made together as have room in one of the largest size.
+    """
+    several = LARGEST_TABLE // (len(a[0]) * len(b[0]))
+    outs, places = [], []
+    for start in range(0, len(a), max(several, 1)):
+        rows = np.flatnonzero((owner >= start) & (owner < start + max(several, 1)))
+        if not len(rows):
+            continue
+        places.append(rows)
+        if several < 2:
+            outs.append(matched_moments(a[start], b[start], cells[rows]))
+            continue
+        pa, pb = np.stack(a[start : start + several]), np.stack(b[start : start + several])
+        mean_a, mean_b = pa.mean(axis=(1, 2)), pb.mean(axis=(1, 2))
+        ca, cb = pa - mean_a[:, None, None], pb - mean_b[:, None, None]
+        count, m, atoms, _ = ca.shape
+        n = cb.shape[1]
+        table = np.empty((count, m, n, 16))
+        table[..., 0:3] = ca.sum(axis=2)[:, :, None]
+        table[..., 3:6] = cb.sum(axis=2)[:, None]
+        table[..., 6:15] = np.einsum("kiqr,kjqc->kijrc", ca, cb).reshape(count, m, n, 9)
+        table[..., 15] = (ca * ca).sum(axis=(2, 3))[:, :, None] + (cb * cb).sum(axis=(2, 3))[:, None]
+        outs.append(_moments_of_tables(table, owner[rows] - start, cells[rows], mean_a, mean_b, atoms))
+    order = np.argsort(np.concatenate(places), kind="stable")
+    return tuple(np.concatenate(parts)[order] for parts in zip(*outs))
+
+
+def _sums_along(table: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of table rows over the first ``counts`` cells of every solution, cell after cell for all solutions at once."""
+    order = np.argsort(counts, kind="stable")
+    cells, counts = cells[order], counts[order]
+    sums = table[cells[:, 0]]
+    for k in range(1, cells.shape[1]):
+        first = int(np.searchsorted(counts, k, side="right"))
+        sums[first:] += table[cells[first:, k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def _moments_of_tables(table, whose, cells, mean_a, mean_b, atoms):
+    counts = (cells >= 0).sum(axis=1)
+    sums = _sums_along(table.reshape(-1, 16), cells + (whose * (table.shape[1] * table.shape[2]))[:, None], counts)
+    size = (counts * atoms)[:, None].astype(float)
+    mid_a, mid_b = sums[:, 0:3] / size, sums[:, 3:6] / size
+    cov = sums[:, 6:15].reshape(-1, 3, 3) - sums[:, 0:3, None] * mid_b[:, None, :]
+    spread = sums[:, 15] - ((mid_a * mid_a + mid_b * mid_b) * size).sum(axis=1)
+    return cov, mid_a + mean_a[whose], mid_b + mean_b[whose], spread
+
+
 def longest_ordered_matching(allowed: np.ndarray) -> np.ndarray:
     """Most order-preserving pairs among the allowed cells (m,n,K) of each orientation."""
     m, n, k = allowed.shape

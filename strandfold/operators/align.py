@@ -8,6 +8,7 @@ to the best of the block unless all candidates are wanted.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -23,6 +24,7 @@ from strandfold.session import task_count
 MEMORY_BUDGET = 256 << 20  # bytes of working tables per kernel call
 
 AT_ONCE = 512  # orientations in one kernel call
+POOLED = 4096  # jobs that wait for others of their shape
 GROUP = 8  # layers between two looks at a limit on superimposed matches
 
 _LIGHT = "pair_id bigint, o_id bigint, n int, ssd double, rmsd double, m array<double>"
@@ -136,27 +138,90 @@ def _chunk(m: int, n: int, depth: int, atoms: int, memory: int = MEMORY_BUDGET,
     return max(least, memory // per_orientation)
 
 
-def _solutions(a, b, ids, mats, low: int, high: int, need: int, search: Search, best: dict | None):
-    """Solve some orientations; yields tuples of equally long arrays (o_id, n, ssd, rmsd, m, pos_a, pos_b).
+class _Job:
+    """The chains of one block or work unit, its orientations and its limits.  Jobs of one ``shape`` can share kernel calls.
+
+    ``only`` has, per orientation, the one match count that is wanted of it; without it all are.
+    """
+
+    def __init__(self, row: dict, a, b, ids, mats, limits: tuple, only=None):
+        self.pair_id, self.a, self.b, self.ids, self.mats, self.only = row.get("pair_id", 0), a, b, ids, mats, only
+        self.shape = (len(a), len(b), *limits)
+
+    def costs(self, mats: np.ndarray, max_dist: float | None, cost: Callable | None = None) -> np.ndarray:
+        placed = kernels.moved(self.b, mats)
+        return kernels.pair_costs(self.a, placed, max_dist) if cost is None else cost(self.a, placed)
+
+    def filtered(self, max_dist: float, need: int, step: int) -> None:
+        """Drop the orientations that cannot make ``need`` ordered matches within ``max_dist``."""
+        good = [np.zeros(0, dtype=bool)]
+        for start in range(0, len(self.ids), step):
+            near = np.isfinite(self.costs(self.mats[start : start + step], max_dist))
+            good.append(kernels.longest_ordered_matching(near) >= need)
+        good = np.concatenate(good)
+        self.ids, self.mats = self.ids[good], self.mats[good]
+
+
+def _pooled(jobs: Iterator[_Job], most: Callable[[_Job], int]) -> Iterator[list[_Job]]:
+    """Jobs of one shape together, until they have ``most`` orientations, which depends on their shape.
+
+    Chains that are short take less time than the calls for them, and there are few shapes of short chains.  Long chains
+    fill a call by themselves.
+    """
+    pools: dict[tuple, list[_Job]] = {}
+    sizes: Counter = Counter()
+    for job in jobs:
+        if not len(job.ids):
+            continue
+        pools.setdefault(job.shape, []).append(job)
+        sizes[job.shape] += len(job.ids)
+        if sizes[job.shape] >= most(job):
+            sizes.pop(job.shape)
+            yield pools.pop(job.shape)
+        elif sum(map(len, pools.values())) >= POOLED:
+            yield from pools.values()
+            pools, sizes = {}, Counter()
+    yield from pools.values()
+
+
+def _joined(jobs: list[_Job]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Orientation ids and matrices of all jobs, and whose each is."""
+    owner = np.repeat(np.arange(len(jobs)), [len(job.ids) for job in jobs])
+    return np.concatenate([job.ids for job in jobs]), np.concatenate([job.mats for job in jobs]), owner
+
+
+def _joined_costs(jobs: list[_Job], owner: np.ndarray, mats: np.ndarray, max_dist, cost=None) -> np.ndarray:
+    cuts = np.flatnonzero(np.diff(owner)) + 1
+    parts = [jobs[owner[p]].costs(mats[p:q], max_dist, cost) for p, q in zip([0, *cuts], [*cuts, len(owner)])]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts, axis=-1)
+
+
+def _joined_moments(jobs: list[_Job], owner: np.ndarray, cells: np.ndarray):
+    """``kernels.matched_moments`` of solutions of several jobs."""
+    if len(jobs) == 1:
+        return kernels.matched_moments(jobs[0].a, jobs[0].b, cells)
+    used, whose = np.unique(owner, return_inverse=True)
+    return kernels.matched_moments_among([jobs[k].a for k in used], [jobs[k].b for k in used], whose, cells)
+
+
+def _solutions(jobs: list[_Job], search: Search, best: tuple[np.ndarray, np.ndarray] | None):
+    """Solve jobs of one shape; yields tuples of equally long arrays (job, o_id, n, ssd, rmsd, m, pos_a, pos_b).
 
     An orientation is dropped between layers once it cannot contribute: no match set of that size within the distance, a
     limit passed (the first n over it ends an orientation), or, if solutions are scored as placed, no n left at which it
-    could still be among the best.  ``best`` maps n to the least (ssd, o_id) seen so far; then only better ones come out.
+    could still be among the best.  ``best`` has the least ssd, and its o_id, seen so far per job and n; then only better
+    ones come out.
     """
+    rows, cols, low, high, _ = jobs[0].shape
     atoms = search.atoms_per_residue
     limits = search.max_rmsd is not None
-    in_segments = _chunk(len(a), len(b), high, atoms, search.memory, least=0) == 0
-    step = 1 if in_segments else min(AT_ONCE, _chunk(len(a), len(b), high, atoms, search.memory))
+    only = None if jobs[0].only is None else np.concatenate([job.only for job in jobs])
+    in_segments = _chunk(rows, cols, high, atoms, search.memory, least=0) == 0
+    step = 1 if in_segments else min(AT_ONCE, _chunk(rows, cols, high, atoms, search.memory))
+    ids, mats, owners = _joined(jobs)
     for start in range(0, len(ids), step):
-        o_ids, t = ids[start : start + step], mats[start : start + step]
-        placed = kernels.moved(b, t)
-        if search.prefilter is not None:
-            near = np.isfinite(kernels.pair_costs(a, placed, search.prefilter[0]))
-            good = kernels.longest_ordered_matching(near) >= need
-            if not good.any():
-                continue
-            o_ids, t, placed = o_ids[good], t[good], placed[..., good]
-        cost = kernels.pair_costs(a, placed, search.max_dist) if search.cost is None else search.cost(a, placed)
+        o_ids, t, owner = ids[start : start + step], mats[start : start + step], owners[start : start + step]
+        cost = _joined_costs(jobs, owner, t, search.max_dist, search.cost)
         layers = kernels.LayersInSegments(cost, low, high) if in_segments else kernels.Layers(cost, low)
         while layers.depth < high and len(layers.columns):
             first = max(low, layers.depth + 1)
@@ -164,14 +229,19 @@ def _solutions(a, b, ids, mats, low: int, high: int, need: int, search: Search,
             count = high if in_segments or not limits else min(high, first + GROUP - 1)
             totals = layers.advance(count - layers.depth)[first - count - 1 :]
             alive = np.logical_and.accumulate(np.isfinite(totals), axis=0)
+            going = alive[-1].copy()
+            if only is not None:
+                wanted = only[start : start + step][layers.columns]
+                going &= wanted > count
+                if not limits:  # nothing but the counts that are wanted has to be traced
+                    alive &= wanted == np.arange(first, count + 1)[:, None]
             depth, column = np.nonzero(alive)
             depth = depth + first
-            going = alive[-1].copy()
             if len(depth):
-                ssd, traced = totals[depth - first, column], None
+                ssd, traced, whose = totals[depth - first, column], None, owner[layers.columns[column]]
                 if search.refine:
                     traced = layers.trace(depth, column)
-                    cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, traced)
+                    cov, mean_a, mean_b, spread = _joined_moments(jobs, whose, traced)
                     ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
                 rmsd = np.sqrt(ssd / (depth * atoms))
                 pick = np.arange(len(depth))
@@ -181,69 +251,90 @@ def _solutions(a, b, ids, mats, low: int, high: int, need: int, search: Search,
                     over = np.logical_or.accumulate(over, axis=0)
                     going &= ~over[-1]
                     pick = pick[~over[depth - first, column]]
+                    if only is not None:
+                        pick = pick[depth[pick] == wanted[column[pick]]]
                 names = o_ids[layers.columns[column]]
-                if best is not None:
-                    order = np.lexsort((names[pick], ssd[pick], depth[pick]))
-                    ranked = pick[order]
-                    ranked = ranked[np.concatenate([[True], np.diff(depth[ranked]) > 0])] if len(ranked) else ranked
-                    pick = np.array([
-                        k for k in ranked.tolist()
-                        if (ssd[k], names[k]) < best.get(int(depth[k]), (np.inf, 0))
-                    ], dtype=np.int64)
-                    best.update((int(depth[k]), (ssd[k], names[k])) for k in pick.tolist())
+                if best is not None and len(pick):
+                    ranked = pick[np.lexsort((names[pick], ssd[pick], depth[pick], whose[pick]))]
+                    slot = whose[ranked] * (high + 1) + depth[ranked]
+                    ranked = ranked[np.concatenate([[True], np.diff(slot) > 0])]
+                    at = whose[ranked], depth[ranked]
+                    least, lowest = best[0][at], best[1][at]
+                    pick = ranked[(ssd[ranked] < least) | ((ssd[ranked] == least) & (names[ranked] < lowest))]
+                    at = whose[pick], depth[pick]
+                    best[0][at], best[1][at] = ssd[pick], names[pick]
                 if len(pick):
                     if traced is None:
                         cells, fitted = layers.trace(depth[pick], column[pick]), t[layers.columns[column[pick]]]
                     else:
                         cells = traced[pick]
                         fitted = kernels.transforms_of(cov[pick], mean_a[pick], mean_b[pick])
-                    pos_a, pos_b = kernels.cell_positions(cells, len(b))
-                    yield names[pick], depth[pick], ssd[pick], rmsd[pick], fitted, pos_a, pos_b
+                    pos_a, pos_b = kernels.cell_positions(cells, cols)
+                    yield whose[pick], names[pick], depth[pick], ssd[pick], rmsd[pick], fitted, pos_a, pos_b
             if best is not None and not search.refine and count < high:
                 # n pairs cost at least n / d times what the best d of them do
                 later = np.arange(count + 1, high + 1)
-                ceiling = np.array([best.get(int(n), (np.inf, 0))[0] for n in later])
-                going &= (totals[-1][None] * (later / count)[:, None] <= ceiling[:, None]).any(axis=0)
+                ceiling = best[0][owner[layers.columns]][:, later].T
+                going &= (totals[-1][None] * (later / count)[:, None] <= ceiling).any(axis=0)
             layers.keep(going)
 
 
-def _block_solutions(row: dict, search: Search, orientations=None):
-    """Solutions of one block or work unit, of all its orientations or only the best per n."""
+def _job(row: dict, search: Search, orientations=None) -> _Job | None:
+    """A block or work unit as a job; None if no match count is possible."""
     a, b = _coordinates(row, search.atoms_per_residue)
     low, high = max(row["n_lo"], 2), min(row["n_hi"], len(a), len(b))
     if low > high:
-        return
-    if orientations is None:
-        ids, mats = row["o_ids"], row["ms"].reshape(-1, 12)
-    else:
-        ids, mats = orientations(row, a, b)
+        return None
+    made = (row["o_ids"], row["ms"].reshape(-1, 12)) if orientations is None else orientations(row, a, b)
+    job = _Job(row, a, b, *made, (low, high, row["n_need"]), row.get("only"))
+    if search.prefilter is not None:
+        step = min(AT_ONCE, _chunk(len(a), len(b), high, search.atoms_per_residue, search.memory))
+        job.filtered(search.prefilter[0], row["n_need"], step)
+    return job
+
+
+def _pool_solutions(jobs: list[_Job], search: Search):
+    """Solutions of jobs of one shape, of all their orientations or per job only the best per n."""
     if search.keep != "best":
-        yield from _solutions(a, b, ids, mats, low, high, row["n_need"], search, None)
+        yield from _solutions(jobs, search, None)
         return
-    found: dict[int, tuple] = {}
-    for parts in _solutions(a, b, ids, mats, low, high, row["n_need"], search, {}):
-        found.update((int(n), (parts, k)) for k, n in enumerate(parts[1]))
-    held: dict[int, list] = {}
-    for parts, k in found.values():
-        held.setdefault(id(parts), [parts, []])[1].append(k)
-    for parts, rows in held.values():
-        yield tuple(column[rows] for column in parts)
+    size = len(jobs), jobs[0].shape[3] + 1
+    held, last = [], np.full(size, -1)
+    for parts in _solutions(jobs, search, (np.full(size, np.inf), np.zeros(size, dtype=np.int64))):
+        last[parts[0], parts[2]] = len(held)
+        held.append(parts)
+    for number, parts in enumerate(held):
+        rows = last[parts[0], parts[2]] == number
+        if rows.any():
+            yield tuple(column[rows] for column in parts)
+
+
+def _block_solutions(row: dict, search: Search, orientations=None):
+    """Solutions of one block or work unit: tuples of arrays (o_id, n, ssd, rmsd, m, pos_a, pos_b)."""
+    job = _job(row, search, orientations)
+    if job is not None and len(job.ids):
+        for parts in _pool_solutions([job], search):
+            yield parts[1:]
 
 
 def _solver(search: Search, orientations=None):
+    def at_once(job: _Job) -> int:
+        return min(AT_ONCE, _chunk(*job.shape[:2], job.shape[3], search.atoms_per_residue, search.memory))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                for o_id, n, ssd, rmsd, m, pos_a, pos_b in _block_solutions(row, search, orientations):
-                    used = pos_a >= 0
-                    columns = [
-                        pa.array(np.full(len(n), row["pair_id"]), pa.int64()),
-                        pa.array(o_id, pa.int64()), pa.array(n, pa.int32()),
-                        pa.array(ssd, pa.float64()), pa.array(rmsd, pa.float64()), _lists(m, None, pa.float64()),
-                    ]
-                    if search.matches:
-                        columns += [_lists(pos_a, used, pa.int32()), _lists(pos_b, used, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, _NAMES[: len(columns)])
+        jobs = (_job(row, search, orientations) for batch in batches for row in _rows(batch))
+        for pool in _pooled((job for job in jobs if job is not None), at_once):
+            pair_ids = np.array([job.pair_id for job in pool], dtype=np.int64)
+            for whose, o_id, n, ssd, rmsd, m, pos_a, pos_b in _pool_solutions(pool, search):
+                used = pos_a >= 0
+                columns = [
+                    pa.array(pair_ids[whose], pa.int64()),
+                    pa.array(o_id, pa.int64()), pa.array(n, pa.int32()),
+                    pa.array(ssd, pa.float64()), pa.array(rmsd, pa.float64()), _lists(m, None, pa.float64()),
+                ]
+                if search.matches:
+                    columns += [_lists(pos_a, used, pa.int32()), _lists(pos_b, used, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, _NAMES[: len(columns)])
 
     return run
 
@@ -255,24 +346,27 @@ def zipped_matches() -> Column:
     ).alias("matches")
 
 
-def layered_align(blocks: DataFrame, search: Search = Search()) -> DataFrame:
+def layered_align(blocks: DataFrame, search: Search = Search(), zipped: bool = True) -> DataFrame:
     """For every orientation and n, the cheapest order-preserving set of exactly n pairs.
 
     Returns candidates (pair_id, o_id, n, ssd, rmsd, m, matches); with keep="best" one per block and
-    n.  n = 1 is never reported.
+    n.  n = 1 is never reported.  Without ``zipped`` the matches stay two lists, ia and jb.  Blocks may have a list
+    ``only``, the one match count wanted of each orientation.
     """
     n_most = F.least("na", "nb")
     need = match_count(search.prefilter[1], n_most) if search.prefilter else F.lit(0)
     prepared = _spread(blocks).withColumns({
         "n_lo": match_count(search.n_min, n_most), "n_hi": match_count(search.n_max, n_most), "n_need": need,
     })
-    return _solved(prepared, _solver(search), search)
+    return _solved(prepared, _solver(search), search, zipped)
 
 
-def _solved(prepared: DataFrame, solver, search: Search) -> DataFrame:
+def _solved(prepared: DataFrame, solver, search: Search, zipped: bool = True) -> DataFrame:
     if not search.matches:
         return prepared.mapInArrow(solver, _LIGHT)
     solved = prepared.mapInArrow(solver, _SOLUTION)
+    if not zipped:
+        return solved
     return solved.select("pair_id", "o_id", "n", "ssd", "rmsd", "m", zipped_matches())
 
 
@@ -438,58 +532,64 @@ def gap_align(
     max_dist: float | None = None,
     refine: bool = False,
     atoms_per_residue: int = 1,
+    zipped: bool = True,
 ) -> DataFrame:
     """One alignment per orientation: (pair_id, o_id, n, gap, cost, ssd, rmsd, m, matches).
 
     Exactly one of the four criteria is given: a fixed price ``gap`` per unmatched residue, the price
     with most matches among those with rmsd <= target_rmsd or n <= target_n, or as many matches
-    within ``max_dist`` as possible.
+    within ``max_dist`` as possible.  Without ``zipped`` the matches stay two lists, ia and jb.
     """
     if sum(v is not None for v in (gap, target_rmsd, target_n, max_dist)) != 1:
         raise ValueError("give exactly one of gap, target_rmsd, target_n, max_dist")
     if gap is not None and gap <= 0:
         raise ValueError("the price of an unmatched residue must be positive")
 
+    def at_once(job: _Job) -> int:
+        return _chunk(*job.shape[:2], 24, atoms_per_residue)
+
+    def job_of(row: dict) -> _Job:
+        a, b = _coordinates(row, atoms_per_residue)
+        return _Job(row, a, b, row["o_ids"], row["ms"].reshape(-1, 12), (row["n_target"],))
+
     def run(batches):
-        for batch in batches:
-            for row in _rows(batch):
-                a, b = _coordinates(row, atoms_per_residue)
-                mats = row["ms"].reshape(-1, 12)
-                step = _chunk(len(a), len(b), 24, atoms_per_residue)
-                for start in range(0, len(mats), step):
-                    t, ids = mats[start : start + step], row["o_ids"][start : start + step]
-                    cost = kernels.pair_costs(a, kernels.moved(b, t), max_dist)
-                    k = len(ids)
-                    if target_rmsd is not None or target_n is not None:
-                        wanted = None if target_n is None else row["n_target"]
-                        got = _at_breakpoint(cost, atoms_per_residue, target_rmsd, wanted)
-                        n, price, total, ssd, pos_a, pos_b = (got[v] for v in ("n", "gap", "total", "ssd", "a", "b"))
-                    else:
-                        most = min(len(a), len(b))
-                        fixed = gap if gap is not None else 0.5 * max_dist**2 * most * atoms_per_residue
-                        price = np.full(k, fixed)
-                        total, pos_a, pos_b, n, ssd = _at_gap(cost, price)
-                    keep = np.nonzero(n > 0)[0]
-                    if not len(keep):
-                        continue
-                    pos_a, pos_b, n, ssd, m = pos_a[keep], pos_b[keep], n[keep], ssd[keep], t[keep]
-                    if refine:
-                        cells = np.where(pos_a < 0, -1, pos_a.astype(np.int64) * len(b) + pos_b)
-                        cov, mean_a, mean_b, spread = kernels.matched_moments(a, b, cells)
-                        ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
-                        m = kernels.transforms_of(cov, mean_a, mean_b)
-                    used = pos_a >= 0
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(keep), row["pair_id"]), pa.int64()),
-                            pa.array(ids[keep], pa.int64()), pa.array(n, pa.int32()),
-                            pa.array(price[keep]), pa.array(total[keep]), pa.array(ssd),
-                            pa.array(np.sqrt(ssd / (n * atoms_per_residue))),
-                            _lists(m, None, pa.float64()),
-                            _lists(pos_a, used, pa.int32()), _lists(pos_b, used, pa.int32()),
-                        ],
-                        ["pair_id", "o_id", "n", "gap", "cost", "ssd", "rmsd", "m", "ia", "jb"],
-                    )
+        jobs = (job_of(row) for batch in batches for row in _rows(batch))
+        for pool in _pooled(jobs, lambda job: min(AT_ONCE, at_once(job))):
+            rows, cols, wanted = pool[0].shape
+            pair_ids = np.array([job.pair_id for job in pool], dtype=np.int64)
+            all_ids, mats, owners = _joined(pool)
+            step = at_once(pool[0])
+            for start in range(0, len(mats), step):
+                t, ids, owner = mats[start : start + step], all_ids[start : start + step], owners[start : start + step]
+                cost = _joined_costs(pool, owner, t, max_dist)
+                if target_rmsd is not None or target_n is not None:
+                    got = _at_breakpoint(cost, atoms_per_residue, target_rmsd, None if target_n is None else wanted)
+                    n, price, total, ssd, pos_a, pos_b = (got[v] for v in ("n", "gap", "total", "ssd", "a", "b"))
+                else:
+                    fixed = gap if gap is not None else 0.5 * max_dist**2 * min(rows, cols) * atoms_per_residue
+                    price = np.full(len(ids), fixed)
+                    total, pos_a, pos_b, n, ssd = _at_gap(cost, price)
+                keep = np.nonzero(n > 0)[0]
+                if not len(keep):
+                    continue
+                pos_a, pos_b, n, ssd, m, whose = pos_a[keep], pos_b[keep], n[keep], ssd[keep], t[keep], owner[keep]
+                if refine:
+                    cells = np.where(pos_a < 0, -1, pos_a.astype(np.int64) * cols + pos_b)
+                    cov, mean_a, mean_b, spread = _joined_moments(pool, whose, cells)
+                    ssd = np.maximum(spread - 2 * kernels.best_overlap(cov), 0.0)
+                    m = kernels.transforms_of(cov, mean_a, mean_b)
+                used = pos_a >= 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(pair_ids[whose], pa.int64()),
+                        pa.array(ids[keep], pa.int64()), pa.array(n, pa.int32()),
+                        pa.array(price[keep]), pa.array(total[keep]), pa.array(ssd),
+                        pa.array(np.sqrt(ssd / (n * atoms_per_residue))),
+                        _lists(m, None, pa.float64()),
+                        _lists(pos_a, used, pa.int32()), _lists(pos_b, used, pa.int32()),
+                    ],
+                    ["pair_id", "o_id", "n", "gap", "cost", "ssd", "rmsd", "m", "ia", "jb"],
+                )
 
     target = match_count(target_n, F.least("na", "nb")) if target_n is not None else F.lit(0)
     solved = _spread(blocks).withColumn("n_target", target).mapInArrow(
@@ -497,6 +597,8 @@ def gap_align(
         "pair_id bigint, o_id bigint, n int, gap double, cost double, ssd double, rmsd double, "
         "m array<double>, ia array<int>, jb array<int>",
     )
+    if not zipped:
+        return solved
     return solved.select(
         "pair_id", "o_id", "n", "gap", "cost", "ssd", "rmsd", "m", zipped_matches()
     )

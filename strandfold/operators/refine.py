@@ -7,24 +7,49 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.operators.align import Search, best_single_answer, gap_align, layered_align, orientation_blocks
-from strandfold.operators.orient import BLOCK
-from strandfold.operators.superpose import match_moments, matched_points
 from strandfold.functions import geometry as G
+from strandfold.operators.align import Search, best_single_answer, gap_align, layered_align, zipped_matches
+from strandfold.operators.orient import BLOCK
 from strandfold.operators.solutions import best_per_n
+from strandfold.operators.superpose import listed_points, match_moments
 from strandfold.session import cut_lineage
 
 # An update must beat the stored ssd by more than rounding, or rounds could alternate for ever.
 LEAST_GAIN = 1e-9
 
+SOLVED = ("ssd", "rmsd", "m", "ia", "jb")
+
+
+def _packed(solutions: DataFrame) -> DataFrame:
+    """Solutions with their matches as two lists, which take a quarter of the bytes, and all marked as changed."""
+    out = solutions.withColumns({"ia": F.col("matches.i"), "jb": F.col("matches.j"), "changed": F.lit(True)})
+    return cut_lineage(out.drop("matches"))
+
 
-def _own_fits(solutions: DataFrame, paired: DataFrame, keys: list[str], atoms: int) -> DataFrame:
-    """The transform that superimposes every solution on its own matches."""
-    rows = solutions.select(
-        "pair_id", *keys, F.posexplode("matches").alias("k", "p")
-    ).select("pair_id", *keys, "k", "p.i", "p.j")
-    points = matched_points(rows, paired, atoms)
-    return match_moments(points, ["pair_id", *keys]).select("pair_id", *keys, G.fitted_transform().alias("m"))
+def _unpacked(solutions: DataFrame, columns: list[str]) -> DataFrame:
+    return solutions.select(*[zipped_matches() if c == "matches" else F.col(c) for c in columns])
+
+
+def _own_blocks(
+    seeds: DataFrame, paired: DataFrame, atoms: int, block: int = BLOCK, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Blocks of the transforms that superimpose seeds (pair_id, o_id, ia, jb) on their own matches.
+
+    Seeds meet the chains of their pair by pair_id, and so do the blocks made of them: of those a pair has few.
+    """
+    keys = ["o_id", *extra]
+    sets = seeds.select("pair_id", *keys, F.col("ia").alias("i"), F.col("jb").alias("j"))
+    points = listed_points(sets.withColumn("matches", F.arrays_zip("i", "j")), paired, keys, atoms)
+    fits = match_moments(points, ["pair_id", *keys]).select("pair_id", *keys, G.fitted_transform().alias("m"))
+    grouped = fits.withColumn("block", F.floor(F.col("o_id") / block)).groupBy("pair_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct("o_id", "m", *extra))).alias("os")
+    )
+    # lengths from the chains themselves, so that both joins read the same columns and share one exchange of the chains
+    lengths = [(F.size(f"{s}x") / atoms).cast("int").alias(f"n{s}") for s in "ab"]
+    return grouped.join(paired, "pair_id").select(
+        "pair_id", "block", *lengths, F.col("os.o_id").alias("o_ids"), F.flatten("os.m").alias("ms"),
+        *[F.col(f"os.{c}").alias(c) for c in extra], *[s + v for s in "ab" for v in "xyz"],
+    )
 
 
 def refine(
@@ -36,32 +61,29 @@ def refine(
     uses their superpositions as orientations and updates every n that improves.  It ends when no
     solution improves; each round starts from reliable storage, so lost executors cost one round.
     """
-    current = cut_lineage(solutions.withColumn("changed", F.lit(True)))
+    current = _packed(solutions)
     columns = solutions.columns
     best = replace(search, keep="best", prefilter=None)
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        seeds = current.filter("changed").drop("m")
-        fits = _own_fits(seeds, paired, ["n"], search.atoms_per_residue)
-        oriented = fits.select("pair_id", F.col("n").cast("long").alias("o_id"), "m")
-        # orientation ids are match counts here, so the chain lengths bound the blocks
-        last = F.floor(F.least("na", "nb") / BLOCK)
-        found = best_per_n(layered_align(orientation_blocks(oriented, paired, last), best))
-        new = found.select("pair_id", "n", *[F.col(c).alias(f"_{c}") for c in ("o_id", "ssd", "rmsd", "m", "matches")])
+        seeds = current.filter("changed").select("pair_id", F.col("n").cast("long").alias("o_id"), "ia", "jb")
+        blocks = _own_blocks(seeds, paired, search.atoms_per_residue)
+        found = best_per_n(layered_align(blocks, best, zipped=False))
+        new = found.select("pair_id", "n", *[F.col(c).alias(f"_{c}") for c in ("o_id", *SOLVED)])
         joined = current.join(new, ["pair_id", "n"], "full_outer")
         gain = F.col("ssd").isNull() | (F.col("_ssd") < F.col("ssd") * (1 - LEAST_GAIN))
         better = F.col("_ssd").isNotNull() & gain
         # the orientation id of an improved solution stays that of the search it descends from
         updated = joined.select(
             "pair_id", "n", F.coalesce("o_id", "_o_id").alias("o_id"),
-            *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("ssd", "rmsd", "m", "matches")],
+            *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in SOLVED],
             better.alias("changed"),
         )
         current = cut_lineage(updated)
         if current.filter("changed").isEmpty():
             break
-    return current.select(*columns)
+    return _unpacked(current, columns)
 
 
 def refine_ranks(
@@ -74,31 +96,30 @@ def refine_ranks(
     top = refine(
         solutions.filter("rank = 1").drop("rank"), paired, search, max_rounds
     ).withColumn("rank", F.lit(1))
-    others = cut_lineage(solutions.filter("rank > 1").withColumn("changed", F.lit(True)))
+    others = _packed(solutions.filter("rank > 1"))
     every = replace(search, keep="all", prefilter=None)
-    ranks = others.agg(F.max("rank")).first()[0] or 1
     rounds = 0
     while not others.filter("changed").isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        fits = _own_fits(others.filter("changed").drop("m"), paired, ["rank", "n"], search.atoms_per_residue)
         width = 1 << 20  # rank and n packed into one orientation id
-        oriented = fits.select(
-            "pair_id", (F.col("n").cast("long") + F.col("rank").cast("long") * width).alias("o_id"), "m"
+        seeds = others.filter("changed").select(
+            "pair_id", (F.col("n").cast("long") + F.col("rank").cast("long") * width).alias("o_id"), "ia", "jb",
+            F.col("n").alias("only"),
         )
-        # one block per rank
-        own = layered_align(orientation_blocks(oriented, paired, F.lit(ranks), block=width), every)
-        own = own.filter(F.col("n") == F.col("o_id") % width).select(
+        # one block per rank; of an orientation only its own n is traced
+        blocks = _own_blocks(seeds, paired, search.atoms_per_residue, width, ("only",))
+        own = layered_align(blocks, every, zipped=False).select(
             "pair_id", "n", F.floor(F.col("o_id") / width).cast("int").alias("rank"),
-            *[F.col(c).alias(f"_{c}") for c in ("ssd", "rmsd", "m", "matches")],
+            *[F.col(c).alias(f"_{c}") for c in SOLVED],
         )
         joined = others.join(own, ["pair_id", "rank", "n"], "left")
         better = F.col("_ssd").isNotNull() & (F.col("_ssd") < F.col("ssd") * (1 - LEAST_GAIN))
         others = cut_lineage(joined.select(
             "pair_id", "n", "rank", "o_id",
-            *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("ssd", "rmsd", "m", "matches")],
+            *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in SOLVED],
             F.coalesce(better, F.lit(False)).alias("changed"),
         ))
-    return top.select(*solutions.columns).unionByName(others.select(*solutions.columns))
+    return top.select(*solutions.columns).unionByName(_unpacked(others, solutions.columns))
 
 
 def refine_single(
@@ -106,16 +127,16 @@ def refine_single(
 ) -> DataFrame:
     """Refine one answer per pair: superimpose, align again at the same criterion, keep if better."""
     columns = answers.columns
-    current = cut_lineage(answers.withColumn("changed", F.lit(True)))
+    current = _packed(answers)
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        seeds = current.filter("changed").drop("m")
-        fits = _own_fits(seeds, paired, ["o_id"], atoms_per_residue).withColumn("o_id", F.lit(0).cast("long"))
+        seeds = current.filter("changed").select("pair_id", F.lit(0).cast("long").alias("o_id"), "ia", "jb")
         found = best_single_answer(gap_align(
-            orientation_blocks(fits, paired, F.lit(0)), refine=True, atoms_per_residue=atoms_per_residue, **criterion
+            _own_blocks(seeds, paired, atoms_per_residue), refine=True, atoms_per_residue=atoms_per_residue,
+            zipped=False, **criterion
         ))
-        fields = [c for c in columns if c not in ("pair_id", "o_id")]
+        fields = [c for c in current.columns if c not in ("pair_id", "o_id", "changed")]
         new = found.select("pair_id", *[F.col(c).alias(f"_{c}") for c in fields])
         joined = current.join(new, "pair_id", "left")
         better = F.coalesce(
@@ -129,4 +150,4 @@ def refine_single(
         ))
         if current.filter("changed").isEmpty():
             break
-    return current.select(*columns)
+    return _unpacked(current, columns)

@@ -42,6 +42,22 @@ def matched_points(matches: DataFrame, paired: DataFrame, atoms_per_residue: int
     )
 
 
+def listed_points(solutions: DataFrame, paired: DataFrame, keys: list[str], atoms_per_residue: int = 1) -> DataFrame:
+    """Coordinates of both residues of every match of solutions (pair_id, *keys, matches), one row per match and atom.
+
+    The matches of a solution are a list already, so nothing but the solution is exchanged, and the sums of a solution are
+    made where it meets its chains.
+    """
+    listed = solutions.select("pair_id", *keys, "matches").join(paired, "pair_id")
+    rows = listed.select("pair_id", *keys, F.explode("matches").alias("p"), *[s + v for s in "ab" for v in "xyz"])
+    q = F.lit(0)
+    if atoms_per_residue > 1:
+        rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(atoms_per_residue - 1))))
+        q = F.col("q")
+    at = {s: F.col(f"p.{v}") * atoms_per_residue + q for s, v in (("a", "i"), ("b", "j"))}
+    return rows.select("pair_id", *keys, *[F.col(s + v)[at[s]].alias(s + v) for s in "ab" for v in "xyz"])
+
+
 def match_moments(points: DataFrame, keys: list[str]) -> DataFrame:
     """The sums a superposition needs, one partial + final aggregation."""
     return points.groupBy(*keys).agg(*G.moment_sums(side("a"), side("b")))
