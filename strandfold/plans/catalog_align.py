@@ -366,8 +366,7 @@ def consistent(solutions, chains, keys):
     steps = F.zip_with(
         F.slice("matches", 1, F.size("matches") - 1), F.slice("matches", 2, F.size("matches")),
         lambda p, q: (p["i"] < q["i"]) & (p["j"] < q["j"]))
-    rows = solutions.select("pair_id", *keys, F.posexplode("matches").alias("k", "p")).select("pair_id", *keys, "k", "p.i", "p.j")
-    fits = S.superpose(S.matched_points(rows, chains), ["pair_id", *keys]).select("pair_id", *keys, F.col("ssd").alias("_ssd"))
+    fits = S.superpose(S.listed_points(solutions, chains, keys), ["pair_id", *keys]).select("pair_id", *keys, F.col("ssd").alias("_ssd"))
     good = (F.size("matches") == F.col("n")) & F.forall(steps, lambda v: v)
     close = F.abs(F.col("ssd") - F.col("_ssd")) <= 1e-6 * (1 + F.col("ssd"))
     return solutions.join(fits, ["pair_id", *keys], "left").withColumn("good", good & F.coalesce(close, F.lit(False)))
