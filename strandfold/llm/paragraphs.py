@@ -3,6 +3,10 @@
 Equal paragraphs (after lower-casing A-Z and collapsing white space) are one from the start; banding, verification and
 clustering work on distinct paragraphs.  A band of ``ROWS`` MinHash values agrees with probability s ** ROWS at similarity
 s; with ``BANDS`` of them a pair at 0.8 is missed with probability (1 - 0.8 ** 3) ** 9 = 0.0016, and one at 0.9 with 8e-6.
+
+Passages that repeat inside larger paragraphs, or across line ends, leave the paragraphs unlike.  Every ``PASSAGE`` consecutive
+words of a text are therefore a passage of their own, known by its MinHash value: the least hash of its shingles of ``GRAM``
+words.  Equal passages have equal values, and passages of equal value share ``GRAM`` words.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandfold.llm.common import components, materialise, register, release, table
+from strandfold.llm.suffixes import least_in_windows
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -25,6 +30,8 @@ ROWS = 3
 BANDS = 9
 LEAST_WORDS = 1
 PARITY_WORDS = 4
+PASSAGE = 51
+GRAM = 32
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -60,7 +67,14 @@ def whole(text: str | None, least_words: int = 1) -> list[tuple[int, list[bytes]
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Hashes of the runs of ``size`` words; fewer words are one run."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    return runs_of(word_hashes(words), size)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+
+
+def runs_of(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     size = min(size, len(h))
     out = np.zeros(len(h) - size + 1, dtype=np.uint64)
     for k in range(size):
@@ -68,6 +82,13 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return mixed(out)
 
 
+def passage_values(h: np.ndarray) -> np.ndarray:
+    """MinHash values of the passages of a text with the word hashes ``h``; fewer words are one passage."""
+    if len(h) < PASSAGE:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], dtype=np.uint64)
+    return np.unique(least_in_windows(runs_of(h, GRAM), PASSAGE - GRAM + 1))
+
+
 def paragraph_id(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
@@ -96,25 +117,39 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-def occurrences(docs: DataFrame, least_words: int, parts=paragraphs, bands: int = BANDS, keys=band_keys) -> DataFrame:
+def occurrences(
+    docs: DataFrame, least_words: int, parts=paragraphs, bands: int = BANDS, keys=band_keys, passages: bool = False
+) -> DataFrame:
     """(_doc, _key, line, words, pid, b0 ..): every paragraph of every text, with its band keys.
 
     ``parts`` cuts a text into paragraphs; with ``whole`` the texts themselves are compared.  ``keys`` makes ``bands``
-    numbers of the shingles of each paragraph.
+    numbers of the shingles of each paragraph.  ``passages`` adds total, the words of all paragraphs of the text, and
+    passages, on the row of its first paragraph the values of the passages of these words.
     """
     ddl = "_doc long, _key long, line int, words int, pid long, " + ", ".join(f"b{k} long" for k in range(bands))
+    ddl += ", total int, passages array<long>" if passages else ""
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            facts, runs = [], []
+            facts, runs, totals, values = [], [], [], []
             for doc, key, text in zip(*[c.to_pylist() for c in batch.columns]):
+                hashes = []
                 for line, words in parts(text, least_words):
                     facts.append((doc, key, line, len(words), paragraph_id(words)))
-                    runs.append(shingles(words))
+                    hashes.append(word_hashes(words))
+                runs += [runs_of(h) for h in hashes]
+                if passages and hashes:
+                    every = np.concatenate(hashes)
+                    totals += [len(every)] * len(hashes)
+                    values += [passage_values(every), *[every[:0]] * (len(hashes) - 1)]
             if facts:
-                columns = [*map(list, zip(*facts)), *keys(runs, bands).T]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+                columns = [pa.array(c, t) for c, t in zip([*map(list, zip(*facts)), *keys(runs, bands).T], schema.types)]
+                if passages:
+                    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
+                    columns += [pa.array(totals, pa.int32()), lists.cast(schema.types[-1])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select("_doc", "_key", "text").mapInArrow(run, ddl)
 
@@ -238,31 +273,59 @@ def links(
 
 
 def near_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(_doc, _key, line, words, cluster, copies, first_doc, removed) of paragraphs that have near copies.
+    """(_doc, _key, line, words, total, cluster, copies, first_doc, removed) of paragraphs that have near copies.
 
     A cluster is a component of links; its first occurrence by (doc_id, text hash, line) stays and the others are removed.
     Rows with equal id and text count as one document.  Paragraphs of fewer than ``least_words`` words are left alone, and so
-    are null and empty texts; null ids come first.
+    are null and empty texts; null ids come first.  total counts the words of all paragraphs of the document.  The table of
+    all paragraphs stays as ``occurrences`` of the result.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.xxhash64("text").alias("_key"))
-    found = materialise(occurrences(keyed, least_words), "paragraphs")
+    found = materialise(occurrences(keyed, least_words, passages=True), "paragraphs")
     linked = links(keyed, found, least_words)
     part = components(linked).withColumnsRenamed({"node": "pid", "component": "cluster"})
     release(linked)
-    placed = found.select("_doc", "_key", "line", "words", "pid").distinct().join(part, "pid", "left")
+    placed = found.select("_doc", "_key", "line", "words", "total", "pid").distinct().join(part, "pid", "left")
     placed = placed.withColumn("cluster", F.coalesce("cluster", "pid")).drop("pid")
     sizes = placed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("_doc", "_key", "line")).alias("kept")).filter("copies > 1")
     joined = placed.join(sizes, "cluster")
     stays = F.struct("_doc", "_key", "line").eqNullSafe(F.col("kept"))
-    return joined.select(
-        "_doc", "_key", "line", "words", "cluster", "copies", F.col("kept")["_doc"].alias("first_doc"), (~stays).alias("removed"))
+    out = joined.select(
+        "_doc", "_key", "line", "words", "total", "cluster", "copies", F.col("kept")["_doc"].alias("first_doc"),
+        (~stays).alias("removed"))
+    out.occurrences = found
+    return out
+
+
+def classes(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(node, n_passages, class_id) of the documents that share a passage with another one; node is the hash of _doc and _key.
+
+    ``found`` are the paragraphs with their passages, ``repeated`` those with near copies.  Passages are those of
+    ``occurrences`` and the near-repeated paragraphs of ``PASSAGE`` words, or of nearly all words of their document; other
+    short lines put no documents together.  A class is a component of documents that share passages, class_id its smallest
+    doc_id, and n_passages counts the passages of the document that others hold, too.
+    """
+    node = F.xxhash64("_doc", "_key").alias("node")
+    lines = repeated.filter((F.col("words") >= PASSAGE) | (F.col("words") >= SIMILAR * F.col("total")))
+    held = found.select(node, F.explode("passages").alias("passage")).unionByName(
+        lines.select(node, F.xxhash64(F.lit("line"), "cluster").alias("passage")))
+    several = held.groupBy("passage").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
+    shared = held.join(several.select("passage", "hub"), "passage").distinct()
+    shared = materialise(shared, "shared-passages")
+    part = components(shared, "node", "hub")
+    least = part.join(found.select(node, "_doc").distinct(), "node").groupBy("component").agg(F.min("_doc").alias("class_id"))
+    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n_passages"))
+    out = materialise(counts.join(part, "node").join(least, "component").drop("component"), "classes")
+    release(shared)
+    return out
 
 
-def by_document(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc_id, n_shared, n_removed, words_removed, removed_lines, clusters, component_id) per row of ``docs``.
+def by_document(docs: DataFrame, repeated: DataFrame, classed: DataFrame) -> DataFrame:
+    """(doc_id, n_shared, n_removed, words_removed, removed_lines, clusters, component_id, first_doc_id, n_passages) per row.
 
-    component_id is the smallest doc_id among the documents that hold copies of this one's paragraphs.
+    component_id is the smallest doc_id of the document's class (``classes``), or its own id.  first_doc_id is the smallest one
+    among the documents that hold copies of its paragraphs, short lines included.
     """
     gone = F.when(F.col("removed"), F.col("line"))
     per = repeated.groupBy("_doc", "_key").agg(
@@ -272,13 +335,16 @@ def by_document(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         F.min("first_doc").alias("least"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("_k"))
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
-    out = rows.join(per, own, "left")
+    out = rows.join(per, own, "left").withColumn("node", F.xxhash64(F.col("doc_id").cast("long"), "_k"))
+    out = out.join(classed, "node", "left")
     none = F.array().cast("array<int>")
     return out.select(
         "doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_shared", "n_removed", "words_removed")],
         F.coalesce("removed_lines", none).alias("removed_lines"),
         F.coalesce("clusters", F.array().cast("array<bigint>")).alias("clusters"),
-        F.coalesce("least", F.col("doc_id").cast("long")).alias("component_id"))
+        F.coalesce("class_id", F.col("doc_id").cast("long")).alias("component_id"),
+        F.coalesce("least", F.col("doc_id").cast("long")).alias("first_doc_id"),
+        F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
 
 
 def without_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -293,6 +359,10 @@ def without_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 @register("op2_paragraph_minhash")
 def op2(spark, sf_dir):
-    """Near-repeated paragraphs of every document and the class of documents that it shares them with."""
+    """Near-repeated paragraphs of every document and the class of documents that it shares passages with."""
     docs = table(spark, sf_dir, "documents")
-    return by_document(docs, near_repeats(docs))
+    found = near_repeats(docs)
+    repeated = materialise(found, "repeated-paragraphs")
+    classed = classes(found.occurrences, repeated)
+    release(found.occurrences)
+    return by_document(docs, repeated, classed)
