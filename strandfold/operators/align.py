@@ -141,12 +141,13 @@ def _chunk(m: int, n: int, depth: int, atoms: int, memory: int = MEMORY_BUDGET,
 class _Job:
     """The chains of one block or work unit, its orientations and its limits.  Jobs of one ``shape`` can share kernel calls.
 
-    ``only`` has, per orientation, the one match count that is wanted of it; without it all are.
+    ``only`` has, per orientation, the one match count that is wanted of it; without it all are.  ``bounds`` are match counts
+    and the ssd that solutions of them must be under.
     """
 
-    def __init__(self, row: dict, a, b, ids, mats, limits: tuple, only=None):
+    def __init__(self, row: dict, a, b, ids, mats, limits: tuple, only=None, bounds=None):
         self.pair_id, self.a, self.b, self.ids, self.mats, self.only = row.get("pair_id", 0), a, b, ids, mats, only
-        self.shape = (len(a), len(b), *limits)
+        self.shape, self.bounds = (len(a), len(b), *limits), bounds
 
     def costs(self, mats: np.ndarray, max_dist: float | None, cost: Callable | None = None) -> np.ndarray:
         placed = kernels.moved(self.b, mats)
@@ -286,7 +287,8 @@ def _job(row: dict, search: Search, orientations=None) -> _Job | None:
     if low > high:
         return None
     made = (row["o_ids"], row["ms"].reshape(-1, 12)) if orientations is None else orientations(row, a, b)
-    job = _Job(row, a, b, *made, (low, high, row["n_need"]), row.get("only"))
+    bounds = (row["bound_ns"], row["bounds"]) if row.get("bounds") is not None else None
+    job = _Job(row, a, b, *made, (low, high, row["n_need"]), row.get("only"), bounds)
     if search.prefilter is not None:
         step = min(AT_ONCE, _chunk(len(a), len(b), high, search.atoms_per_residue, search.memory))
         job.filtered(search.prefilter[0], row["n_need"], step)
@@ -300,7 +302,12 @@ def _pool_solutions(jobs: list[_Job], search: Search):
         return
     size = len(jobs), jobs[0].shape[3] + 1
     held, last = [], np.full(size, -1)
-    for parts in _solutions(jobs, search, (np.full(size, np.inf), np.zeros(size, dtype=np.int64))):
+    least, lowest = np.full(size, np.inf), np.zeros(size, dtype=np.int64)
+    for number, job in enumerate(jobs):
+        if job.bounds is not None:
+            inside = job.bounds[0] < size[1]
+            least[number, job.bounds[0][inside]], lowest[number] = job.bounds[1][inside], -1
+    for parts in _solutions(jobs, search, (least, lowest)):
         last[parts[0], parts[2]] = len(held)
         held.append(parts)
     for number, parts in enumerate(held):
@@ -351,7 +358,8 @@ def layered_align(blocks: DataFrame, search: Search = Search(), zipped: bool = T
 
     Returns candidates (pair_id, o_id, n, ssd, rmsd, m, matches); with keep="best" one per block and
     n.  n = 1 is never reported.  Without ``zipped`` the matches stay two lists, ia and jb.  Blocks may have a list
-    ``only``, the one match count wanted of each orientation.
+    ``only``, the one match count wanted of each orientation, and with keep="best" lists ``bound_ns`` and ``bounds``:
+    of these match counts, only candidates with an ssd under the bound come out.
     """
     n_most = F.least("na", "nb")
     need = match_count(search.prefilter[1], n_most) if search.prefilter else F.lit(0)

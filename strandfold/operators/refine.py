@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from strandfold.operators.align import Search, best_single_answer, gap_align, la
 from strandfold.operators.orient import BLOCK
 from strandfold.operators.solutions import best_per_n
 from strandfold.operators.superpose import listed_points, match_moments
-from strandfold.session import cut_lineage
+from strandfold.session import cut_lineage, materialise, release
 
 # An update must beat the stored ssd by more than rounding, or rounds could alternate for ever.
 LEAST_GAIN = 1e-9
@@ -20,10 +21,14 @@ LEAST_GAIN = 1e-9
 SOLVED = ("ssd", "rmsd", "m", "ia", "jb")
 
 
+def _listed(solutions: DataFrame) -> DataFrame:
+    """Solutions with their matches as two lists, which take a quarter of the bytes."""
+    return solutions.withColumns({"ia": F.col("matches.i"), "jb": F.col("matches.j")}).drop("matches")
+
+
 def _packed(solutions: DataFrame) -> DataFrame:
-    """Solutions with their matches as two lists, which take a quarter of the bytes, and all marked as changed."""
-    out = solutions.withColumns({"ia": F.col("matches.i"), "jb": F.col("matches.j"), "changed": F.lit(True)})
-    return cut_lineage(out.drop("matches"))
+    """Listed solutions, all marked as changed."""
+    return cut_lineage(_listed(solutions).withColumn("changed", F.lit(True)))
 
 
 def _unpacked(solutions: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,11 +36,13 @@ def _unpacked(solutions: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _own_blocks(
-    seeds: DataFrame, paired: DataFrame, atoms: int, block: int = BLOCK, extra: tuple[str, ...] = ()
+    seeds: DataFrame, paired: DataFrame, atoms: int, block: int = BLOCK, extra: tuple[str, ...] = (),
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Blocks of the transforms that superimpose seeds (pair_id, o_id, ia, jb) on their own matches.
 
-    Seeds meet the chains of their pair by pair_id, and so do the blocks made of them: of those a pair has few.
+    Seeds meet the chains of their pair by pair_id, and so do the blocks made of them: of those a pair has few.  The lists of
+    ``bounds`` (pair_id, bound_ns, bounds) go with the blocks of their pair.
     """
     keys = ["o_id", *extra]
     sets = seeds.select("pair_id", *keys, F.col("ia").alias("i"), F.col("jb").alias("j"))
@@ -44,14 +51,33 @@ def _own_blocks(
     grouped = fits.withColumn("block", F.floor(F.col("o_id") / block)).groupBy("pair_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("o_id", "m", *extra))).alias("os")
     )
+    lists = []
+    if bounds is not None:  # beside the chains, which both joins read alike
+        grouped, lists = grouped.join(bounds, "pair_id"), ["bound_ns", "bounds"]
     # lengths from the chains themselves, so that both joins read the same columns and share one exchange of the chains
     lengths = [(F.size(f"{s}x") / atoms).cast("int").alias(f"n{s}") for s in "ab"]
     return grouped.join(paired, "pair_id").select(
         "pair_id", "block", *lengths, F.col("os.o_id").alias("o_ids"), F.flatten("os.m").alias("ms"),
-        *[F.col(f"os.{c}").alias(c) for c in extra], *[s + v for s in "ab" for v in "xyz"],
+        *[F.col(f"os.{c}").alias(c) for c in extra], *lists, *[s + v for s in "ab" for v in "xyz"],
     )
 
 
+def _bounds(solutions: DataFrame) -> DataFrame:
+    """(pair_id, bound_ns, bounds): per pair the match counts with a solution and the ssd that an update must be under."""
+    known = F.when(F.col("ssd").isNotNull() & ~F.isnan("ssd"), F.struct("n", (F.col("ssd") * (1 - LEAST_GAIN)).alias("least")))
+    grouped = solutions.groupBy("pair_id").agg(F.collect_list(known).alias("k"))
+    return grouped.select("pair_id", F.col("k.n").alias("bound_ns"), F.col("k.least").alias("bounds"))
+
+
+def _lowered(bounds: DataFrame, new: DataFrame) -> DataFrame:
+    """The bounds of the pairs of ``new``, which has lower ones or ones of further match counts."""
+    new = new.withColumnsRenamed({"bound_ns": "_ns", "bounds": "_least"})
+    stays = lambda k: ~F.array_contains("_ns", k["bound_ns"])
+    kept = F.filter(F.arrays_zip("bound_ns", "bounds"), stays)
+    return bounds.join(new, "pair_id").withColumn("k", kept).select(
+        "pair_id", F.concat("k.bound_ns", "_ns").alias("bound_ns"), F.concat("k.bounds", "_least").alias("bounds"))
+
+
 def refine(
     solutions: DataFrame, paired: DataFrame, search: Search, max_rounds: int | None = None
 ) -> DataFrame:
@@ -60,30 +86,37 @@ def refine(
     A round takes the solutions that changed in the round before, all pairs and match counts at once,
     uses their superpositions as orientations and updates every n that improves.  It ends when no
     solution improves; each round starts from reliable storage, so lost executors cost one round.
+
+    A round gets the bounds that a solution must be under and gives improvements alone.  Pairs without one are done; the
+    chains and bounds of the others are written for the next round.  What the rounds gave meets the solutions once, at the end.
     """
-    current = _packed(solutions)
-    columns = solutions.columns
+    if max_rounds is not None and max_rounds < 1:
+        return solutions
+    first = materialise(_listed(solutions), "refine-first")
     best = replace(search, keep="best", prefilter=None)
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        seeds = current.filter("changed").select("pair_id", F.col("n").cast("long").alias("o_id"), "ia", "jb")
-        blocks = _own_blocks(seeds, paired, search.atoms_per_residue)
-        found = best_per_n(layered_align(blocks, best, zipped=False))
-        new = found.select("pair_id", "n", *[F.col(c).alias(f"_{c}") for c in ("o_id", *SOLVED)])
-        joined = current.join(new, ["pair_id", "n"], "full_outer")
-        gain = F.col("ssd").isNull() | (F.col("_ssd") < F.col("ssd") * (1 - LEAST_GAIN))
-        better = F.col("_ssd").isNotNull() & gain
-        # the orientation id of an improved solution stays that of the search it descends from
-        updated = joined.select(
-            "pair_id", "n", F.coalesce("o_id", "_o_id").alias("o_id"),
-            *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in SOLVED],
-            better.alias("changed"),
-        )
-        current = cut_lineage(updated)
-        if current.filter("changed").isEmpty():
+    chains, bounds = paired, materialise(_bounds(first), "refine-bounds")
+    seeds, improved = first, []
+    while max_rounds is None or len(improved) < max_rounds:
+        named = seeds.select("pair_id", F.col("n").cast("long").alias("o_id"), "ia", "jb")
+        blocks = _own_blocks(named, chains, search.atoms_per_residue, bounds=bounds)
+        seeds = materialise(best_per_n(layered_align(blocks, best, zipped=False)), "refine-round")
+        improved.append(seeds)
+        if seeds.isEmpty():
             break
-    return _unpacked(current, columns)
+        former = [t for t in (chains, bounds) if t is not paired]
+        bounds = materialise(_lowered(bounds, _bounds(seeds)), "refine-bounds")
+        chains = materialise(chains.join(seeds.select("pair_id").distinct(), "pair_id", "left_semi"), "refine-chains")
+        release(*former)
+    rounds = [t.withColumn("round", F.lit(k)) for k, t in enumerate(improved)]
+    last = reduce(DataFrame.unionByName, rounds).groupBy("pair_id", "n").agg(
+        F.max_by(F.struct(*SOLVED), "round").alias("s"), F.min_by("o_id", "round").alias("_o_id"))
+    joined = first.join(last, ["pair_id", "n"], "full_outer")
+    # the orientation id of an improved solution stays that of the search it descends from
+    updated = joined.select("pair_id", "n", F.coalesce("o_id", "_o_id").alias("o_id"), *[
+        F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) for c in SOLVED])
+    current = materialise(updated, "refined")
+    release(first, bounds, *improved, *([] if chains is paired else [chains]))
+    return _unpacked(current, solutions.columns)
 
 
 def refine_ranks(
